@@ -27,7 +27,7 @@ sig AS (
 ranges AS (SELECT cohort, marker, max(mean_rank) AS hi, min(mean_rank) AS lo FROM sig GROUP BY 1, 2),
 rescaled AS (
   SELECT s.*, hi - lo AS w, (mean_rank - (hi + lo) / 2) / greatest(hi - lo, 0.05) AS p,
-         list_transform(q, x -> (x - (hi + lo) / 2) / greatest(hi - lo, 0.05)) AS z
+         list_transform(q, lambda x: (x - (hi + lo) / 2) / greatest(hi - lo, 0.05)) AS z
   FROM sig s JOIN ranges USING (cohort, marker))"""
 
 
