@@ -81,7 +81,8 @@ def roster_pairs(df: DataFrame, unit: str, ordered: bool = False) -> DataFrame:
     """
     roster = df.select(unit).distinct()
     others = F.collect_list(unit).over(Window.partitionBy(F.lit(0)))
-    pairs = roster.select(F.col(unit).alias("a"), F.explode(others).alias("b"))
+    listed = roster.select(F.col(unit).alias("a"), others.alias("_others"))
+    pairs = listed.select("a", F.explode("_others").alias("b"))
     return pairs.where("a <> b" if ordered else "a < b")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortweave.functions.numeric import half_even, order_key, safe_div
+from cohortweave.session import materialise
 
 # fixed values: support bins (lower bound inclusive, upper exclusive)
 SUPPORT_BINS = (("rare (<50)", 0, 50), ("small (50-200)", 50, 200),
@@ -146,7 +147,7 @@ def score_report(preds: DataFrame, keys: Sequence[str] = ("method", "held"),
                  drop: DataFrame | None = None) -> DataFrame:
     """All scalar metrics per (method, held) from one confusion table."""
     keys = list(keys)
-    c = confusion(preds, keys)
+    c = materialise(confusion(preds, keys))  # class-sized, read by four branches
     core = macro(per_class(c, keys, drop), keys).withColumnRenamed("macro_f1", "macro_f1_reliable")
     full = macro(per_class(c, keys), keys).select(*keys, F.col("macro_f1").alias("macro_f1_all_classes"))
     return core.join(full, keys).join(kappa(c, keys, drop), keys)

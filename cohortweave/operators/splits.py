@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from cohortweave.functions.numeric import order_key
 from cohortweave.operators.distribution import row_order
 from cohortweave.operators.joins import RuleViolation, assert_empty
-from cohortweave.operators.sampling import uniform
 
 # fixed values: shares of split units
 TEST_FRACTION, VAL_FRACTION = 0.20, 0.12
@@ -100,13 +99,11 @@ def probe_holdout(train_cells: DataFrame, row_id: str, hold: int, purpose: str =
 
 
 def draw(cells: DataFrame, row_id: str, caps: dict[str, int]) -> DataFrame:
-    """Capped draw per (cohort, part); a part without a cap is kept whole."""
-    out = None
-    for part, cap in caps.items():
-        d = uniform(cells.where(F.col("part") == part), ["cohort"], row_id, cap, f"draw|{part}")
-        out = d if out is None else out.unionByName(d)
-    rest = cells.where(~F.col("part").isin(list(caps)))
-    return rest if out is None else out.unionByName(rest)
+    """Capped draw per (cohort, part) in one pass; a part without a cap is kept whole."""
+    capped = cells.where(F.col("part").isin(list(caps)))
+    d = row_order(capped.withColumn("_k", order_key("draw", "part", row_id)), ["cohort", "part"], "_k", "_pos")
+    cap = F.element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("part"))
+    return d.where(F.col("_pos") < cap).drop("_k", "_pos").unionByName(cells.where(~F.col("part").isin(list(caps))))
 
 
 def comparability(a: DataFrame, b: DataFrame, fold: str, checks: Sequence[str]) -> DataFrame:
