@@ -23,9 +23,9 @@ def _pairs(x: Column) -> Column:
 def ari(table: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
     """Adjusted Rand index per key group from a contingency table; 0 where undefined."""
     keys = list(keys)
-    one = [F.lit(0).alias("_g")]
+    one = [F.lit(0).alias("_one")]
     t = table.select(*keys, *one, a, b, "n")
-    g = [*keys, "_g"]
+    g = [*keys, "_one"]
     cells = t.groupBy(*g).agg(F.sum(_pairs(F.col("n"))).alias("idx"), F.sum("n").alias("tot"))
     rows = t.groupBy(*g, a).agg(F.sum("n").alias("n")).groupBy(*g).agg(F.sum(_pairs(F.col("n"))).alias("ai"))
     cols = t.groupBy(*g, b).agg(F.sum("n").alias("n")).groupBy(*g).agg(F.sum(_pairs(F.col("n"))).alias("bi"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortweave.operators.agreement import ari, cohort_guards, contingency
 from cohortweave.operators.labelspace import FAR
-from cohortweave.session import materialise
+from cohortweave.session import materialise, materialise_counted
 
 # --- fixed values --------------------------------------------------------------------
 CUTS = tuple(round(0.30 + 0.025 * i, 4) for i in range(35))
@@ -30,46 +30,61 @@ SPLIT_SUPPORT = 0.5
 # -------------------------------------------------------------------------------------
 
 
-def merge_tree(pairs: DataFrame, keys: Sequence[str], far: float = FAR) -> DataFrame:
+def merge_tree(pairs: DataFrame, keys: Sequence[str], far: float = FAR,
+               stop: float | None = None) -> DataFrame:
     """Merge forest of every keyed problem: keys, child, parent, height, round.
 
     pairs: keys, a < b, d. Heights stay below `far`; clusters that are only FAR apart never merge.
+    `stop` is the highest cut anyone will ask for, to save rounds.
     """
     keys = list(keys)
-    state = materialise(pairs.select(
+    state, n = materialise_counted(pairs.select(
         *keys, "a", "b", F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb"),
         F.col("d").cast("double").alias("s"), F.lit(1).cast("long").alias("n")))
-    schema = state.select(*keys, F.col("b").alias("child"), F.col("a").alias("parent"), F.lit(0.0).alias("height"),
-                          F.lit(0).alias("round")).schema
     rounds: list[DataFrame] = []
-    while True:
-        slots = F.col("na") * F.col("nb")
-        dist = (F.col("s") + F.lit(far) * (slots - F.col("n"))) / slots
-        seen = state.withColumn("h", dist).where(F.col("h") < far)
-        cand = F.struct("h", "a", "b", "na", "nb")
-        near = (seen.select(*keys, cand.alias("m"), F.explode(F.array("a", "b")).alias("c"))
-                .groupBy(*keys, "c").agg(F.min("m").alias("m")))
-        merged = materialise(near.groupBy(*keys, "m").agg(F.count(F.lit(1)).alias("votes")).where("votes = 2").select(
-            *keys, F.col("m.b").alias("child"), F.col("m.a").alias("parent"), F.col("m.h").alias("height"),
-            F.lit(len(rounds)).alias("round"), (F.col("m.na") + F.col("m.nb")).alias("size")))
-        if merged.isEmpty():
+    while n > 0:
+        merges = _mutual_nearest(state, keys, far, stop)
+        rounds.append(merges.withColumn("round", F.lit(len(rounds))))
+        before = n
+        state, n = materialise_counted(_apply_merges(state, merges, keys))
+        if n == before:  # every merge removes its own pair row
             break
-        rounds.append(merged.select(*schema.names))
-        move = merged.select(*keys, F.explode(F.array("child", "parent")).alias("old"), F.col("parent").alias("new"), "size")
-        x = state
-        for side, n in (("a", "na"), ("b", "nb")):
-            t = move.select(*keys, F.col("old").alias(side), F.col("new").alias("_new"), F.col("size").alias("_size"))
-            x = x.join(t, [*keys, side], "left").withColumn(side, F.coalesce("_new", side)).withColumn(
-                n, F.coalesce("_size", n)).drop("_new", "_size")
-        swap = F.col("a") > F.col("b")
-        x = x.where("a <> b").select(
-            *keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-            F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"),
-            F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"), "s", "n")
-        state = materialise(x.groupBy(*keys, "a", "b", "na", "nb").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
-    if not rounds:
-        return state.sparkSession.createDataFrame([], schema)
-    return materialise(reduce(DataFrame.unionByName, rounds))
+    tree = [r.select(*keys, "child", "parent", "height", "round") for r in rounds]
+    if not tree:
+        tree = [_mutual_nearest(state, keys, far, stop).withColumn("round", F.lit(0)).select(*keys, "child", "parent", "height", "round")]
+    # each round's merges are re-read from that round's stored state, all in one job
+    return materialise(reduce(DataFrame.unionByName, tree))
+
+
+def _mutual_nearest(state: DataFrame, keys: list[str], far: float, stop: float | None) -> DataFrame:
+    """Pairs that are each other's nearest cluster, below far. Ties: smaller ids."""
+    slots = F.col("na") * F.col("nb")
+    dist = (F.col("s") + F.lit(far) * (slots - F.col("n"))) / slots
+    seen = state.withColumn("h", dist).where(F.col("h") < far)
+    near = (seen.select(*keys, F.struct("h", "a", "b", "na", "nb").alias("m"), F.explode(F.array("a", "b")).alias("c"))
+            .groupBy(*keys, "c").agg(F.min("m").alias("m")))
+    mutual = near.groupBy(*keys, "m").agg(F.count(F.lit(1)).alias("votes")).where("votes = 2")
+    if stop is not None:
+        mutual = mutual.where(F.col("m.h") <= stop + 1e-12)
+    return mutual.select(
+        *keys, F.col("m.b").alias("child"), F.col("m.a").alias("parent"), F.col("m.h").alias("height"),
+        (F.col("m.na") + F.col("m.nb")).alias("size"))
+
+
+def _apply_merges(state: DataFrame, merges: DataFrame, keys: list[str]) -> DataFrame:
+    """Relabel both ends of every pair and sum the pair statistics of merged clusters."""
+    move = merges.select(*keys, F.explode(F.array("child", "parent")).alias("old"), F.col("parent").alias("new"), "size")
+    x = state
+    for side, n in (("a", "na"), ("b", "nb")):
+        t = move.select(*keys, F.col("old").alias(side), F.col("new").alias("_new"), F.col("size").alias("_size"))
+        x = x.join(t, [*keys, side], "left").withColumn(side, F.coalesce("_new", side)).withColumn(
+            n, F.coalesce("_size", n)).drop("_new", "_size")
+    swap = F.col("a") > F.col("b")
+    x = x.where("a <> b").select(
+        *keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+        F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"),
+        F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"), "s", "n")
+    return x.groupBy(*keys, "a", "b", "na", "nb").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
 def cut_tree(tree: DataFrame, nodes: DataFrame, keys: Sequence[str], limit: DataFrame | None = None,
@@ -100,7 +115,7 @@ def cut_tree(tree: DataFrame, nodes: DataFrame, keys: Sequence[str], limit: Data
 
 def cluster_at(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str], cut: float) -> DataFrame:
     """Average linkage cut at one height."""
-    return cut_tree(merge_tree(pairs, keys), nodes, keys, cuts=[cut]).drop("cut")
+    return cut_tree(merge_tree(pairs, keys, stop=cut), nodes, keys, cuts=[cut]).drop("cut")
 
 
 def cluster_to_k(pairs: DataFrame, nodes: DataFrame, k: int, far: float = 1.0) -> DataFrame:
@@ -154,7 +169,7 @@ def cut_sweep(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str] = (), cuts
     p, n = held_out_problems(pairs, nodes, keys)
     n = materialise(n)
     hk = [*keys, "held"]
-    tree = merge_tree(p, hk)
+    tree = merge_tree(p, hk, stop=max(cuts))
     m = materialise(cut_tree(tree, n.select(*hk, "node"), hk, cuts=cuts).join(n, [*hk, "node"]))
     full = m.where("held = ''").drop("held")
     g = cohort_guards(full, [*keys, "cut"])

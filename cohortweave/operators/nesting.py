@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortweave.operators.labelspace import EVIDENCE_FLOOR
-from cohortweave.session import materialise
+from cohortweave.session import materialise, materialise_counted
 
 # fixed values
 NEST_MIN, NEST_MARGIN, NEST_RELATED = 0.75, 0.10, 1.5
@@ -38,13 +38,11 @@ def nesting_edges(cp: DataFrame, cut: float, tau: float = NEST_MIN) -> DataFrame
 
 def reachability(edges: DataFrame) -> DataFrame:
     """Transitive closure (child, parent) by path doubling to a fixpoint; cluster-sized."""
-    reach = materialise(edges.select("child", "parent").distinct())
-    n = reach.count()
+    reach, n = materialise_counted(edges.select("child", "parent").distinct())
     while True:
         step = reach.join(reach.select(F.col("child").alias("parent"), F.col("parent").alias("_p")), "parent").select(
             "child", F.col("_p").alias("parent"))
-        reach = materialise(reach.unionByName(step).distinct())
-        m = reach.count()
+        reach, m = materialise_counted(reach.unionByName(step).distinct())
         if m == n:
             return reach
         n = m

@@ -261,7 +261,7 @@ def fold_spaces(spark, d):
     fp = (dist.join(tags.select("fold", F.col("node").alias("a")), "a").join(tags.select("fold", F.col("node").alias("b")), ["fold", "b"]))
     sweep = materialise(C.cut_sweep(fp, tags.select("fold", "node", "cohort", "n_cells"), ["fold"]))
     tau = materialise(C.choose_cut(sweep, ["fold"], "nearest"))
-    tree = C.merge_tree(fp, ["fold"])
+    tree = C.merge_tree(fp, ["fold"], stop=max(C.CUTS))
     m = C.cut_tree(tree, tags.select("fold", "node"), ["fold"], tau.select("fold", F.col("tau").alias("cut")))
     return r, p, n, folds, tags, tau, materialise(m.join(tags, ["fold", "node"]))
 
@@ -281,7 +281,7 @@ def fold_label_spaces(spark, d):
 def fold_space_agreement(spark, d):
     """Cell-weighted ARI of every fold's training partition with the whole-roster partition at the fold's cut."""
     _, p, n, _, _, tau, m = fold_spaces(spark, d)
-    tree = C.merge_tree(L.linkage_distance(p), [])
+    tree = C.merge_tree(L.linkage_distance(p), [], stop=max(C.CUTS))
     cuts = [float(x[0]) for x in tau.select("tau").distinct().collect()]
     whole = C.cut_tree(tree, n.select("node"), [], cuts=cuts).select(F.col("cut").alias("tau"), "node", F.col("cluster").alias("whole"))
     j = m.drop("cut").join(tau.select("fold", "tau"), "fold").join(whole, ["tau", "node"])
