@@ -157,27 +157,28 @@ def fixed_map(r):
     return n.withColumn("cluster", F.floor(F.substring("label", 2, 9).cast("int") / 2).cast("int"))
 
 
-@query("nesting_edges", f"""WITH {SQL_MAP},
-cp AS (SELECT a.cluster AS child, b.cluster AS parent, avg(contain) FILTER (evidence >= 8) AS contain, count(*) FILTER (evidence >= 8 AND contain IS NOT NULL) AS pairs, avg(sim) AS ms
-  FROM pairs JOIN lm a ON a.lid = lid_a JOIN lm b ON b.lid = lid_b WHERE a.cluster <> b.cluster GROUP BY 1, 2)
-SELECT x.child, x.parent, round(x.contain, 6) AS contain, x.pairs FROM cp x JOIN cp y ON x.child = y.parent AND x.parent = y.child
-WHERE x.contain >= 0.3 AND x.contain - y.contain >= 0.10 AND -ln(greatest(x.ms, 1e-9)) <= 1.5 * 0.9""")
+@query("nesting_edges", f"""WITH {SQL_VSIG}
+SELECT x.lid_a AS child, x.lid_b AS parent, round(x.contain, 6) AS contain, CAST(1 AS BIGINT) AS pairs FROM pairs x JOIN pairs y ON x.lid_a = y.lid_b AND x.lid_b = y.lid_a
+WHERE x.evidence >= 8 AND x.contain >= 0.75 AND (y.evidence < 8 OR x.contain - y.contain >= 0.10) AND -ln(greatest(x.sim, 1e-9)) <= 1.5 * 0.8""")
 def nesting_edges(spark, d):
+    """Every label as its own cluster: which label's spread sits inside which."""
     r = rescaled(spark, d)
-    cp = N.cluster_pairs(pairs(r), fixed_map(r).select("node", "cluster"))
-    return N.nesting_edges(cp, 0.9, 0.3).select("child", "parent", r6("contain").alias("contain"), "pairs")
+    cp = N.cluster_pairs(pairs(r), nodes_of(r).select("node", F.col("node").alias("cluster")))
+    return N.nesting_edges(cp, 0.8).select("child", "parent", r6("contain").alias("contain"), "pairs")
 
 
-# A dense synthetic order over real label pairs exercises the graph operators: label i -> j when contained more than the reverse.
 SQL_GRAPH = SQL_VSIG + """,
-e AS (SELECT lid_a AS child, lid_b AS parent FROM pairs WHERE contain >= 0.45 AND evidence >= 8)"""
+e AS (SELECT lid_a AS child, lid_b AS parent FROM pairs WHERE contain >= 0.89 AND evidence >= 8)"""
+
+
+def containment_graph(r):
+    return pairs(r).where("contain >= 0.89 AND evidence >= 8").select(F.col("lid_a").alias("child"), F.col("lid_b").alias("parent"))
 
 
 @query("containment_reachability", f"""WITH RECURSIVE {SQL_GRAPH}, reach(child, parent) AS (SELECT child, parent FROM e UNION SELECT r.child, e.parent FROM reach r JOIN e ON r.parent = e.child)
 SELECT child, parent FROM reach""")
 def containment_reachability(spark, d):
-    p = pairs(rescaled(spark, d)).where("contain >= 0.45 AND evidence >= 8")
-    return N.reachability(p.select(F.col("lid_a").alias("child"), F.col("lid_b").alias("parent")))
+    return N.reachability(containment_graph(rescaled(spark, d)))
 
 
 @query("cycle_contraction", f"""WITH RECURSIVE {SQL_GRAPH}, reach(child, parent) AS (SELECT child, parent FROM e UNION SELECT r.child, e.parent FROM reach r JOIN e ON r.parent = e.child),
@@ -185,27 +186,26 @@ mut AS (SELECT a.child, min(a.parent) AS m FROM reach a JOIN reach b ON a.child
 SELECT lid AS node, coalesce(least(lid, m), lid) AS cluster FROM ids LEFT JOIN mut ON mut.child = lid""")
 def cycle_contraction(spark, d):
     r = rescaled(spark, d)
-    p = pairs(r).where("contain >= 0.45 AND evidence >= 8").select(F.col("lid_a").alias("child"), F.col("lid_b").alias("parent"))
     n = nodes_of(r).select("node", F.col("node").alias("cluster"))
-    return N.contract_cycles(p, n).select("node", "cluster")
+    return N.contract_cycles(containment_graph(r), n).select("node", "cluster")
 
 
 @query("evidence_closure", f"""WITH RECURSIVE {SQL_VSIG},
-e AS (SELECT lid_a AS child, lid_b AS parent FROM pairs WHERE contain >= 0.40 AND evidence >= 20 AND lid_a < lid_b),
+e AS (SELECT lid_a AS child, lid_b AS parent FROM pairs WHERE contain >= 0.86 AND evidence >= 20 AND lid_a < lid_b),
 reach(child, parent) AS (SELECT child, parent FROM e UNION SELECT r.child, e.parent FROM reach r JOIN e ON r.parent = e.child),
 im AS (SELECT * FROM reach EXCEPT SELECT * FROM e)
 SELECT im.child, im.parent, round(contain, 6) AS contain, coalesce(evidence, 0) AS pairs, CASE WHEN coalesce(evidence, 0) < 20 THEN 'bridged' ELSE 'violation' END AS kind
-FROM im LEFT JOIN pairs ON lid_a = child AND lid_b = parent WHERE coalesce(evidence, 0) < 20 OR contain < 0.40""")
+FROM im LEFT JOIN pairs ON lid_a = child AND lid_b = parent WHERE coalesce(evidence, 0) < 20 OR contain < 0.86""")
 def evidence_closure(spark, d):
     p = pairs(rescaled(spark, d)).select(F.col("lid_a").alias("child"), F.col("lid_b").alias("parent"), "contain", F.col("evidence").alias("pairs"))
-    e = p.where("contain >= 0.40 AND pairs >= 20 AND child < parent")
-    return N.closure(e, p, 20, 0.40).withColumn("contain", r6("contain"))
+    e = p.where("contain >= 0.86 AND pairs >= 20 AND child < parent")
+    return N.closure(e, p, 20, 0.86).withColumn("contain", r6("contain"))
 
 
 @query("acyclic_nesting")
 def acyclic_nesting(spark, d):
     _, p, _, m = base_space(spark, d)
-    _, edges, _ = N.acyclic_nesting(p, m.select("node", "cluster"), 0.85, tau=0.3)
+    _, edges, _ = N.acyclic_nesting(p, m.select("node", "cluster"), 0.85)
     return edges.withColumn("contain", r6("contain"))
 
 
