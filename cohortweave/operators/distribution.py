@@ -23,24 +23,20 @@ HOT_ROWS = 2_000_000
 HOT_LIMIT = 200_000
 
 
-def running_counts(df: DataFrame, keys: Sequence[str], value: str,
-                   weight: str | None = None) -> DataFrame:
-    """keys, value, n_at (rows at the value), n_upto (inclusive running count), n_group.
-
-    NULL values are left out. `weight` is an optional multiplicity column.
-    """
+def chunked_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """Stored table of distinct values with multiplicity n_at, range-partitioned on (keys, value);
+    `_chunk` is the range partition, so chunks of a group are ordered and balanced."""
     keys = list(keys)
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("n_at"))
-    chunks = materialise(
+    return materialise(
         counts.repartitionByRange(*keys, value).withColumn("_chunk", F.spark_partition_id()))
-    totals = chunks.groupBy(*keys, "_chunk").agg(F.sum("n_at").alias("_t"))
-    per_group = Window.partitionBy(*keys)
-    before = per_group.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "_chunk",
-        F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"),
-        F.sum("_t").over(per_group).alias("n_group"))
+
+
+def prefix_sums(chunks: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, value, n_at, n_upto (inclusive running count), n_group from chunked counts."""
+    keys = list(keys)
+    offsets = chunk_offsets(chunks, keys, {"n_at": ("_off", "n_group")})
     inside = (Window.partitionBy(*keys, "_chunk").orderBy(value)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = chunks.withColumn("_run", F.sum("n_at").over(inside))
@@ -48,6 +44,30 @@ def running_counts(df: DataFrame, keys: Sequence[str], value: str,
         *keys, value, "n_at", (F.col("_run") + F.col("_off")).alias("n_upto"), "n_group")
 
 
+def chunk_offsets(chunks: DataFrame, keys: Sequence[str], columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """Per (keys, _chunk): for each count column its total in earlier chunks and in the group.
+
+    At most chunks + groups rows per key set.
+    """
+    keys = list(keys)
+    totals = chunks.groupBy(*keys, "_chunk").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    out = []
+    for c, (off, total) in columns.items():
+        out += [F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(off), F.sum(f"_t_{c}").over(group).alias(total)]
+    return totals.select(*keys, "_chunk", *out)
+
+
+def running_counts(df: DataFrame, keys: Sequence[str], value: str,
+                   weight: str | None = None) -> DataFrame:
+    """keys, value, n_at (rows at the value), n_upto (inclusive running count), n_group.
+
+    NULL values are left out. `weight` is an optional multiplicity column.
+    """
+    return prefix_sums(chunked_counts(df, keys, value, weight), keys, value)
+
+
 def midrank_table(df: DataFrame, keys: Sequence[str], value: str, out: str = "u",
                   weight: str | None = None) -> DataFrame:
     """Mid-rank ECDF of every distinct value: average rank of its ties / non-null count."""
@@ -56,24 +76,22 @@ def midrank_table(df: DataFrame, keys: Sequence[str], value: str, out: str = "u"
 
 
 def attach_by_value(rows: DataFrame, table: DataFrame, keys: Sequence[str], value: str,
-                    row_id: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Left-join a per-value table (with n_at) back to rows, salting values that are hot.
+                    row_id: Sequence[str], counts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Left-join a per-value table back to rows, salting values that are hot.
 
-    Hot values are listed from the table itself; there are at most rows / hot_rows of them, and
-    they are broadcast only while that list stays under HOT_LIMIT.
+    counts: stored keys, value, n_at. There are at most rows / hot_rows hot values; their list is
+    broadcast only while it stays under HOT_LIMIT, otherwise AQE splits the skewed partitions.
     """
     on = [*keys, value]
-    payload = table.drop("n_upto", "n_group")
-    hot = table.where(F.col("n_at") >= hot_rows).select(
+    hot = counts.where(F.col("n_at") >= hot_rows).select(
         *on, F.ceil(F.col("n_at") / hot_rows).cast("int").alias("_salts"))
     n_hot = hot.limit(HOT_LIMIT + 1).count()
     if n_hot == 0 or n_hot > HOT_LIMIT:
-        return rows.join(payload.drop("n_at"), on, "left")
+        return rows.join(table, on, "left")
     salted_rows = rows.join(F.broadcast(hot), on, "left").withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64(*row_id), F.col("_salts")).cast("int"), F.lit(0)))
-    copies = F.greatest(F.ceil(F.col("n_at") / hot_rows), F.lit(1)).cast("int")
-    salted_table = payload.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("n_at")
+    salted_table = (table.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts"))
     return salted_rows.drop("_salts").join(salted_table, [*on, "_salt"], "left").drop("_salt")
 
 
@@ -81,8 +99,10 @@ def ecdf(rows: DataFrame, keys: Sequence[str], value: str, row_id: Sequence[str]
          out: str = "u", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Row-level mid-rank ECDF; missing values stay missing."""
     rows = rows.withColumn(value, clean(value))
-    table = midrank_table(rows, keys, value, out).select(*keys, value, "n_at", out)
-    return attach_by_value(rows, table, keys, value, row_id, hot_rows)
+    counts = chunked_counts(rows, keys, value)
+    u = mid_rank("n_upto", "n_at") / F.col("n_group")
+    table = prefix_sums(counts, keys, value).select(*keys, value, u.alias(out))
+    return attach_by_value(rows, table, keys, value, row_id, counts, hot_rows)
 
 
 def row_order(df: DataFrame, keys: Sequence[str], order: str, out: str = "turn") -> DataFrame:
@@ -133,36 +153,24 @@ def median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median",
 def ks_distance(df: DataFrame, unit: str, marker: str, value: str) -> DataFrame:
     """Kolmogorov-Smirnov distance of every unordered unit pair per marker: marker, a, b, ks.
 
-    Works on value counts: for each pair the two count tables are unioned and prefix-summed by the
-    same chunked plan, so the pair with the most rows is still split over tasks.
+    One row per distinct (marker, value) carries the count of every unit (datasets: a roster), so
+    one chunked prefix sum serves all pairs and no row is repeated per pair.
     """
-    counts = materialise(
-        df.where(F.col(value).isNotNull()).groupBy(marker, unit, value)
-        .agg(F.count(F.lit(1)).alias("c")))
-    roster = counts.groupBy(marker, unit).agg(F.sum("c").alias("n"))
-    pairs = (roster.select(marker, F.col(unit).alias("a"), F.col("n").alias("na"))
-             .join(roster.select(marker, F.col(unit).alias("b"), F.col("n").alias("nb")), marker)
-             .where("a < b"))
-    left = counts.withColumnRenamed(unit, "a").join(pairs, [marker, "a"]).select(
-        marker, "a", "b", "na", "nb", value, F.col("c").alias("ca"), F.lit(0).cast("long").alias("cb"))
-    right = counts.withColumnRenamed(unit, "b").join(pairs, [marker, "b"]).select(
-        marker, "a", "b", "na", "nb", value, F.lit(0).cast("long").alias("ca"), F.col("c").alias("cb"))
-    keys = [marker, "a", "b", "na", "nb"]
-    merged = left.unionByName(right).groupBy(*keys, value).agg(
-        F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
-    chunks = materialise(
-        merged.repartitionByRange(*keys, value).withColumn("_chunk", F.spark_partition_id()))
-    per_pair = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = chunks.groupBy(*keys, "_chunk").agg(
-        F.sum("ca").alias("ta"), F.sum("cb").alias("tb")).select(
-        *keys, "_chunk",
-        F.coalesce(F.sum("ta").over(per_pair), F.lit(0)).alias("oa"),
-        F.coalesce(F.sum("tb").over(per_pair), F.lit(0)).alias("ob"))
-    inside = (Window.partitionBy(*keys, "_chunk").orderBy(value)
+    real = df.where(F.col(value).isNotNull())
+    units = sorted(r[0] for r in real.select(unit).distinct().collect())  # one row per dataset
+    cols = [f"_c{i}" for i in range(len(units))]
+    counts = real.groupBy(marker, value).agg(*[
+        F.count(F.when(F.col(unit) == u, 1)).alias(c) for u, c in zip(units, cols)])
+    chunks = materialise(counts.repartitionByRange(marker, value).withColumn("_chunk", F.spark_partition_id()))
+    offsets = chunk_offsets(chunks, [marker], {c: (f"_o{c}", f"_n{c}") for c in cols})
+    inside = (Window.partitionBy(marker, "_chunk").orderBy(value)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    gap = F.abs((F.col("ra") + F.col("oa")) / F.col("na") - (F.col("rb") + F.col("ob")) / F.col("nb"))
-    return (chunks.withColumn("ra", F.sum("ca").over(inside)).withColumn("rb", F.sum("cb").over(inside))
-            .join(offsets, [*keys, "_chunk"]).groupBy(marker, "a", "b").agg(F.max(gap).alias("ks")))
+    runs = chunks.select(marker, "_chunk", *[F.sum(c).over(inside).alias(c) for c in cols]).join(offsets, [marker, "_chunk"])
+    cdf = {u: F.try_divide((F.col(c) + F.col(f"_o{c}")).cast("double"), F.col(f"_n{c}").cast("double")) for u, c in zip(units, cols)}
+    pairs = [(a, b) for i, a in enumerate(units) for b in units[i + 1:]]
+    g = runs.groupBy(marker).agg(*[F.max(F.abs(cdf[a] - cdf[b])).alias(f"_p{i}") for i, (a, b) in enumerate(pairs)])
+    listed = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_p{i}").alias("ks")) for i, (a, b) in enumerate(pairs)])
+    return g.select(marker, F.explode(listed).alias("_p")).select(marker, "_p.*").where("ks IS NOT NULL")
 
 
 def auroc(df: DataFrame, keys: Sequence[str], label: str, value: str,

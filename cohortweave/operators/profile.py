@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortweave.functions.numeric import safe_div, share
+from cohortweave.functions.numeric import mid_rank, safe_div, share
 from cohortweave.operators.distribution import (
-    median, midrank_table, quantile_from_counts, quantiles, running_counts,
+    chunk_offsets, median, quantile_from_counts, quantiles, running_counts,
 )
 from cohortweave.session import materialise
 
@@ -28,20 +28,33 @@ NULL_LABELS = ("", "nan", "none", "null", "na")
 # -------------------------------------------------------------------------------------
 
 
-def label_counts(long: DataFrame) -> DataFrame:
-    """(cohort, native_label, marker, value) with multiplicity c, stored once.
+def label_runs(long: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs, sizes) of the labels from one pass over the cells.
 
-    The first shuffle of every profile operator: ties collapse map-side before anything is ranked.
+    runs: cohort, native_label, marker, u, n_at, n_upto, n_group, where u is the cohort mid-rank
+    ECDF and the counts run inside the label. A label's values have the same order by value and by
+    u, so one range partitioning on (cohort, marker, value) serves both prefix sums.
+    sizes: cohort, native_label, n_cells (the best-covered marker, missing values included).
     """
-    return materialise(
-        long.where(F.col("value").isNotNull()).groupBy("cohort", "native_label", "marker", "value")
-        .agg(F.count(F.lit(1)).alias("c")))
-
-
-def label_ranks(counts: DataFrame) -> DataFrame:
-    """Label counts on the cohort ECDF scale: adds u per (cohort, marker, value)."""
-    table = midrank_table(counts, ["cohort", "marker"], "value", "u", "c")
-    return counts.join(table.select("cohort", "marker", "value", "u"), ["cohort", "marker", "value"])
+    counts = long.groupBy("cohort", "native_label", "marker", "value").agg(F.count(F.lit(1)).alias("c"))
+    chunks = materialise(
+        counts.repartitionByRange("cohort", "marker", "value").withColumn("_chunk", F.spark_partition_id()))
+    sizes = chunks.groupBy("cohort", "native_label", "marker").agg(F.sum("c").alias("k")).groupBy(
+        "cohort", "native_label").agg(F.max("k").alias("n_cells"))
+    real = chunks.where(F.col("value").isNotNull())
+    m, lab = ["cohort", "marker"], ["cohort", "marker", "native_label"]
+    m_off = chunk_offsets(real, m, {"c": ("_mo", "_mn")})
+    l_off = chunk_offsets(real, lab, {"c": ("_lo", "n_group")})
+    inside = Window.partitionBy(*m, "_chunk")
+    upto = F.sum("c").over(inside.orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    at = F.sum("c").over(Window.partitionBy(*m, "_chunk", "value"))
+    own = F.sum("c").over(Window.partitionBy(*m, "_chunk", "native_label").orderBy("value")
+                          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = (real.withColumn("_mu", upto).withColumn("_at", at).withColumn("_lu", own)
+            .join(m_off, [*m, "_chunk"]).join(l_off, [*lab, "_chunk"]))
+    u = mid_rank(F.col("_mu") + F.col("_mo"), "_at") / F.col("_mn")
+    return runs.select(*lab, u.alias("u"), F.col("c").alias("n_at"),
+                       (F.col("_lu") + F.col("_lo")).alias("n_upto"), "n_group"), sizes
 
 
 def label_filter(cells: DataFrame, bad_labels: DataFrame | None = None,
@@ -65,19 +78,13 @@ def signatures(long: DataFrame, min_cells: int = MIN_CELLS,
 
     Ranks use every cell of the cohort; labels below min_cells or on the QC list are left out.
     """
-    counts = label_counts(long.withColumn("native_label", F.trim("native_label")))
-    # cells per label: the best-covered marker counts every cell that has any value
-    sizes = long.select("cohort", F.trim("native_label").alias("native_label"), "marker").groupBy(
-        "cohort", "native_label", "marker").agg(F.count(F.lit(1)).alias("k")).groupBy(
-        "cohort", "native_label").agg(F.max("k").alias("n_cells"))
+    run, sizes = label_runs(long.withColumn("native_label", F.trim("native_label")))
     total = Window.partitionBy("cohort")
     sizes = sizes.withColumn("prev", F.col("n_cells") / F.sum("n_cells").over(total))
     good = sizes.where((F.col("n_cells") >= min_cells) & ~F.lower("native_label").isin(*NULL_LABELS))
     if bad_labels is not None:
         good = good.join(bad_labels.select("cohort", "native_label"), ["cohort", "native_label"], "left_anti")
-    ranked = label_ranks(counts)
     keys = ["cohort", "native_label", "marker"]
-    run = running_counts(ranked, keys, "u", "c")
     n = F.max("n_group").cast("double")
     extra = [safe_div(F.sum(F.col("u") * F.col("n_at")), n).alias("mean_rank")]
     extra += [safe_div(F.coalesce(F.sum(F.when(F.col("u") > c, F.col("n_at"))), F.lit(0)), n).alias(f"_p{i}")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortweave.operators.tables import to_long
+from cohortweave.session import spread
 
 MARKERS = ("quantity", "extendedprice", "discount", "tax", "size", "retailprice", "totalprice")
 IDS = ("cohort", "image_id", "patient_id", "cell_id", "native_label")
@@ -25,8 +26,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
     """Order lines as cells: segment = cohort, order = image, customer = patient, part type = label."""
-    li = table(spark, d, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    li = spread(table(spark, d, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"))
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     c = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
     p = table(spark, d, "part").select("p_partkey", "p_type", "p_size", "p_retailprice", "p_brand")
@@ -74,7 +75,7 @@ ranked AS (
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     """Embedding rows as cells with one marker per dimension."""
-    return table(spark, d, "embeddings").select(
+    return spread(table(spark, d, "embeddings")).select(
         F.concat(F.lit("C"), (F.col("vec_id") % 5).cast("string")).alias("cohort"),
         F.concat(F.lit("C"), (F.col("vec_id") % 5).cast("string"), F.lit("|"), (F.col("vec_id") % 25).cast("string")).alias("image_id"),
         F.col("vec_id").alias("cell_id"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("native_label"),
@@ -101,7 +102,7 @@ vranked AS (
 
 def points(spark: SparkSession, d: str) -> DataFrame:
     """Events as located cells: user = image, value = x, fractional hour of day = y."""
-    return table(spark, d, "events").select(
+    return spread(table(spark, d, "events")).select(
         F.concat(F.lit("C"), (F.col("user_id") % 5).cast("string")).alias("cohort"),
         F.col("user_id").cast("string").alias("image_id"), F.col("event_id").alias("cell_id"),
         F.col("event_type").alias("native_label"), F.col("value").cast("double").alias("x_px"),
