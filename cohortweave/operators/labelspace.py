@@ -179,10 +179,12 @@ def exclusion_violations(sig: DataFrame, label_map: DataFrame, rules: DataFrame)
     """
     p = sig.join(label_map.select("cohort", "label", "cluster"), ["cohort", "label"]).select(
         "cluster", "cohort", "label", "marker", F.col("pos")[0].alias("p"))
-    j = (p.join(F.broadcast(rules), (p.marker == rules.marker_a) | (p.marker == rules.marker_b))
-         .groupBy("pair", "cluster", "cohort", "label").agg(
-             F.max(F.when(F.col("marker") == F.col("marker_a"), F.col("p"))).alias("pa"),
-             F.max(F.when(F.col("marker") == F.col("marker_b"), F.col("p"))).alias("pb")))
+    sides = rules.select("pair", F.explode(F.array(
+        F.struct(F.col("marker_a").alias("marker"), F.lit("a").alias("side")),
+        F.struct(F.col("marker_b").alias("marker"), F.lit("b").alias("side")))).alias("_s")).select("pair", "_s.*")
+    j = p.join(sides, "marker").groupBy("pair", "cluster", "cohort", "label").agg(
+        F.max(F.when(F.col("side") == "a", F.col("p"))).alias("pa"),
+        F.max(F.when(F.col("side") == "b", F.col("p"))).alias("pb"))
     ah, bh = F.col("pa") >= EXCLUSIVE_HIGH, F.col("pb") >= EXCLUSIVE_HIGH
     only_a = F.coalesce(ah & ~bh, F.lit(False))
     only_b = F.coalesce(bh & ~ah, F.lit(False))
@@ -337,12 +339,10 @@ def name_similarity(labels: DataFrame, method: str, id_col: str = "lid", name_co
         grams = grams.select("id", F.explode(F.expr(
             "transform(sequence(1, greatest(length(w) - len + 1, 1)), i -> substring(w, i, len))")).alias("g"))
         tf = grams.groupBy("id", "g").agg(F.count(F.lit(1)).alias("tf"))
-        w_all = Window.partitionBy(F.lit(0))
         total = n.select("id").distinct().agg(F.count(F.lit(1)).alias("nd")).withColumn("_g", F.lit(0))
         df = tf.groupBy("g").agg(F.count(F.lit(1)).alias("df")).withColumn("_g", F.lit(0)).join(total, "_g")
         x = tf.join(df, "g").withColumn("v", F.col("tf") * (F.log((1.0 + F.col("nd")) / (1.0 + F.col("df"))) + 1.0))
         x = x.withColumn("v", F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id")))).select("id", "g", "v")
-        del w_all
         a = x.select(F.col("id").alias("a"), "g", F.col("v").alias("va"))
         b = x.select(F.col("id").alias("b"), "g", F.col("v").alias("vb"))
         return a.join(b, "g").where("a < b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("sim"))
