@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cohortweave.functions.numeric import safe_div, share
 
@@ -20,39 +21,42 @@ def _pairs(x: Column) -> Column:
     return x * (x - 1.0) / 2.0
 
 
-def ari(table: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Adjusted Rand index per key group from a contingency table; 0 where undefined."""
-    keys = list(keys)
-    one = [F.lit(0).alias("_one")]
-    t = table.select(*keys, *one, a, b, "n")
-    g = [*keys, "_one"]
-    cells = t.groupBy(*g).agg(F.sum(_pairs(F.col("n"))).alias("idx"), F.sum("n").alias("tot"))
-    rows = t.groupBy(*g, a).agg(F.sum("n").alias("n")).groupBy(*g).agg(F.sum(_pairs(F.col("n"))).alias("ai"))
-    cols = t.groupBy(*g, b).agg(F.sum("n").alias("n")).groupBy(*g).agg(F.sum(_pairs(F.col("n"))).alias("bi"))
-    exp = safe_div(F.col("ai") * F.col("bi"), _pairs(F.col("tot")))
-    mx = (F.col("ai") + F.col("bi")) / 2.0
-    val = F.when(mx > exp, (F.col("idx") - exp) / (mx - exp)).otherwise(0.0)
-    return cells.join(rows, g).join(cols, g).select(*keys, F.col("tot").alias("n"), val.alias("ari"))
+def merge_by_key(keys: Sequence[str], *tables: DataFrame) -> DataFrame:
+    """One-row-per-key tables side by side: union and one aggregate, no join (keys may be empty)."""
+    u = tables[0]
+    for t in tables[1:]:
+        u = u.unionByName(t, allowMissingColumns=True)
+    return u.groupBy(*keys).agg(*[F.max(c).alias(c) for c in u.columns if c not in keys])
 
 
-def entropies(table: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Mutual information and both entropies (nats) per key group."""
+def _marginals(table: DataFrame, a: str, b: str, keys: Sequence[str], stat) -> DataFrame:
+    """keys, tot and the summed statistic of cells, row totals and column totals."""
     keys = list(keys)
-    g = [*keys, "_g"]
-    t = table.where("n > 0").withColumn("_g", F.lit(0))
-    tot = t.groupBy(*g).agg(F.sum("n").alias("_t"))
-    px = t.groupBy(*g, a).agg(F.sum("n").alias("_x"))
-    py = t.groupBy(*g, b).agg(F.sum("n").alias("_y"))
+    cells = table.groupBy(*keys).agg(F.sum("n").alias("tot"), F.sum(stat(F.col("n"))).alias("s_cells"))
+
+    def side(c: str, out: str) -> DataFrame:
+        m = table.groupBy(*keys, c).agg(F.sum("n").alias("n"))
+        return m.groupBy(*keys).agg(F.sum(stat(F.col("n"))).alias(out))
+
+    return merge_by_key(keys, cells, side(a, "s_rows"), side(b, "s_cols"))
 
-    def h(m: DataFrame, c: str, out: str) -> DataFrame:
-        p = F.col(c) / F.col("_t")
-        return m.join(tot, g).groupBy(*g).agg((-F.sum(p * F.log(p))).alias(out))
 
-    p = F.col("n") / F.col("_t")
-    mi = (t.join(px, [*g, a]).join(py, [*g, b]).join(tot, g).groupBy(*g).agg(
-        F.sum(p * F.log(F.col("n") * F.col("_t") / (F.col("_x") * F.col("_y")))).alias("mi"),
-        F.max("_t").alias("n")))
-    return mi.join(h(px, "_x", "hx"), g).join(h(py, "_y", "hy"), g).select(*keys, "n", "mi", "hx", "hy")
+def ari(table: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Adjusted Rand index per key group from a contingency table; 0 where undefined."""
+    m = _marginals(table, a, b, keys, _pairs)
+    exp = safe_div(F.col("s_rows") * F.col("s_cols"), _pairs(F.col("tot")))
+    mx = (F.col("s_rows") + F.col("s_cols")) / 2.0
+    val = F.when(mx > exp, (F.col("s_cells") - exp) / (mx - exp)).otherwise(0.0)
+    return m.select(*keys, F.col("tot").alias("n"), val.alias("ari"))
+
+
+def entropies(table: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Mutual information and both entropies (nats) per key group, from sums of n log n."""
+    m = _marginals(table.where("n > 0"), a, b, keys, lambda n: n * F.log(n))
+    tot = F.col("tot").cast("double")
+    mi = (F.col("s_cells") - F.col("s_rows") - F.col("s_cols")) / tot + F.log(tot)
+    return m.select(*keys, F.col("tot").alias("n"), mi.alias("mi"),
+                    (F.log(tot) - F.col("s_rows") / tot).alias("hx"), (F.log(tot) - F.col("s_cols") / tot).alias("hy"))
 
 
 def nmi(table: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -78,12 +82,16 @@ def adjusted_mutual_information(table: DataFrame, a: str, b: str, keys: Sequence
     class-sized tables; marginal pairs are grouped by equal sizes first.
     """
     keys = list(keys)
-    g = [*keys, "_g"]
-    t = table.where("n > 0").withColumn("_g", F.lit(0)).withColumn("n", F.round("n").cast("long"))
-    tot = t.groupBy(*g).agg(F.sum("n").alias("N"))
-    ra = t.groupBy(*g, a).agg(F.sum("n").alias("ai")).groupBy(*g, "ai").agg(F.count(F.lit(1)).alias("ka"))
-    rb = t.groupBy(*g, b).agg(F.sum("n").alias("bj")).groupBy(*g, "bj").agg(F.count(F.lit(1)).alias("kb"))
-    pairs = ra.join(rb, g).join(tot, g)
+    t = table.where("n > 0").withColumn("n", F.round("n").cast("long"))
+    ra = t.groupBy(*keys, a).agg(F.sum("n").alias("s")).groupBy(*keys, "s").agg(F.count(F.lit(1)).alias("m"))
+    rb = t.groupBy(*keys, b).agg(F.sum("n").alias("s")).groupBy(*keys, "s").agg(F.count(F.lit(1)).alias("m"))
+    # attach the list of column sizes to every row size by a window over the class-sized union
+    both = ra.withColumn("_row", F.lit(True)).unionByName(rb.withColumn("_row", F.lit(False)))
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    listed = both.withColumn("_cols", F.collect_list(F.when(~F.col("_row"), F.struct(F.col("s").alias("bj"), F.col("m").alias("kb")))).over(w))
+    listed = listed.withColumn("N", F.sum(F.when(F.col("_row"), F.col("s") * F.col("m"))).over(w)).where("_row")
+    pairs = listed.select(*keys, F.col("s").alias("ai"), F.col("m").alias("ka"), "N", F.explode("_cols").alias("_b")).select(
+        *keys, "ai", "ka", "N", "_b.*")
     lo = F.greatest(F.lit(1).cast("long"), F.col("ai") + F.col("bj") - F.col("N"))
     terms = pairs.withColumn("k", F.explode(F.sequence(lo, F.least("ai", "bj"))))
 
@@ -98,8 +106,7 @@ def adjusted_mutual_information(table: DataFrame, a: str, b: str, keys: Sequence
     A, B, N, K = F.col("ai"), F.col("bj"), F.col("N"), F.col("k")
     logw = (lf(A) + lf(B) + lf(N - A) + lf(N - B) - lf(N) - lf(K) - lf(A - K) - lf(B - K) - lf(N - A - B + K))
     term = (K / N) * F.log(N * K / (A * B)) * F.exp(logw) * F.col("ka") * F.col("kb")
-    emi = terms.groupBy(*g).agg(F.sum(term).alias("emi"))
-    e = entropies(table, a, b, keys).withColumn("_g", F.lit(0)).join(emi, g)
+    e = merge_by_key(keys, entropies(table, a, b, keys), terms.groupBy(*keys).agg(F.sum(term).alias("emi")))
     den = (F.col("hx") + F.col("hy")) / 2.0 - F.col("emi")
     return e.select(*keys, "emi", F.coalesce(safe_div(F.col("mi") - F.col("emi"), den), F.lit(1.0)).alias("ami"))
 
@@ -111,16 +118,14 @@ def cohort_guards(label_map: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     label_map: keys, cohort, label, cluster, n_cells.
     """
     keys = list(keys)
-    m = label_map.withColumn("_g", F.lit(0))
-    g = [*keys, "_g"]
-    per = m.groupBy(*g, "cluster").agg(
+    per = label_map.groupBy(*keys, "cluster").agg(
         F.count(F.lit(1)).alias("labels"), F.countDistinct("cohort").alias("coh"), F.sum("n_cells").alias("cells"))
-    s = per.groupBy(*g).agg(
+    s = per.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("labels") == 1).alias("singletons"),
         F.max("labels").alias("biggest"), (F.max("labels") / F.sum("labels")).alias("biggest_share"),
         (F.sum(F.when(F.col("coh") >= 2, F.col("cells")).otherwise(0)) / F.sum("cells")).alias("cross_cohort_share"))
-    r = ari(contingency(m, "cluster", "cohort", g), "cluster", "cohort", g)
-    return s.join(r.select(*g, F.col("ari").alias("cohort_ari")), g).drop("_g")
+    r = ari(contingency(label_map, "cluster", "cohort", keys), "cluster", "cohort", keys)
+    return merge_by_key(keys, s, r.select(*keys, F.col("ari").alias("cohort_ari")))
 
 
 def fold_pair_ari(maps: DataFrame, min_labels: int = 10) -> DataFrame:

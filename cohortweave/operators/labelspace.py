@@ -161,14 +161,14 @@ def cluster_coherence(rescaled: DataFrame, label_map: DataFrame) -> DataFrame:
     m = m.join(full, "marker", "left_semi")
     cen = m.groupBy("cluster", "marker").agg(F.avg("x").alias("c"))
     grand = cen.groupBy("marker").agg(F.avg("c").alias("g"))
-    between = (cen.join(grand, "marker").groupBy("cluster").agg(F.sum(F.pow(F.col("c") - F.col("g"), 2)).alias("b"))
-               .agg(F.avg("b").alias("between")))
+    spread = cen.join(grand, "marker").groupBy("cluster").agg(F.sum(F.pow(F.col("c") - F.col("g"), 2)).alias("b"))
     within = (m.join(cen, ["cluster", "marker"]).groupBy("cluster", "cohort", "label")
               .agg(F.sum(F.pow(F.col("x") - F.col("c"), 2)).alias("s")).groupBy("cluster")
               .agg(F.avg("s").alias("within"), F.count(F.lit(1)).alias("labels")))
-    one = within.withColumn("_g", F.lit(0)).join(between.withColumn("_g", F.lit(0)), "_g")
+    between = F.avg("b").over(Window.partitionBy(F.lit(0)))  # cluster-sized
     w = F.when(F.col("labels") > 1, F.col("within")).otherwise(0.0)
-    return one.select("cluster", "labels", w.alias("within"), "between", (w < F.col("between")).alias("coherent"))
+    return within.join(spread, "cluster").withColumn("between", between).select(
+        "cluster", "labels", w.alias("within"), "between", (w < F.col("between")).alias("coherent"))
 
 
 def exclusion_violations(sig: DataFrame, label_map: DataFrame, rules: DataFrame) -> DataFrame:
@@ -339,9 +339,9 @@ def name_similarity(labels: DataFrame, method: str, id_col: str = "lid", name_co
         grams = grams.select("id", F.explode(F.expr(
             "transform(sequence(1, greatest(length(w) - len + 1, 1)), i -> substring(w, i, len))")).alias("g"))
         tf = grams.groupBy("id", "g").agg(F.count(F.lit(1)).alias("tf"))
-        total = n.select("id").distinct().agg(F.count(F.lit(1)).alias("nd")).withColumn("_g", F.lit(0))
-        df = tf.groupBy("g").agg(F.count(F.lit(1)).alias("df")).withColumn("_g", F.lit(0)).join(total, "_g")
-        x = tf.join(df, "g").withColumn("v", F.col("tf") * (F.log((1.0 + F.col("nd")) / (1.0 + F.col("df"))) + 1.0))
+        total = float(n.select("id").distinct().count())  # a vocabulary of names
+        df = tf.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+        x = tf.join(df, "g").withColumn("v", F.col("tf") * (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0))
         x = x.withColumn("v", F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id")))).select("id", "g", "v")
         a = x.select(F.col("id").alias("a"), "g", F.col("v").alias("va"))
         b = x.select(F.col("id").alias("b"), "g", F.col("v").alias("vb"))

@@ -175,10 +175,10 @@ def paired(deltas: DataFrame, keys: Sequence[str], fold: str, delta: str) -> Dat
     flips = g.withColumn("_m", F.explode(F.expr("sequence(0L, shiftleft(1L, n) - 1L)")))
     flips = flips.withColumn("_fm", F.expr(
         "aggregate(transform(_d, (x, i) -> if((shiftright(_m, i) & 1) = 1, x, -x)), 0D, (a, x) -> a + x) / n"))
-    p = flips.groupBy(*keys).agg(
-        F.avg(F.when(F.abs("_fm") >= F.abs("mean") - 1e-12, 1.0).otherwise(0.0)).alias("p"))
+    extreme = F.avg(F.when(F.abs("_fm") >= F.abs("mean") - 1e-12, 1.0).otherwise(0.0))
+    p = flips.groupBy(*keys, "n", "mean", "_sd").agg(extreme.alias("p"))
     h = t_critical(F.col("n")) * F.col("_sd") / F.sqrt("n")
-    return g.join(p, keys).select(*keys, "n", "mean", (F.col("mean") - h).alias("lo"), (F.col("mean") + h).alias("hi"), "p")
+    return p.select(*keys, "n", "mean", (F.col("mean") - h).alias("lo"), (F.col("mean") + h).alias("hi"), "p")
 
 
 def retained_information(probs: DataFrame, keys: Sequence[str], p_true: str, n_groups: str) -> DataFrame:

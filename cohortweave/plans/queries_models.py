@@ -50,9 +50,9 @@ def proto_predictions(spark, d):
     return u.drop("cls"), p
 
 
-@query("loco_prototypes", f"WITH {SQL_PROTO} SELECT held, cls, marker, round(c, 6) AS c FROM proto")
+@query("loco_prototypes", f"WITH {SQL_PROTO} SELECT held, cls, marker, round(c, 8) AS c FROM proto")
 def loco_prototypes(spark, d):
-    return proto_predictions(spark, d)[1].withColumn("c", r6("c"))
+    return proto_predictions(spark, d)[1].withColumn("c", F.round("c", 8))
 
 
 @query("prototype_predictions", f"WITH {SQL_PROTO} SELECT held, cell_id, y_true, y_pred, round(score, 6) AS score FROM pred")
@@ -240,8 +240,8 @@ def cohort_probe(spark, d):
     p = ML.linear_probe(x.where("NOT is_test"), x.where("is_test"), "vec", "y", 20)
     p = p.withColumn("p_true", F.greatest(F.col("prob")[F.col("y").cast("int")], F.lit(1e-12))).withColumn("n", F.size("prob"))
     acc = p.agg(F.avg((F.col("y") == F.col("y_pred")).cast("int")).alias("accuracy"))
-    bits = M.retained_information(p.withColumn("_g", F.lit(0)), ["_g"], "p_true", "n").drop("_g")
-    return bits.withColumn("k", F.lit(0)).join(acc.withColumn("k", F.lit(0)), "k").select(
+    bits = M.retained_information(p, [], "p_true", "n")
+    return A.merge_by_key([], bits, acc).select(
         "n_groups", r6("ce_bits").alias("ce_bits"), r6("retained_bits").alias("retained_bits"), r6("accuracy").alias("accuracy"))
 
 
