@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortweave.llm import sharding
+from cohortweave.llm import sharding, sketch
 from cohortweave.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -16,3 +16,8 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     shards = sharding.byte_shards(table(spark, folder, "documents"), 16)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op6_fingerprints")
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return sketch.edited_pairs(table(spark, folder, "documents"))
