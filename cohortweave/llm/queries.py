@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortweave.llm import sharding, sketch
+from cohortweave.llm import quality, sharding, sketch
 from cohortweave.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -21,3 +21,63 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_fingerprints")
 def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return sketch.edited_pairs(table(spark, folder, "documents"))
+
+
+def quality_sql() -> str:
+    """The whole rule over `documents`: base counts, language references, both distances, verdict."""
+    lists = dict(quality.COMMON) | {
+        quality.OTHER_LANGUAGE: tuple(dict.fromkeys(w for ws in quality.COMMON.values() for w in ws))}
+    bins = ", ".join(f"('{lang}', '{w}')" for lang, ws in lists.items() for w in ws)
+    declared = ", ".join(f"'{lang}'" for lang in quality.COMMON)
+    part = "CASE WHEN {0} > 0 THEN {0} * log2({0} / ((p + q) / 2)) ELSE 0 END"
+    distance = f"sqrt(greatest(sum(({part.format('p')} + {part.format('q')}) / 2), 0))"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+                  CASE WHEN lang IN ({declared}) THEN lang ELSE '{quality.OTHER_LANGUAGE}' END AS lang FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x09-\x0D\x20]+'), lambda x: x <> '') AS ws FROM d),
+places AS (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3),
+windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) AS c FROM places),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM windows, (VALUES (0), (1), (2)) v(k) WHERE c >= 2 GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d)
+          WHERE length(regexp_replace(x, '[\x09-\x0D\x20]+', '', 'g')) > 0 GROUP BY r),
+base AS (SELECT w.r, doc_id, lang, t, ws, len(ws) AS n_words,
+                length(regexp_replace(t, '[\x09-\x0D\x20]+', '', 'g')) AS word_chars,
+                length(t) - length(translate(t, '{quality.SYMBOLS}', '')) AS n_symbols,
+                coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+         FROM w LEFT JOIN lines USING (r) LEFT JOIN covered USING (r)),
+bins(lang, word) AS (VALUES {bins}),
+tokens AS (SELECT r, lang, lower(translate(unnest(ws), '.,;:!?', '')) AS word FROM base),
+seen AS (SELECT r, word, count(*) AS c FROM tokens JOIN bins USING (lang, word) GROUP BY r, word),
+common AS (SELECT base.r, base.lang, bins.word, coalesce(seen.c, 0) AS c FROM base JOIN bins USING (lang) LEFT JOIN seen
+             ON seen.r = base.r AND seen.word = bins.word
+           UNION ALL
+           SELECT base.r, lang, NULL, n_words - coalesce(s.c, 0) FROM base
+             LEFT JOIN (SELECT r, sum(c) AS c FROM seen GROUP BY r) s ON s.r = base.r),
+marks AS (SELECT r, lang, length(t) AS n, regexp_replace(t, '\p{{L}}+', '', 'g') AS m,
+                 length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS upper FROM base),
+classes AS (SELECT r, lang, unnest([upper, n - length(m) - upper, digit, space, stop, length(m) - digit - space - stop]) AS c,
+                   unnest(range(6)) AS word
+            FROM (SELECT *, length(m) - length(translate(m, '0123456789', '')) AS digit,
+                         length(m) - length(regexp_replace(m, '[\x09-\x0D\x20]+', '', 'g')) AS space,
+                         length(m) - length(translate(m, '.,;:!?''"()-', '')) AS stop FROM marks)),
+counts AS (SELECT r, lang, 'w' AS kind, coalesce(word, '') AS word, c FROM common
+           UNION ALL SELECT r, lang, 'c', word::VARCHAR, c FROM classes),
+shares AS (SELECT r, lang, kind, word, c / nullif(sum(c) OVER (PARTITION BY r, kind), 0) AS p,
+                  sum(c) OVER (PARTITION BY r, kind) AS size FROM counts),
+refs AS (SELECT lang, kind, word, s / sum(s) OVER (PARTITION BY lang, kind) AS q
+         FROM (SELECT lang, kind, word, sum(c)::DOUBLE AS s FROM counts GROUP BY lang, kind, word)),
+far AS (SELECT r, max(CASE WHEN kind = 'c' AND size >= {quality.MIN_CHARS} AND js > {quality.MAX_CHAR_DISTANCE} THEN 1
+                           WHEN kind = 'w' AND size >= {quality.MIN_WORDS} AND js > {quality.MAX_WORD_DISTANCE} THEN 1
+                           ELSE 0 END) AS far
+        FROM (SELECT r, kind, any_value(size) AS size, {distance} AS js
+              FROM shares JOIN refs USING (lang, kind, word) GROUP BY r, kind) GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed,
+       NOT (n_words < 50 OR n_repeat_words * 100 > n_words * 50) AND coalesce(far, 0) = 0 AS kept
+FROM base LEFT JOIN far USING (r)"""
+
+
+@query("op8_quality", quality_sql())
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_documents(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
