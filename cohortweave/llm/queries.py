@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortweave.llm import chat, quality, sharding, sketch, warc
+from cohortweave.llm import chat, packing, quality, sharding, sketch, warc
 from cohortweave.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -122,3 +122,13 @@ FROM d"""
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     records = warc.read_archives(warc.write_archives(table(spark, folder, "pages")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))

@@ -81,12 +81,14 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of the next document by id. Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next.
 
-    Null text counts as empty; its fingerprint is "". Null ids come first. Rows with one id follow
+    Null text counts as empty; its fingerprint is "". Null ids come first (-2^63 is read as null). Rows with one id follow
     each other by a hash of their text; a repeated row is followed by its own copy and only the last
     copy by the next document. A lone row follows itself. An empty table gives no rows. Other columns
     are not read.
     """
-    base = docs.select(F.coalesce(F.col(id_col), F.lit(-(1 << 63))).alias("_id"), F.col(id_col).alias("_own"),
+    # both sides of the last join need the same three columns, so they share one exchange of the texts
+    null_id = -(1 << 63)
+    base = docs.select(F.coalesce(F.col(id_col), F.lit(null_id)).alias("_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     base = base.withColumn("_th", F.xxhash64("_text"))
     keys = base.groupBy("_id", "_th").agg(F.count(F.lit(1)).alias("_copies"),
@@ -105,7 +107,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copy = F.col("_nth") < F.col("_copies")
     n = F.length("_text")
     full = full.select(
-        F.col("_own").alias(id_col), n.cast("long").alias("n_chars"), "_sketch",
+        F.nullif(F.col("_id"), F.lit(null_id)).alias(id_col), n.cast("long").alias("n_chars"), "_sketch",
         F.when(copy, F.col("_sketch")).otherwise(F.col("_after")).alias("_after"),
         F.concat(F.expr("substring(_text, 1, length(_text) - length(_text) div 4)"),
                  F.when(copy, F.expr("substring(_text, 1, cast(length(_text) div 4 as int))"))
