@@ -14,17 +14,17 @@ class ChunkCache:
     `encode` maps new chunks to their ids. At most `limit` chunks are held; a fuller cache starts anew.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list], list[list[int]]], limit: int = 400_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
+        self.at: dict[bytes | str, int] = {}
         self.n = self.used = 0
         self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
 
-    def learn(self, chunks: list[bytes]) -> None:
+    def learn(self, chunks: list) -> None:
         ids = self.encode(chunks)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(sizes.sum())
@@ -37,7 +37,7 @@ class ChunkCache:
         self.at.update(zip(chunks, range(self.n, self.n + len(ids))))
         self.n, self.used = self.n + len(ids), self.used + total
 
-    def texts(self, chunked: list[list[bytes]]) -> Iterator[np.ndarray]:
+    def texts(self, chunked: list[list]) -> Iterator[np.ndarray]:
         """The ids of each text, given its chunks."""
         new = set().union(*chunked) - self.at.keys()
         if len(self.at) + len(new) > self.limit:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortweave.llm import chat, packing, quality, sharding, sketch, warc
+from cohortweave.llm import chat, packing, pieces, quality, sharding, sketch, warc
 from cohortweave.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -132,3 +132,12 @@ def tokenizer_path(name: str) -> str:
 @query("op10_packing")
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    coded = pieces.decode_ids(pieces.encode_texts(table(spark, folder, "documents"), model), model)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32",
+                        F.sha2("decoded", 256).alias("decoded_sha256"),
+                        (F.col("decoded") == F.col("text")).alias("round_trip"), "parity")
