@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortweave.llm import chat, packing, pieces, quality, sharding, sketch, warc
+from cohortweave.llm import chat, html_text, packing, pieces, quality, sharding, sketch, warc
 from cohortweave.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -141,3 +141,8 @@ def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32",
                         F.sha2("decoded", 256).alias("decoded_sha256"),
                         (F.col("decoded") == F.col("text")).alias("round_trip"), "parity")
+
+
+@query("op3_html")
+def op3_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
