@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortweave.llm import chat, html_text, packing, pieces, quality, sharding, sketch, warc
+from cohortweave.llm import chat, html_text, packing, pieces, quality, sharding, sketch, toxicity, warc
 from cohortweave.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -146,3 +146,8 @@ def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_html")
 def op3_html(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
