@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ class ChunkCache:
         self.starts = grown(self.starts, self.n + len(ids))
         self.sizes = grown(self.sizes, self.n + len(ids))
         self.flat = grown(self.flat, self.used + total)
-        self.flat[self.used:self.used + total] = np.fromiter((x for i in ids for x in i), np.uint32, total)
+        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.starts[self.n:self.n + len(ids)] = self.used + np.cumsum(sizes) - sizes
         self.sizes[self.n:self.n + len(ids)] = sizes
         self.at.update(zip(chunks, range(self.n, self.n + len(ids))))

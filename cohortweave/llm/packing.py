@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -29,46 +30,46 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _task
 Pattern = list[tuple[int, int]]  # (length, how many)
 
 
-@lru_cache(maxsize=1)
-def word_cache(path: str) -> ChunkCache:
-    """Ids of a tokenizer that drops white space and lower-cases, by word; one a worker process.
+# Stops and commas behind an ASCII letter or digit, up to the word's end: pre-tokens of their own.
+TAIL = re.compile(rb"(?<=[a-z0-9])[.,]+(?=[\t-\r ]|\Z)")
+LATIN = [chr(c) for c in range(0x24F)]
+
 
-    No token crosses ASCII white space. ASCII words are lower-cased first, and full stops and commas
-    behind an ASCII letter or digit are tokens of their own, so fewer distinct words are encoded.
+def words_of(text: str) -> list[bytes]:
+    """Words that are encoded each on its own: no token crosses ASCII white space or a TAIL's start.
+
+    ASCII letters are lower-cased before the tokenizer does it, unless special tokens may be there.
     """
+    data = text.encode()
+    return data.split() if b"<|" in data else TAIL.sub(rb" \g<0>", data.lower()).split()
+
+
+@lru_cache(maxsize=1)
+def word_cache(path: str) -> ChunkCache:
+    """Ids of a tokenizer that drops white space and lower-cases, by word; one a worker process."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    model = tokenizer.model
-
-    def encode_words(words: list[bytes]) -> list[list[int]]:
-        plain = [w.isalpha() and w.isascii() for w in words]
-        # a word of ASCII letters is one pre-token, so the model alone gives its ids
-        rest = iter(tokenizer.encode_batch_fast([w.decode() for w, p in zip(words, plain) if not p], add_special_tokens=False))
-        return [[t.id for t in model.tokenize(w.decode())] if p else next(rest).ids for w, p in zip(words, plain)]
-
-    parts = {}
+    # a word of these letters is one pre-token, so the model alone gives its ids; the tokenizer itself says
+    # what it makes of each letter
+    letters = {c: tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(c))
+               for c in LATIN if c.isalpha() and tokenizer.normalizer.normalize_str(c) == c}
+    table = str.maketrans({c: "".join(p for p, _ in parts) for c, parts in letters.items()})
+    plain = re.compile(f"[{''.join(letters)}]+").fullmatch
+    one = tokenizer.model.tokenize
 
     def encode(words: list[bytes]) -> list[list[int]]:
-        cut = [split_word(w) for w in words]
-        new = list({p for c in cut for p in c} - parts.keys())
-        if len(parts) + len(new) > 400_000:
-            parts.clear()
-            new = list({p for c in cut for p in c})
-        parts.update(zip(new, encode_words(new)))
-        return [parts[c[0]] if len(c) == 1 else parts[c[0]] + parts[c[1]] for c in cut]
+        texts = [w.decode() for w in words]
+        ids = [[t.id for t in one(t.translate(table))] if plain(t) else None for t in texts]
+        rest = [i for i, found in enumerate(ids) if found is None]
+        for i, e in zip(rest, tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+            ids[i] = e.ids
+        return ids
 
     return ChunkCache(encode)
 
 
-def split_word(word: bytes) -> tuple[bytes, ...]:
-    if word.isascii() and b"<" not in word:  # special tokens keep their case
-        word = word.lower()
-    core = word.rstrip(b".,")
-    return (core, word[len(core):]) if core != word and core[-1:].isalnum() else (word,)
-
-
 def tokenised_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
     """One stored row a piece: PIECES, _nth being its place among the task's pieces of that length."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
@@ -78,7 +79,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str
         cache, task, seen = word_cache(tokenizer), TaskContext.get().partitionId(), {}
         for rows in slices(batches, 1):
             out = []
-            for (doc, _), ids in zip(rows, cache.texts([text.encode().split() for _, text in rows])):
+            for (doc, _), ids in zip(rows, cache.texts([words_of(text) for _, text in rows])):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start:start + capacity]
