@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortweave.llm import chat, html_text, packing, pieces, quality, sharding, sketch, toxicity, warc
+from cohortweave.llm import chat, html_text, ngram_join, packing, pieces, quality, sharding, sketch, toxicity, warc
 from cohortweave.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -151,3 +151,30 @@ def op3_html(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+OP2_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id,
+                  list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[\x09-\x0D\x20]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS g FROM w),
+c AS (SELECT min(r) AS c, list_sort(g) AS g, len(any_value(g)) AS n FROM s GROUP BY list_sort(g)),
+e AS (SELECT c, n, unnest(g) AS gram FROM c),
+shared AS (SELECT a.c AS a, b.c AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k
+           FROM e a JOIN e b ON a.gram = b.gram AND a.c < b.c AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+           GROUP BY a.c, b.c),
+links AS (SELECT a, b FROM shared WHERE 100 * k >= 85 * (na + nb - k) UNION SELECT b, a FROM shared WHERE 100 * k >= 85 * (na + nb - k)),
+reach AS (
+  WITH RECURSIVE t(a, b) AS (SELECT c, c FROM c UNION SELECT t.a, links.b FROM t JOIN links ON t.b = links.a)
+  SELECT a, b FROM t),
+ids AS (SELECT s.r, s.doc_id, len(s.g) AS n, c.c FROM s JOIN c ON list_sort(s.g) = c.g),
+least AS (SELECT c, min(doc_id) AS doc_id FROM ids GROUP BY c),
+component AS (SELECT a AS c, min(least.doc_id) AS component_id FROM reach JOIN least ON reach.b = least.c GROUP BY a)
+SELECT doc_id, n AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id
+FROM ids JOIN component USING (c)"""
+
+
+@query("op2_ngram_join", OP2_SQL)
+def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.linked_documents(table(spark, folder, "documents"), 4, 85)
