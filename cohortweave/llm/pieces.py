@@ -24,7 +24,6 @@ from cohortweave.llm.chunks import ChunkCache, slices
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the protobuf
 UNIGRAM, BPE = 1, 2
-CHUNK = re.compile(r"\n| *[^ \n]+| +")
 BLOCK = 200
 
 
@@ -91,51 +90,35 @@ class Codec:
         self.blocks.normalizer = None  # chunks are normalised before
         self.check = SentencePieceProcessor(model_proto=data)
         self.prefix = proto.normalizer_spec.add_dummy_prefix
-        # chunks end before a space and around line feeds, which is right if no piece goes across
+        # chunks end before a space, around line feeds and before trailing stops and commas, which is right if
+        # no piece goes across; `sticky` characters have a piece together with a stop or comma behind them
         pieces = [p.piece for p in proto.pieces if p.type == NORMAL]
         spec = proto.normalizer_spec
         self.chunked = (not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and self.prefix
                         and proto.trainer_spec.byte_fallback
                         and not any("\n" in p or MARK in p.lstrip(MARK) for p in pieces))
-        # a stop or comma behind an ASCII letter or digit starts a chunk part, if no piece has the two together
-        self.tails = not any(re.search(r"[A-Za-z0-9][.,]", p) for p in pieces)
-        self.table = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type in (CONTROL, UNUSED)
-                      else " ⁇ ".encode() if p.type == UNKNOWN else p.piece.replace(MARK, " ").encode()
-                      for p in proto.pieces]
-        self.parts: dict[str, tuple[list[int], bool]] = {}
+        sticky = re.escape("".join(sorted({c for p in pieces for c in re.findall(r"([^.,])[.,]", p)} | {MARK})))
+        self.chunk = re.compile(
+            rf"\n| *[^ \n.,]+(?:[.,]+[^ \n.,]+)*(?:(?<=[{sticky}])[.,]+)?| *[.,]+[^ \n]*| +")
         self.unequal: set[str] = set()
         self.cache = ChunkCache(self.learn)
 
-    def encode_parts(self, parts: list[str]) -> None:
-        """Ids of new chunk parts, and whether SentencePiece agrees on them."""
-        blocks = [parts[i:i + BLOCK] for i in range(0, len(parts), BLOCK)]
-        marked = [[p.replace(" ", MARK) for p in b] for b in blocks]
+    def learn(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of new chunks; those that SentencePiece encodes otherwise are noted."""
+        marked = [c.replace(" ", MARK) for c in chunks]
+        blocks = [marked[i:i + BLOCK] for i in range(0, len(marked), BLOCK)]
+        ids: list[list[int]] = []
+        for block, e in zip(blocks, self.blocks.encode_batch(blocks, is_pretokenized=True, add_special_tokens=False)):
+            at, own = len(ids), e.ids
+            ids += [[] for _ in block]
+            for w, i in zip(e.word_ids, own):
+                ids[at + w].append(i)
         # the library puts a space before each text: take one away, or begin a line and drop its two pieces
-        bare = [p[0] != " " or p.isspace() for p in parts]
-        own = self.check.encode(["\n" + p if alone else p[1:] for p, alone in zip(parts, bare)], num_threads=1)
+        bare = [c[0] != " " or c.isspace() for c in chunks]
+        there = self.check.encode(["\n" + c if alone else c[1:] for c, alone in zip(chunks, bare)], num_threads=1)
         skip = len(self.check.encode("\n"))
-        for b, (block, e) in enumerate(zip(blocks, self.blocks.encode_batch(marked, is_pretokenized=True, add_special_tokens=False))):
-            ids: list[list[int]] = [[] for _ in block]
-            for w, i in zip(e.word_ids, e.ids):
-                ids[w].append(i)
-            for k, part in enumerate(block):
-                at = b * BLOCK + k
-                self.parts[part] = ids[k], ids[k] == (own[at][skip:] if bare[at] else own[at])
-
-    def learn(self, chunks: list[str]) -> list[list[int]]:
-        cut = [self.split(c) for c in chunks]
-        new = list({p for c in cut for p in c} - self.parts.keys())
-        if len(self.parts) + len(new) > 400_000:
-            self.parts.clear()
-            self.unequal.clear()
-            new = list({p for c in cut for p in c})
-        self.encode_parts(new)
-        self.unequal.update(c for c, parts in zip(chunks, cut) if not all(self.parts[p][1] for p in parts))
-        return [self.parts[c[0]][0] if len(c) == 1 else self.parts[c[0]][0] + self.parts[c[1]][0] for c in cut]
-
-    def split(self, chunk: str) -> tuple[str, ...]:
-        core = chunk.rstrip(".,")
-        return (core, chunk[len(core):]) if self.tails and core != chunk and core[-1:].isalnum() and core[-1:].isascii() else (chunk,)
+        self.unequal.update(c for c, i, o, alone in zip(chunks, ids, there, bare) if i != (o[skip:] if alone else o))
+        return ids
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
         """Ids and parity of each text."""
@@ -143,10 +126,21 @@ class Codec:
             own = self.check.encode(texts, num_threads=1)
             ids = [e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False)]
             return [(np.array(i, np.uint32), i == o) for i, o in zip(ids, own)]
-        chunks = [CHUNK.findall(" " + t if t else t) for t in texts]
+        chunks = [self.chunk.findall(" " + t if t else t) for t in texts]
         ids = list(self.cache.texts(chunks))
         return [(i, not self.unequal or self.unequal.isdisjoint(c)) for i, c in zip(ids, chunks)]
 
+
+class Decoder:
+    """The bytes of each piece; byte pieces put characters together again."""
+
+    def __init__(self, data: bytes):
+        proto = parse_model(data)
+        self.prefix = proto.normalizer_spec.add_dummy_prefix
+        self.table = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type in (CONTROL, UNUSED)
+                      else " ⁇ ".encode() if p.type == UNKNOWN else p.piece.replace(MARK, " ").encode()
+                      for p in proto.pieces]
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.table.__getitem__, ids)).decode(errors="replace")
         return text[1:] if self.prefix and text[:1] == " " else text
@@ -160,6 +154,12 @@ def codec(path: str) -> Codec:
         return Codec(f.read())
 
 
+@lru_cache(maxsize=1)
+def decoder(path: str) -> Decoder:
+    with open(path, "rb") as f:
+        return Decoder(f.read())
+
+
 def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, ids (array<int>), ids_crc32 (of little-endian 32-bit ids) and parity for every row.
 
@@ -191,8 +191,9 @@ def decode_ids(encoded: DataFrame, model: str) -> DataFrame:
     names = ["doc_id", "text", "ids", "ids_crc32", "parity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(model)
-        for b in batches:
+        coder = decoder(model)
+        for whole, start in ((b, i) for b in batches for i in range(0, b.num_rows, 200)):
+            b = whole.slice(start, 200)
             decoded = [None if i is None else coder.decode(i) for i in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(decoded, pa.string())],
                                              names=[*names, "decoded"])
