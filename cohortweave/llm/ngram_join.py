@@ -306,15 +306,10 @@ def tree_links(sets: DataFrame, n: int, percent: int) -> DataFrame:
     return links.select(key_of(F.col("a1"), F.col("a2")).alias("a"), key_of(F.col("b1"), F.col("b2")).alias("b"))
 
 
-def linked_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles (set size) and component_id (smallest id reachable by links) for every row.
-
-    Null or empty text, and text without words, has an empty set and links with nothing: its component is
-    its own id. Rows with null ids take part; a component without any other id has a null id. Repeated
-    rows are in one component. An empty table gives no rows. Other columns are not read.
-    """
+def linked_rows(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, row (hash of id and text), size and component_id for every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row"), text.alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(id_col, text_col).alias("row"), text.alias("text"))
     members = described(slim, n)
     classes = members.where("size > 0").groupBy("d1", "d2").agg(
         F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("size").alias("size"))
@@ -328,7 +323,32 @@ def linked_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     labelled = keyed.join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     found = labelled.join(smallest, "label").select("d1", "d2", "component_id")
-    empty = F.col("size") == 0
-    return members.join(found, ["d1", "d2"], "left").select(
-        F.col("doc_id").alias(id_col), F.col("size").alias("n_shingles"),
-        F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    own = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return members.join(found, ["d1", "d2"], "left").select("doc_id", "row", "size", own.alias("component_id"))
+
+
+def row_hash(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def linked_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles (set size) and component_id (smallest id reachable by links) for every row.
+
+    Null or empty text, and text without words, has an empty set and links with nothing: its component is
+    its own id. Rows with null ids take part; a component without any other id has a null id. Repeated
+    rows are in one component. An empty table gives no rows. Other columns are not read.
+    """
+    return linked_rows(docs, n, percent, id_col, text_col).select(
+        F.col("doc_id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
+
+
+def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, that have the smallest id of their component.
+
+    Rows without words stay. A row with a null id goes if its component has an id. Rows that share the
+    smallest id of a component stay together. Only hashes of the rows to drop are joined with the rows.
+    """
+    found = linked_rows(docs, n, percent, id_col, text_col)
+    gone = materialise(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("row").alias("_row_to_drop")).distinct())
+    return docs.join(gone, row_hash(id_col, text_col) == F.col("_row_to_drop"), "left_anti")
