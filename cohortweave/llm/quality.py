@@ -142,6 +142,14 @@ def features(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         "_text", "_words", "_lang_in")
 
 
+def scored(docs: DataFrame, keys: dict[str, Column], text_col: str, lang_col: str) -> DataFrame:
+    """`keys` of every row, the base counts, both distances and kept. The features are stored, so no later
+    filter is folded into the array expressions."""
+    slim = docs.select(*[c.alias(k) for k, c in keys.items()], F.col(text_col).alias("_t"), F.col(lang_col).alias("_l"))
+    rows = materialise(features(slim, "_t", "_l").drop("_t", "_l"))
+    return add_verdict(rows, references(rows))
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id, the base counts, both distances and kept for every row.
 
@@ -149,20 +157,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the reference of all such texts. Null ids and repeated rows are scored like any other. An empty
     table gives no rows. Other columns are not read.
     """
-    rows = materialise(features(docs.select(F.col(id_col), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")),
-                                "_t", "_l").drop("_t", "_l"))
-    return add_verdict(rows, references(rows))
+    return scored(docs, {id_col: F.col(id_col)}, text_col, lang_col)
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of `docs`, all columns, that score_documents() keeps.
 
-    References are gathered in one pass and applied in a second, so texts are never shuffled.
+    Equal ids, texts and languages have one verdict, so only hashes of rejected rows are joined.
     """
-    slim = docs.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_l"))
-    slim = slim.withColumn("_text", F.coalesce("_text", F.lit(""))).withColumn("_words", words_of(F.col("_text")))
-    refs = materialise(references(add_histograms(slim, "_text", "_words", "_l")))
-    packed = docs.select(F.struct(*docs.columns).alias("_row"))
-    judged = add_verdict(features(packed.select("_row", F.col(f"_row.{text_col}").alias("_t"),
-                                                F.col(f"_row.{lang_col}").alias("_l")), "_t", "_l"), refs)
-    return judged.where("kept").select("_row.*")
+    row = F.xxhash64(id_col, text_col, lang_col)
+    found = scored(docs, {"_rejected": row}, text_col, lang_col)
+    rejected = materialise(found.where(~F.col("kept")).select("_rejected").distinct())
+    return docs.join(rejected, row == F.col("_rejected"), "left_anti")
