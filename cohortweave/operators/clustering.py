@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,9 +132,9 @@ def cluster_to_k(pairs: DataFrame, nodes: DataFrame, k: int, far: float = 1.0) -
     merges = tree.count()
     need = total - k
     if merges >= need:
-        hs = [r["height"] for r in tree.select("height").orderBy("height", "round", "child").collect()]  # label-sized
-        cut = hs[need - 1] if need > 0 else -1.0
-        return cut_tree(tree, n, keys, cuts=[cut]).select("node", "cluster")
+        # exactly the first `need` merges, so merges tied with the last of them do not slip in
+        first = tree.orderBy("height", "round", "child").limit(max(need, 0))
+        return cut_tree(materialise(first), n, keys, cuts=[far]).select("node", "cluster")
     m = cut_tree(tree, n, keys, cuts=[far]).select("node", "cluster")
     from pyspark.sql.window import Window
     ids = m.select("cluster").distinct().withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("cluster")))
@@ -227,7 +228,7 @@ def bisect(tree: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return mem.join(low, keys).select(*keys, "node", F.when(F.col("cluster") == F.col("_lo"), 0).otherwise(1).alias("side"))
 
 
-def refine(pairs: DataFrame, nodes: DataFrame, straddle: bool = True, max_levels: int = 64) -> tuple[DataFrame, DataFrame]:
+def refine(pairs: DataFrame, nodes: DataFrame, straddle: bool = True) -> tuple[DataFrame, DataFrame]:
     """Split clusters in two wherever the split reproduces when a cohort is held out.
 
     nodes: node, cohort, n_cells, cluster. All branches of a level, with all their held-out copies,
@@ -237,7 +238,7 @@ def refine(pairs: DataFrame, nodes: DataFrame, straddle: bool = True, max_levels
     done: list[DataFrame] = []
     logs: list[DataFrame] = []
     active = materialise(nodes.select("node", "cohort", "n_cells", F.col("cluster").alias("branch")))
-    for level in range(max_levels):
+    for level in count():
         size = active.groupBy("branch").agg(F.count(F.lit(1)).alias("labels"))
         big = size.where(F.col("labels") >= 2 * MIN_SPLIT_LABELS)
         work = materialise(active.join(big, "branch"))
@@ -257,10 +258,12 @@ def refine(pairs: DataFrame, nodes: DataFrame, straddle: bool = True, max_levels
             F.count_if(F.col("s") == 2).alias("straddle"))
         sub = (two.where("held <> ''").select("branch", "held", "node", F.col("side").alias("ss"))
                .join(full.select("branch", "node", "side"), ["branch", "node"]))
-        fit = sub.groupBy("branch", "held").agg(F.count(F.lit(1)).alias("k"), F.countDistinct("side").alias("s")).where("k >= 4 AND s = 2")
-        sub = sub.join(fit.select("branch", "held"), ["branch", "held"], "left_semi")
-        loco = ari(contingency(sub, "ss", "side", ["branch", "held"]), "ss", "side", ["branch", "held"]).groupBy("branch").agg(
-            F.avg("ari").alias("stability"))
+        # every hold-out that leaves four labels and both sides counts; one without a two-way split agrees by 0
+        left = hn.where("held <> ''").select("branch", "held", "node").join(full.select("branch", "node", "side"), ["branch", "node"])
+        fit = left.groupBy("branch", "held").agg(F.count(F.lit(1)).alias("k"), F.countDistinct("side").alias("s")).where("k >= 4 AND s = 2")
+        agreed = ari(contingency(sub, "ss", "side", ["branch", "held"]), "ss", "side", ["branch", "held"])
+        loco = fit.select("branch", "held").join(agreed, ["branch", "held"], "left").groupBy("branch").agg(
+            F.avg(F.coalesce("ari", F.lit(0.0))).alias("stability"))
         rec = big.join(shape, "branch", "left").join(both, "branch", "left").join(loco, "branch", "left")
         reason = (
             F.when(F.col("sides").isNull() | (F.col("sides") < 2) | (F.col("min_side") < MIN_SPLIT_LABELS), "a side is too small")

@@ -20,7 +20,6 @@ from cohortweave.session import materialise
 # A value carried by at least this many rows of its group gets its own salt when ranks are joined
 # back to rows; rows / HOT_ROWS bounds how many such values can exist.
 HOT_ROWS = 2_000_000
-HOT_LIMIT = 200_000
 
 
 def chunked_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
@@ -79,20 +78,22 @@ def attach_by_value(rows: DataFrame, table: DataFrame, keys: Sequence[str], valu
                     row_id: Sequence[str], counts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left-join a per-value table back to rows, salting values that are hot.
 
-    counts: stored keys, value, n_at. There are at most rows / hot_rows hot values; their list is
-    broadcast only while it stays under HOT_LIMIT, otherwise AQE splits the skewed partitions.
+    counts: stored keys, value, n_at. There are at most rows / hot_rows hot values; Spark chooses how
+    to join their list from its size. Rows without a value need no rank and skip the join.
     """
     on = [*keys, value]
+    missing = rows.where(F.col(value).isNull())
+    rows = rows.where(F.col(value).isNotNull())
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name not in on]
+    missing = missing.select("*", *blank)
     hot = counts.where(F.col("n_at") >= hot_rows).select(
         *on, F.ceil(F.col("n_at") / hot_rows).cast("int").alias("_salts"))
-    n_hot = hot.limit(HOT_LIMIT + 1).count()
-    if n_hot == 0 or n_hot > HOT_LIMIT:
-        return rows.join(table, on, "left")
-    salted_rows = rows.join(F.broadcast(hot), on, "left").withColumn(
+    salted_rows = rows.join(hot, on, "left").withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64(*row_id), F.col("_salts")).cast("int"), F.lit(0)))
-    salted_table = (table.join(F.broadcast(hot), on, "left").withColumn(
+    salted_table = (table.join(hot, on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts"))
-    return salted_rows.drop("_salts").join(salted_table, [*on, "_salt"], "left").drop("_salt")
+    found = salted_rows.drop("_salts").join(salted_table, [*on, "_salt"], "left").drop("_salt")
+    return found.unionByName(missing)
 
 
 def ecdf(rows: DataFrame, keys: Sequence[str], value: str, row_id: Sequence[str],

@@ -35,7 +35,7 @@ def left_join_one(left: DataFrame, right: DataFrame, left_on: Sequence[str],
     tmp = {r: f"_r_{i}" for i, r in enumerate(right_on)}
     for old, new in tmp.items():
         right = right.withColumnRenamed(old, new)
-    cond = [left[a].cast("string") == right[tmp[b]].cast("string") for a, b in zip(left_on, right_on)]
+    cond = [left[a] == right[tmp[b]] for a, b in zip(left_on, right_on)]
     on = cond[0]
     for c in cond[1:]:
         on = on & c

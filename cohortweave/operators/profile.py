@@ -22,6 +22,8 @@ MIN_CELLS = 100
 UNIFORM_VARIANCE = 1.0 / 12.0
 RANK_SPREAD_FLOOR = 0.20
 SCALE_FLOOR = 0.05
+MIN_INFORMATIVE = 0.10  # smaller between-label range of a marker says nothing about its labels
+MIN_SPREAD = 1e-6
 LINEAGE_FLOOR = 0.01
 MIN_SIDE = 20
 NULL_LABELS = ("", "nan", "none", "null", "na")
@@ -203,16 +205,30 @@ def coexpression(long_u: DataFrame, cell: Sequence[str]) -> DataFrame:
             .agg(F.corr("u1", "u2").alias("r")).withColumnRenamed("native_label", "label"))
 
 
-def coexpression_agreement(coex: DataFrame, min_pairs: int = 3) -> DataFrame:
-    """Correlation of two labels' marker-pair r over shared pairs: (cohort_a, a, cohort_b, b, r, n)."""
+def coexpression_agreement(coex: DataFrame, weights: DataFrame, min_weight: float = MIN_INFORMATIVE,
+                           min_markers: int = 3) -> DataFrame:
+    """Correlation of two labels' marker-pair r: (cohort_a, a, cohort_b, b, coex_r, n_pairs).
+
+    Only markers informative for both labels (weights: cohort, label, marker, w; w at least `min_weight`)
+    take part. Pairs of labels with fewer than `min_markers` such markers or finite pairs, or with no
+    spread on a side, are left out.
+    """
+    told = weights.where(F.col("w") >= min_weight).select("cohort", "label", "marker").distinct()
     c = coex.where(F.col("r").isNotNull() & ~F.isnan("r"))
+    for m in ("m1", "m2"):
+        c = c.join(told.withColumnRenamed("marker", m), ["cohort", "label", m])
+    own = told.select(F.col("cohort").alias("cohort_a"), F.col("label").alias("a"), "marker")
+    other = told.select(F.col("cohort").alias("cohort_b"), F.col("label").alias("b"), "marker")
+    pair = ["cohort_a", "a", "cohort_b", "b"]
+    enough = (own.join(other, "marker").where("struct(cohort_a, a) < struct(cohort_b, b)").groupBy(*pair)
+              .agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") >= min_markers).select(*pair))
     a = c.select(F.col("cohort").alias("cohort_a"), F.col("label").alias("a"), "m1", "m2", F.col("r").alias("ra"))
     b = c.select(F.col("cohort").alias("cohort_b"), F.col("label").alias("b"), "m1", "m2", F.col("r").alias("rb"))
-    return (a.join(b, ["m1", "m2"])
-            .where("struct(cohort_a, a) < struct(cohort_b, b)")
-            .groupBy("cohort_a", "a", "cohort_b", "b")
-            .agg(F.corr("ra", "rb").alias("coex_r"), F.count(F.lit(1)).alias("n_pairs"))
-            .where(F.col("n_pairs") >= min_pairs))
+    scored = (a.join(b, ["m1", "m2"]).where("struct(cohort_a, a) < struct(cohort_b, b)").groupBy(*pair)
+              .agg(F.corr("ra", "rb").alias("coex_r"), F.count(F.lit(1)).alias("n_pairs"),
+                   F.stddev_pop("ra").alias("_sa"), F.stddev_pop("rb").alias("_sb"))
+              .where((F.col("n_pairs") >= 3) & (F.col("_sa") > MIN_SPREAD) & (F.col("_sb") > MIN_SPREAD)))
+    return scored.join(enough, pair, "left_semi").drop("_sa", "_sb")
 
 
 def composition(cells: DataFrame) -> DataFrame:

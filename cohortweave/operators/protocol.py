@@ -15,19 +15,25 @@ from cohortweave.operators.distribution import running_counts
 from cohortweave.session import materialise
 
 
-def risk_coverage(preds: DataFrame, keys: Sequence[str], confidence: str, bins: int = 1000) -> DataFrame:
-    """keys, coverage, accuracy and risk when the most confident rows are kept, on a fixed confidence grid.
+def step_counts(df: DataFrame, keys: Sequence[str], flag: str, score: str) -> DataFrame:
+    """keys, s (minus the score), c, p (rows and flagged rows at it), n_upto, n_group, tp, np (running and
+    total numbers of both), from the highest score down. Prefix sums of stored value counts, in chunks."""
+    keys = list(keys)
+    d = df.select(*keys, (-F.col(score)).alias("s"), F.col(flag).cast("int").alias("pos"))
+    g = materialise(d.groupBy(*keys, "s").agg(F.count(F.lit(1)).alias("c"), F.sum("pos").cast("long").alias("p")))
+    rows = running_counts(g, keys, "s", "c").select(*keys, "s", "n_at", "n_upto", "n_group")
+    hits = running_counts(g.withColumn("p1", F.col("p")), keys, "s", "p1").select(
+        *keys, "s", F.col("n_upto").alias("tp"), F.col("n_group").alias("np"))
+    return rows.join(hits, [*keys, "s"]).join(g, [*keys, "s"])
 
-    Confidence is quantised to `bins` levels, so the curve is grid-sized and one map-side-combined
-    count feeds it. preds: keys, hit, confidence in [0, 1].
-    """
-    b = F.least(F.floor(F.col(confidence) * bins), F.lit(bins - 1)).cast("int")
-    g = preds.groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("hit").cast("int")).alias("h"))
-    up = Window.partitionBy(*keys).orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tot = F.sum("n").over(Window.partitionBy(*keys))
-    return g.withColumn("kept", F.sum("n").over(up)).withColumn("correct", F.sum("h").over(up)).select(
-        *keys, "bin", "n", "kept", (F.col("kept") / tot).alias("coverage"), (F.col("correct") / F.col("kept")).alias("accuracy"),
-        (1.0 - F.col("correct") / F.col("kept")).alias("risk"))
+
+def risk_coverage(preds: DataFrame, keys: Sequence[str], confidence: str) -> DataFrame:
+    """keys, confidence, n, kept, coverage, accuracy and risk when only rows of at least that confidence
+    are kept: one row a distinct confidence, exact. preds: keys, hit, confidence."""
+    correct = F.col("tp") / F.col("n_upto")
+    return step_counts(preds, keys, "hit", confidence).select(
+        *keys, (-F.col("s")).alias(confidence), F.col("c").alias("n"), F.col("n_upto").alias("kept"),
+        (F.col("n_upto") / F.col("n_group")).alias("coverage"), correct.alias("accuracy"), (1.0 - correct).alias("risk"))
 
 
 def aurc(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -58,11 +64,7 @@ def detection_scores(df: DataFrame, keys: Sequence[str], positive: str, score: s
     Ties share one step. Works on value counts with chunked prefix sums of rows and of positives.
     """
     keys = list(keys)
-    d = df.select(*keys, (-F.col(score)).alias("s"), F.col(positive).cast("int").alias("pos"))
-    g = materialise(d.groupBy(*keys, "s").agg(F.count(F.lit(1)).alias("c"), F.sum("pos").cast("long").alias("p")))
-    rows = running_counts(g, keys, "s", "c").select(*keys, "s", "n_at", "n_upto", "n_group")
-    hits = running_counts(g.withColumn("p1", F.col("p")), keys, "s", "p1").select(*keys, "s", F.col("n_upto").alias("tp"), F.col("n_group").alias("np"))
-    j = rows.join(hits, [*keys, "s"]).join(g.select(*keys, "s", "p"), [*keys, "s"])
+    j = step_counts(df, keys, positive, score)
     mid = F.col("n_upto") - (F.col("n_at") - 1.0) / 2.0  # rank from the top
     a = j.groupBy(*keys).agg(
         F.sum(F.col("p") * mid).alias("_rs"), F.max("np").alias("n_pos"), F.max("n_group").alias("_n"),

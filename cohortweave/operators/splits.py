@@ -40,7 +40,11 @@ def split_units(cells: DataFrame) -> DataFrame:
 
 
 def split_plan(cells: DataFrame, purpose: str = "split") -> DataFrame:
-    """cohort, image_id, unit, unit_kind, part. Units go to test, val, train by hashed order."""
+    """cohort, image_id, unit, unit_kind, part. Units go to test, val, train by hashed order.
+
+    Raises if an image carries two patients, or if a cohort has fewer than three units.
+    """
+    assert_empty(nesting_violations(cells), "an image must have one patient")
     imgs = split_units(cells)
     units = imgs.select("cohort", "unit").distinct().withColumn("_k", order_key(purpose, "cohort", "unit"))
     n = units.groupBy("cohort").agg(F.count(F.lit(1)).alias("_n"))
@@ -51,6 +55,7 @@ def split_plan(cells: DataFrame, purpose: str = "split") -> DataFrame:
 
     nt, nv = count_of(TEST_FRACTION), count_of(VAL_FRACTION)
     part = (F.when(F.col("_pos") < nt, "test").when(F.col("_pos") < nt + nv, "val").otherwise("train"))
+    check_split_units(n.withColumnRenamed("_n", "units"))
     return imgs.join(ranked.select("cohort", "unit", part.alias("part"), F.col("_n").alias("units")), ["cohort", "unit"])
 
 

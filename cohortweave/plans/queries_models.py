@@ -335,14 +335,14 @@ def confident(spark, d):
 
 
 SQL_CURVE = SQL_CONFP + """,
-b AS (SELECT method, CAST(least(floor(confidence * 1000), 999) AS INTEGER) AS bin, count(*) AS n, sum(CAST(hit AS INTEGER)) AS h FROM cp GROUP BY 1, 2),
-cv AS (SELECT method, bin, n, sum(n) OVER w AS kept, sum(h) OVER w AS correct, sum(n) OVER (PARTITION BY method) AS tot FROM b WINDOW w AS (PARTITION BY method ORDER BY bin DESC)),
-cu AS (SELECT method, bin, n, kept / CAST(tot AS DOUBLE) AS coverage, correct / CAST(kept AS DOUBLE) AS accuracy FROM cv)"""
+b AS (SELECT method, confidence, count(*) AS n, sum(CAST(hit AS INTEGER)) AS h FROM cp GROUP BY 1, 2),
+cv AS (SELECT method, confidence, n, sum(n) OVER w AS kept, sum(h) OVER w AS correct, sum(n) OVER (PARTITION BY method) AS tot FROM b WINDOW w AS (PARTITION BY method ORDER BY confidence DESC)),
+cu AS (SELECT method, confidence, n, kept / CAST(tot AS DOUBLE) AS coverage, correct / CAST(kept AS DOUBLE) AS accuracy FROM cv)"""
 
 
-@query("risk_coverage", f"WITH {SQL_CURVE} SELECT method, bin, round(coverage, 6) AS coverage, round(accuracy, 6) AS accuracy, round(1 - accuracy, 6) AS risk FROM cu")
+@query("risk_coverage", f"WITH {SQL_CURVE} SELECT method, confidence, round(coverage, 6) AS coverage, round(accuracy, 6) AS accuracy, round(1 - accuracy, 6) AS risk FROM cu")
 def risk_coverage(spark, d):
-    return PR.risk_coverage(confident(spark, d), ["method"], "confidence").select("method", "bin", *[r6(c).alias(c) for c in ("coverage", "accuracy", "risk")])
+    return PR.risk_coverage(confident(spark, d), ["method"], "confidence").select("method", "confidence", *[r6(c).alias(c) for c in ("coverage", "accuracy", "risk")])
 
 
 @query("selective_accuracy", f"""WITH {SQL_CURVE} SELECT method, round(sum((1 - accuracy) * n) / sum(n), 6) AS aurc, round(arg_min(accuracy, coverage) FILTER (coverage >= 0.5), 6) AS acc_at_50,

@@ -308,15 +308,23 @@ def coexpression(spark, d):
     return P.coexpression(u, ["cohort", "cell_id"]) .select("cohort", "label", "m1", "m2", r6("r").alias("r"))
 
 
-@query("coexpression_agreement", f"""WITH {SQL_RANKED},
+@query("coexpression_agreement", f"""WITH {SQL_SIG},
+told AS (SELECT cohort, label, marker FROM rescaled WHERE w >= 0.10),
+enough AS (SELECT a.cohort AS cohort_a, a.label AS a, b.cohort AS cohort_b, b.label AS b FROM told a JOIN told b USING (marker)
+           WHERE (a.cohort, a.label) < (b.cohort, b.label) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3),
 cx AS (SELECT a.cohort, a.native_label AS label, a.marker AS m1, b.marker AS m2, round(corr(a.u, b.u), 9) AS r
-FROM ranked a JOIN ranked b ON a.cell_id = b.cell_id AND a.cohort = b.cohort AND a.marker < b.marker GROUP BY 1, 2, 3, 4)
-SELECT a.cohort AS cohort_a, a.label AS a, b.cohort AS cohort_b, b.label AS b, round(corr(a.r, b.r), 5) + 0.0 AS coex_r, count(*) AS n_pairs
-FROM cx a JOIN cx b USING (m1, m2) WHERE (a.cohort, a.label) < (b.cohort, b.label) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3""")
+FROM ranked a JOIN ranked b ON a.cell_id = b.cell_id AND a.cohort = b.cohort AND a.marker < b.marker GROUP BY 1, 2, 3, 4),
+cy AS (SELECT cx.* FROM cx JOIN told t ON t.cohort = cx.cohort AND t.label = cx.label AND t.marker = m1
+       JOIN told v ON v.cohort = cx.cohort AND v.label = cx.label AND v.marker = m2 WHERE r IS NOT NULL AND isfinite(r)),
+scored AS (SELECT a.cohort AS cohort_a, a.label AS a, b.cohort AS cohort_b, b.label AS b, round(corr(a.r, b.r), 5) + 0.0 AS coex_r, count(*) AS n_pairs
+FROM cy a JOIN cy b USING (m1, m2) WHERE (a.cohort, a.label) < (b.cohort, b.label) GROUP BY 1, 2, 3, 4
+HAVING count(*) >= 3 AND stddev_pop(a.r) > 1e-6 AND stddev_pop(b.r) > 1e-6)
+SELECT scored.* FROM scored JOIN enough USING (cohort_a, a, cohort_b, b)""")
 def coexpression_agreement(spark, d):
     u = D.ecdf(cell_values(spark, d), ["cohort", "marker"], "value", ["cell_id"])
     cx = materialise(P.coexpression(u, ["cohort", "cell_id"])).withColumn("r", F.round("r", 9))
-    return P.coexpression_agreement(cx).withColumn("coex_r", F.round("coex_r", 5) + F.lit(0.0))
+    weights = P.rescale(li_signatures(spark, d)).select("cohort", "label", "marker", "w")
+    return P.coexpression_agreement(cx, weights).withColumn("coex_r", F.round("coex_r", 5) + F.lit(0.0))
 
 
 @query("lineage_assignment", f"""WITH {SQL_VRANKED},

@@ -46,20 +46,6 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
-SPLIT_BYTES = 128 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that is too small to give every core a split of its own.
-
-    A single-row-group file would otherwise run its whole stage in one task. Inputs of at least one
-    full split per core are returned as they are, so large tables are never shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back.
 
@@ -76,11 +62,3 @@ def materialise_counted(df: DataFrame) -> tuple[DataFrame, int]:
     seen = Observation()
     out = materialise(df.observe(seen, F.count(F.lit(1)).alias("n")))
     return out, seen.get["n"]
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast hint only after counting; larger sides keep Spark's own join choice.
-
-    Call it on materialised or metadata-sized input: the count reads at most max_rows + 1 rows.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

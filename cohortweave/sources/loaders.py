@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from cohortweave.functions.numeric import clean, safe_div
 from cohortweave.operators.joins import left_join_one
-from cohortweave.session import broadcast_if_small, materialise
+from cohortweave.session import materialise
 from cohortweave.sources.specs import (
     STANDARD_COLUMNS, UNKNOWN_PATIENT, AreaRule, CohortSpec, MarkerRule,
 )
@@ -89,7 +89,7 @@ def number_rows(df: DataFrame, out: str = "cell_id") -> DataFrame:
     # one row per input partition
     offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     return (tagged.withColumn("_p", part).withColumn("_i", pos)
-            .join(broadcast_if_small(offsets), "_p")
+            .join(offsets, "_p")
             .withColumn(out, (F.col("_o") + F.col("_i")).cast("long"))
             .drop("_m", "_p", "_i", "_o"))
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 PREDICTION_COLUMNS = ("cell_id", "cohort", "held", "method", "protocol", "y_true", "y_pred")
 
@@ -46,11 +47,17 @@ def save_predictions(df: DataFrame, path: str) -> None:
     missing = [c for c in PREDICTION_COLUMNS if c not in df.columns]
     if missing:
         raise KeyError(f"predictions lack {missing}")
-    df.select(*PREDICTION_COLUMNS).write.mode("append").partitionBy("method", "held").parquet(path)
+    # saving a (method, held) again replaces it
+    df.select(*PREDICTION_COLUMNS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "method", "held").parquet(path)
 
 
 def load_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*PREDICTION_COLUMNS)
+    """Method and held are text even where every name looks like a number."""
+    stored = spark.read.parquet(path).schema
+    for name in ("method", "held"):
+        stored[name].dataType = StringType()
+    return spark.read.schema(stored).parquet(path).select(*PREDICTION_COLUMNS)
 
 
 def fingerprint(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
