@@ -26,7 +26,7 @@ from cohortweave.llm.chunks import slices
 from cohortweave.llm.components import components
 from cohortweave.session import materialise
 
-GROUP_GRAMS = 2_000_000  # n-grams in a block
+GROUP_GRAMS = 250_000  # n-grams in a block
 SEEDS = 40
 U64 = np.uint64
 EVEN, ODD = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9)
