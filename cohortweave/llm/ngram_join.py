@@ -3,7 +3,8 @@
 Two texts link when the Jaccard similarity of their sets of distinct word n-grams reaches a percentage.
 Texts with equal sets are one class. Classes that may link are brought together by signatures, without
 loss: sets at the threshold differ in at most D n-grams, so of D + 1 parts of the hash space at least one
-is the same in both. Classes that share a signature, directly or in a chain, form a group, and each group
+is the same in both. Sets of like size that share a signature, directly or in a chain, form a group; a set
+is in the groups of its own and of the next size class. Each group
 is joined in a prefix tree: sets are stored as paths of globally ordered (by hash) n-grams, a probe walks
 the tree sharing the overlap of common paths, and leaves a subtree when the remaining n-grams cannot
 reach the threshold or when the subtree is already in its component. Groups too large for a task are cut
@@ -26,7 +27,7 @@ from cohortweave.llm.chunks import slices
 from cohortweave.llm.components import components
 from cohortweave.session import materialise
 
-GROUP_GRAMS = 250_000  # n-grams in a block
+GROUP_GRAMS = 1_000_000  # n-grams in a block
 SEEDS = 40
 U64 = np.uint64
 EVEN, ODD = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9)
@@ -92,8 +93,13 @@ class Classes:
         return differ + 1 + spare, spare
 
 
-def signatures(grams: np.ndarray, classes: Classes) -> np.ndarray:
-    """Signatures of a set such that linked sets that are not equal share at least one.
+def class_key(digest1: int, c: int) -> int:
+    """Key of a set within a size class."""
+    return signed(mix(np.array([(digest1 + (c + 1) * int(EVEN)) & (1 << 64) - 1], U64))[0])
+
+
+def signatures(grams: np.ndarray, classes: Classes) -> list[tuple[int, np.ndarray]]:
+    """(size class, signatures) of a set such that linked sets that are not equal share at least one.
 
     A part's signature hashes its n-grams. Empty parts say nothing, so they are left out; a set with more
     empty parts than are spare gets another division of the hash space besides. If two sets agree in
@@ -105,19 +111,21 @@ def signatures(grams: np.ndarray, classes: Classes) -> np.ndarray:
         parts, spare = classes.parts(c)
         if not parts:
             continue
+        said = []
         for seed in range(SEEDS):
             h = np.sort(mix(grams + U64((seed + 1) * int(EVEN) & (1 << 64) - 1)))
             part = ((h >> U64(32)) * U64(parts)) >> U64(32)
             starts = np.flatnonzero(np.diff(part, prepend=U64(parts)))
             sums = np.add.reduceat(mix(h ^ ODD), starts)
             salt = U64((c << 16) | seed)
-            out.append(mix(sums + mix(part[starts] + mix(np.array([salt]) + EVEN))))
+            said.append(mix(sums + mix(part[starts] + mix(np.array([salt]) + EVEN))))
             if parts - len(starts) <= spare:
                 break
         else:
             empty = np.setdiff1d(np.arange(parts, dtype=U64), part[starts])
-            out.append(mix(mix(empty + mix(np.array([salt]) + EVEN)) + ODD))
-    return np.concatenate(out) if out else np.zeros(0, U64)
+            said.append(mix(mix(empty + mix(np.array([salt]) + EVEN)) + ODD))
+        out.append((c, np.concatenate(said)))
+    return out
 
 
 @dataclass
@@ -206,23 +214,27 @@ def key_of(a: Column, b: Column) -> Column:
 
 
 
-def described(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, row, size, d1, d2: each row's set size and key, stored."""
+def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, row, size, d1, d2 and keys (of d1 in both size classes): each row's set, stored."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes(percent)
         for rows in slices(batches, 2):
             sets = [gram_set(t, n) for _, _, t in rows]
             keys = [digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                  pa.array(map(len, sets), pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
-                 pa.array([k[1] for k in keys], pa.int64())], names=["doc_id", "row", "size", "d1", "d2"])
+                 pa.array([k[1] for k in keys], pa.int64()),
+                 pa.array([[class_key(k[0], c) for c in (classes.of(len(s)), classes.of(len(s)) + 1)]
+                           for s, k in zip(sets, keys)], pa.list_(pa.int64()))],
+                names=["doc_id", "row", "size", "d1", "d2", "keys"])
 
     return materialise(docs.select("doc_id", "row", "text").mapInArrow(
-        run, "doc_id long, row long, size long, d1 long, d2 long"))
+        run, "doc_id long, row long, size long, d1 long, d2 long, keys array<long>"))
 
 
 def candidate_edges(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b: keys of sets that share a signature, each with the smallest key among those that do.
+    """a, b: class keys of sets that share a signature, each with the smallest key among those that do.
 
     A signature's rows stand together in a sorted partition and are read as a stream, so a signature that
     many sets share takes no memory.
@@ -233,13 +245,13 @@ def candidate_edges(docs: DataFrame, n: int, percent: int) -> DataFrame:
             signs, keys = [], []
             for (text,) in rows:
                 grams = gram_set(text, n)
-                if len(grams):
-                    s = signatures(grams, classes)
+                first = digest(grams)[0]
+                for c, s in signatures(grams, classes) if len(grams) else ():
                     signs.append(s)
-                    keys.append(np.full(len(s), digest(grams)[0], np.int64))
+                    keys.append(np.full(len(s), class_key(first, c), np.int64))
             if signs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs).astype(np.int64)), pa.array(np.concatenate(keys))],
-                                                 names=["sign", "d1"])
+                                                 names=["sign", "key"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_sign = last_key = first_key = None
@@ -257,8 +269,8 @@ def candidate_edges(docs: DataFrame, n: int, percent: int) -> DataFrame:
             last_sign, last_key, first_key = sign[-1], key[-1], first[-1]
             yield pa.RecordBatch.from_arrays([pa.array(first[keep]), pa.array(key[keep])], names=["a", "b"])
 
-    signed_sets = docs.select("text").mapInArrow(emit, "sign long, d1 long")
-    return signed_sets.repartition("sign").sortWithinPartitions("sign", "d1").mapInArrow(runs, "a long, b long").distinct()
+    signed_sets = docs.select("text").mapInArrow(emit, "sign long, key long")
+    return signed_sets.repartition("sign").sortWithinPartitions("sign", "key").mapInArrow(runs, "a long, b long").distinct()
 
 
 def tree_links(sets: DataFrame, n: int, percent: int) -> DataFrame:
@@ -310,11 +322,12 @@ def linked_rows(docs: DataFrame, n: int, percent: int, id_col: str, text_col: st
     """doc_id, row (hash of id and text), size and component_id for every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(id_col, text_col).alias("row"), text.alias("text"))
-    members = described(slim, n)
+    members = described(slim, n, percent)
     classes = members.where("size > 0").groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("size").alias("size"))
+        F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     parts = components(materialise(candidate_edges(slim, n, percent)))
-    grouped = classes.join(parts.select(F.col("node").alias("d1"), F.col("label").alias("part")), "d1")
+    in_classes = classes.select("row", "d1", "d2", "size", F.explode("keys").alias("node"))
+    grouped = in_classes.join(parts.select("node", F.col("label").alias("part")), "node")
     blocks = grouped.groupBy("part").agg(F.ceil(F.sum("size") / GROUP_GRAMS).cast("long").alias("blocks"))
     chosen = grouped.join(blocks, "part").select("row", "d1", "d2", "part", "blocks")
     sets = slim.select("row", "text").join(chosen, "row")

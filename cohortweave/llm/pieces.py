@@ -101,9 +101,13 @@ class Codec:
         self.chunk = re.compile(
             rf"\n| *[^ \n.,]+(?:[.,]+[^ \n.,]+)*(?:(?<=[{sticky}])[.,]+)?| *[.,]+[^ \n]*| +")
         self.unequal: set[str] = set()
-        self.cache = ChunkCache(self.learn)
+        self.cache = ChunkCache(self.learn, 300_000)
 
     def learn(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of new chunks, some at a time, so that the libraries' results take little memory."""
+        return [ids for i in range(0, len(chunks), 5_000) for ids in self.learn_some(chunks[i:i + 5_000])]
+
+    def learn_some(self, chunks: list[str]) -> list[list[int]]:
         """Ids of new chunks; those that SentencePiece encodes otherwise are noted."""
         marked = [c.replace(" ", MARK) for c in chunks]
         blocks = [marked[i:i + BLOCK] for i in range(0, len(marked), BLOCK)]
@@ -172,7 +176,7 @@ def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(model)
-        for rows in slices(batches, 1):
+        for rows in slices(batches, 1, 1 << 20):
             coded = coder.encode([t for _, t in rows])
             flat = [i.astype("<u4") for i, _ in coded]
             ends = np.cumsum([0, *map(len, flat)])
@@ -192,8 +196,8 @@ def decode_ids(encoded: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = decoder(model)
-        for whole, start in ((b, i) for b in batches for i in range(0, b.num_rows, 200)):
-            b = whole.slice(start, 200)
+        for whole, start in ((b, i) for b in batches for i in range(0, b.num_rows, 50)):
+            b = whole.slice(start, 50)
             decoded = [None if i is None else coder.decode(i) for i in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(decoded, pa.string())],
                                              names=[*names, "decoded"])

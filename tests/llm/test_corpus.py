@@ -86,7 +86,7 @@ def test_no_link_lacks_a_shared_signature():
             if s:
                 sets.append(np.unique(ngram_join.mix(np.array(sorted(s), np.uint64))))
         classes, tree = ngram_join.Classes(percent), ngram_join.PrefixTree(percent)
-        signs = [set(ngram_join.signatures(s, classes).tolist()) for s in sets]
+        signs = [{x for _, found in ngram_join.signatures(s, classes) for x in found.tolist()} for s in sets]
         for s in sets:
             tree.add(s)
         for i, a in enumerate(map(set, (s.tolist() for s in sets))):
