@@ -17,6 +17,7 @@ from cohortweave.functions.numeric import order_key
 from cohortweave.session import materialise
 
 QUERY_BLOCK, BANK_BLOCK = 256, 1024
+CONVERGED = 2000  # fits end at their tolerance; this limit is not reached in practice
 
 
 # ------------------------------------------------------------------ prototypes
@@ -175,15 +176,15 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     return df.join(n, label)
 
 
-def linear_probe(train: DataFrame, test: DataFrame, features: str, label: str, max_iter: int = 30,
+def linear_probe(train: DataFrame, test: DataFrame, features: str, label: str, max_iter: int = CONVERGED,
                  weight: str | None = None, reg: float = 1e-3) -> DataFrame:
     """Balanced (or column-weighted) multinomial logistic regression; test rows of unseen classes
     are left out. Adds y_pred and probability array."""
     t = train if weight else balanced_weights(train, label)
-    t = t.select(array_to_vector(F.col(features)).alias("features"), F.col(label).cast("double").alias("label"),
-                 F.col(weight or "weight").cast("double").alias("w")).persist()
+    t = materialise(t.select(F.col(features).alias("f"), F.col(label).cast("double").alias("label"),
+                             F.col(weight or "weight").cast("double").alias("w")))
+    t = t.select(array_to_vector("f").alias("features"), "label", "w")
     model = LogisticRegression(maxIter=max_iter, regParam=reg, weightCol="w", family="multinomial").fit(t)
-    t.unpersist()
     seen = train.select(label).distinct()
     scored = model.transform(test.join(seen, label, "left_semi").withColumn("features", array_to_vector(F.col(features))))
     return (scored.withColumn("y_pred", F.col("prediction").cast("long"))
@@ -191,7 +192,7 @@ def linear_probe(train: DataFrame, test: DataFrame, features: str, label: str, m
 
 
 def few_shot(train: DataFrame, test: DataFrame, features: str, label: str, row_id: str, shots: Sequence[int],
-             seeds: Sequence[int], max_iter: int = 30) -> DataFrame:
+             seeds: Sequence[int], max_iter: int = CONVERGED) -> DataFrame:
     """Macro-F1 per (shots, seed) of a probe fitted on `shots` rows per class."""
     from cohortweave.operators.metrics import confusion, macro, per_class
     from cohortweave.operators.sampling import uniform
@@ -213,17 +214,16 @@ def few_shot_curve(scores: DataFrame) -> DataFrame:
 def kmeans_labels(df: DataFrame, features: str, k: int, seed: int = 20260810) -> DataFrame:
     """k-means cluster of each row."""
     v = df.withColumn("features", array_to_vector(F.col(features)))
-    return KMeans(k=k, seed=seed, maxIter=20).fit(v).transform(v).drop("features").withColumnRenamed("prediction", "cluster")
+    return KMeans(k=k, seed=seed, maxIter=CONVERGED).fit(v).transform(v).drop("features").withColumnRenamed("prediction", "cluster")
 
 
 def panel_mlp(train: DataFrame, test: DataFrame, features: str, label: str, n_class: int, width: int,
-              hidden: int = 16, max_iter: int = 30, seed: int = 1) -> DataFrame:
+              hidden: int = 16, max_iter: int = 100, seed: int = 1) -> DataFrame:
     """Multilayer perceptron on a fixed panel of `width` markers; adds y_pred."""
     def vec(df: DataFrame) -> DataFrame:
         return df.withColumn("features", array_to_vector(F.col(features))).withColumn("label", F.col(label).cast("double"))
-    t = vec(train).select("features", "label").persist()
+    t = vec(materialise(train.select(features, label))).select("features", "label")
     m = MultilayerPerceptronClassifier(layers=[width, hidden, n_class], maxIter=max_iter, seed=seed).fit(t)
-    t.unpersist()
     return m.transform(vec(test)).withColumn("y_pred", F.col("prediction").cast("long")).drop(
         "features", "label", "rawPrediction", "probability", "prediction")
 

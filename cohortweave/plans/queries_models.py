@@ -99,7 +99,7 @@ SQL_SIM = """s AS (SELECT q.vec_id AS qid, b.label AS cls, b.vec_id AS bid, roun
 rk AS (SELECT *, row_number() OVER (PARTITION BY qid, cls ORDER BY sim DESC, bid) AS r, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, bid) AS ra FROM s)"""
 
 
-def similar(spark, d, k=25):
+def similar(spark, d, k=100):
     e = table(spark, d, "embeddings").select(
         F.col("vec_id"), F.concat(F.lit("C"), (F.col("vec_id") % 5).cast("string")).alias("cohort"), F.col("label").alias("cls"),
         F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
@@ -111,23 +111,23 @@ def similar_rows(spark, d):
     return similar(spark, d, 5).withColumn("sim", r6("sim"))
 
 
-@query("retrieval_votes", f"""WITH {SQL_SIM}, v AS (SELECT qid, k, cls, count(*) AS c FROM rk, (VALUES (1), (5), (25)) t(k) WHERE ra <= k GROUP BY 1, 2, 3)
+@query("retrieval_votes", f"""WITH {SQL_SIM}, v AS (SELECT qid, k, cls, count(*) AS c FROM rk, (VALUES (1), (5), (25), (100)) t(k) WHERE ra <= k GROUP BY 1, 2, 3)
 SELECT qid, CAST(k AS INTEGER) AS k, arg_max(cls, (c, -cls)) AS y_pred FROM v GROUP BY 1, 2""")
 def retrieval_votes(spark, d):
     s = materialise(similar(spark, d))
     out = None
-    for k in (1, 5, 25):
+    for k in (1, 5, 25, 100):
         v = ML.knn_vote(s, k).withColumn("k", F.lit(k))
         out = v if out is None else out.unionByName(v)
     return out
 
 
-@query("balanced_retrieval", f"""WITH {SQL_SIM}, m AS (SELECT qid, k, cls, round(avg(sim), 9) AS m FROM rk, (VALUES (1), (5), (25)) t(k) WHERE r <= k GROUP BY 1, 2, 3)
+@query("balanced_retrieval", f"""WITH {SQL_SIM}, m AS (SELECT qid, k, cls, round(avg(sim), 9) AS m FROM rk, (VALUES (1), (5), (25), (100)) t(k) WHERE r <= k GROUP BY 1, 2, 3)
 SELECT qid, CAST(k AS INTEGER) AS k, arg_max(cls, (m, -cls)) AS y_pred FROM m GROUP BY 1, 2""")
 def balanced_retrieval(spark, d):
     s = materialise(similar(spark, d))
     out = None
-    for k in (1, 5, 25):
+    for k in (1, 5, 25, 100):
         v = ML.balanced_vote(s, k).withColumn("k", F.lit(k))
         out = v if out is None else out.unionByName(v)
     return out
@@ -172,7 +172,7 @@ def feature_comparison(spark, d):
 @query("few_shot_curve")
 def few_shot_curve(spark, d):
     x = materialise(ML.disjoint_groups(packed(spark, d), "image_id", "fewshot"))
-    s = ML.few_shot(x.where("NOT is_test"), x.where("is_test"), "vec", "cls", "cell_id", (1, 5, 10), (0, 1), 20)
+    s = ML.few_shot(x.where("NOT is_test"), x.where("is_test"), "vec", "cls", "cell_id", (1, 5, 10), (0, 1))
     c = ML.few_shot_curve(s)
     return c.select("shots", r6("f1").alias("f1"), r6("sd").alias("sd"))
 
@@ -183,7 +183,7 @@ def transfer_matrix(spark, d):
     x = materialise(packed(spark, d))
     out = None
     for s in _folds(x):
-        p = ML.linear_probe(x.where(F.col("cohort") == s), x.where(F.col("cohort") != s), "vec", "cls", 20).select(
+        p = ML.linear_probe(x.where(F.col("cohort") == s), x.where(F.col("cohort") != s), "vec", "cls").select(
             F.lit(s).alias("source"), F.col("cohort").alias("target"), F.col("cls").alias("y_true"), "y_pred")
         out = p if out is None else out.unionByName(p)
     return _scores(out, ["source", "target"])
@@ -237,7 +237,7 @@ def cohort_probe(spark, d):
     """Which cohort is a row from, trained and scored on different images; retained bits."""
     x = ML.disjoint_groups(packed(spark, d), "image_id", "probe").withColumn("y", F.substring("cohort", 2, 9).cast("long"))
     x = materialise(x)
-    p = ML.linear_probe(x.where("NOT is_test"), x.where("is_test"), "vec", "y", 20)
+    p = ML.linear_probe(x.where("NOT is_test"), x.where("is_test"), "vec", "y")
     p = p.withColumn("p_true", F.greatest(F.col("prob")[F.col("y").cast("int")], F.lit(1e-12))).withColumn("n", F.size("prob"))
     acc = p.agg(F.avg((F.col("y") == F.col("y_pred")).cast("int")).alias("accuracy"))
     bits = M.retained_information(p, [], "p_true", "n")
@@ -253,7 +253,7 @@ def confidence_weighting(spark, d):
     out = None
     for h in _folds(x):
         for arm in ("one", "conf"):
-            p = ML.linear_probe(x.where(F.col("cohort") != h), x.where(F.col("cohort") == h), "vec", "cls", 15, weight=arm).select(
+            p = ML.linear_probe(x.where(F.col("cohort") != h), x.where(F.col("cohort") == h), "vec", "cls", weight=arm).select(
                 F.lit(arm).alias("arm"), F.lit(h).alias("held"), F.col("cls").alias("y_true"), "y_pred")
             out = p if out is None else out.unionByName(p)
     s = _scores(out, ["arm", "held"]).groupBy("held").pivot("arm", ["one", "conf"]).agg(F.first("macro_f1"))

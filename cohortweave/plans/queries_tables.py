@@ -649,10 +649,10 @@ def probe_holdout(spark, d):
 
 @query("capped_draw", f"""WITH {SQL_PLAN}, x AS (SELECT cohort, cell_id, part, row_number() OVER (PARTITION BY cohort, part ORDER BY md5('draw|' || part || '|' || cell_id)) AS p
   FROM cells JOIN (SELECT cohort, image_id, part FROM plan) USING (cohort, image_id))
-SELECT cohort, part, count(*) AS n, min(cell_id) AS lo FROM x WHERE part = 'val' OR (part = 'train' AND p <= 4000) OR (part = 'test' AND p <= 1000) GROUP BY 1, 2""")
+SELECT cohort, part, count(*) AS n, min(cell_id) AS lo FROM x WHERE part <> 'train' OR p <= 4000 GROUP BY 1, 2""")
 def capped_draw(spark, d):
     c = cells(spark, d).select("cohort", "image_id", "patient_id", "cell_id")
-    x = SP.draw(SP.attach_split(c, SP.split_plan(c)), "cell_id", {"train": 4000, "test": 1000})
+    x = SP.draw(SP.attach_split(c, SP.split_plan(c)), "cell_id", {"train": 4000})
     return x.groupBy("cohort", "part").agg(F.count(F.lit(1)).alias("n"), F.min("cell_id").alias("lo"))
 
 
