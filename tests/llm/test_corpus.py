@@ -6,7 +6,7 @@ import zlib
 import corpus_pipeline
 import numpy as np
 from cohortweave.llm import ngram_join, packing, queries
-from conftest import prose
+from samples import prose
 
 
 def grams(text, n):
