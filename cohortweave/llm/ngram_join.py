@@ -146,6 +146,13 @@ class PrefixTree:
         self.percent = percent
         self.root = Node(np.zeros(0, U64), 1 << 62, 0, -1, mixed=True)
         self.parent: list[int] = []
+        # the root's branches by the n-grams in their sets' prefixes: two linked sets share one of their
+        # first n - ceil(threshold * n) + 1 n-grams
+        self.branches: dict[int, set[int]] = {}
+
+    def prefix(self, grams: np.ndarray) -> list[int]:
+        n = len(grams)
+        return grams[:n + 1 + -self.percent * n // 100].tolist()
 
     def find(self, x: int) -> int:
         while self.parent[x] != x:
@@ -163,7 +170,8 @@ class PrefixTree:
 
     def probe(self, grams: np.ndarray, me: int) -> list[tuple[int, int]]:
         p, n, links = self.percent, len(grams), []
-        stack = [(child, 0, 0) for child in self.root.children.values()]
+        begun = set().union(*(self.branches[g] for g in self.prefix(grams) if g in self.branches))
+        stack = [(self.root.children[first], 0, 0) for first in begun]
         while stack:
             node, depth, overlap = stack.pop()
             if node.high * 100 < p * n or n * 100 < p * node.low:
@@ -186,6 +194,8 @@ class PrefixTree:
 
     def insert(self, grams: np.ndarray, me: int) -> None:
         node, at, n = self.root, 0, len(grams)
+        for g in self.prefix(grams):
+            self.branches.setdefault(g, set()).add(int(grams[0]))
         while True:
             node.low, node.high = min(node.low, n), max(node.high, n)
             node.mixed = node.mixed or self.find(node.leaf) != self.find(me)
