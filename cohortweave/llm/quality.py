@@ -2,7 +2,8 @@
 
 A text's character-class histogram and its histogram of common words are compared with those of its
 language by Jensen-Shannon distance. The references are sums over all texts of a language, so they
-follow the corpus; a text is only judged by a histogram it has enough material for.
+follow the corpus; a text is only judged by a histogram it has enough material for. A text that declares
+no listed language is judged by the nearest of all.
 """
 
 from __future__ import annotations
@@ -69,47 +70,63 @@ def among(words: tuple[str, ...]) -> Callable[[Column], Column]:
     return lambda x: x.isin(*words)
 
 
-def language_of(lang: str, languages: list[str]) -> Column:
-    return F.when(F.col(lang).isin(languages), F.col(lang)).otherwise(F.lit(OTHER_LANGUAGE))
+def guessed(lang: Column) -> Column:
+    """Name of the reference for texts without a listed language."""
+    return F.concat(F.lit("?"), lang)
 
 
 def add_histograms(df: DataFrame, text: str, words: str, lang: str) -> DataFrame:
-    """`df` plus _lang, _chars (counts by character class) and _common (counts of the language's
-    common words, then of all other words). Other languages use every list at once."""
-    lists = dict(COMMON) | {OTHER_LANGUAGE: tuple(dict.fromkeys(w for ws in COMMON.values() for w in ws))}
+    """`df` plus _lang, _chars, _common and _own.
+
+    _lang is the declared language, or null if `lang` names none of COMMON. _chars holds counts by
+    character class. _common has one entry (of the declared language) or, without one, an entry of each
+    language: counts of its common words, then of all other words. _own is the declared language or the
+    one with the most common words in the text, null if the text has none.
+    """
     t = F.col(text)
     bare = F.lower(F.translate(F.array_join(F.col(words), " "), ".,;:!?", ""))
-    df = (df.withColumn("_lang", language_of(lang, list(COMMON)))
+    df = (df.withColumn("_lang", F.when(F.col(lang).isin(list(COMMON)), F.col(lang)))
           .withColumn("_marks", F.regexp_replace(t, r"\p{L}+", ""))
           .withColumn("_upper", F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")))
           .withColumn("_bare", F.split(bare, " ")))
-    bins = F.lit(None).cast("array<string>")
-    frequent = F.lit(None).cast("array<string>")
-    for name, ws in lists.items():
-        bins = F.when(F.col("_lang") == name, F.array(*[F.lit(w) for w in ws])).otherwise(bins)
-        frequent = F.when(F.col("_lang") == name, F.filter("_bare", among(ws))).otherwise(frequent)
-    df = df.withColumn("_frequent", frequent).withColumn("_bins", bins)
+    lists = F.lit(None).cast("array<struct<lang:string,bins:array<string>,frequent:array<string>>>")
+    entries = [F.struct(F.lit(name).alias("lang"), F.array(*[F.lit(w) for w in ws]).alias("bins"),
+                        F.filter("_bare", among(ws)).alias("frequent")) for name, ws in COMMON.items()]
+    for name, entry in zip(COMMON, entries):
+        lists = F.when(F.col("_lang") == name, F.array(entry)).otherwise(lists)
+    df = df.withColumn("_lists", F.when(F.col("_lang").isNull(), F.array(*entries)).otherwise(lists))
     n, marks = F.length(t), F.length("_marks")
     digit = marks - F.length(F.translate("_marks", "0123456789", ""))
     space = marks - F.length(F.translate("_marks", WHITE, ""))
     stop = marks - F.length(F.translate("_marks", ".,;:!?'\"()-", ""))
     chars = [F.col("_upper"), n - marks - F.col("_upper"), digit, space, stop, marks - digit - space - stop]
-    counts = F.transform("_bins", lambda b: F.size(F.filter("_frequent", lambda x: x == b)))
+    counts = lambda e: F.transform(e["bins"], lambda b: F.size(F.filter(e["frequent"], lambda x: x == b)))
+    common = F.transform("_lists", lambda e: F.struct(e["lang"].alias("lang"), F.concat(
+        counts(e).cast("array<double>"), F.array((F.size(words) - F.size(e["frequent"])).cast("double"))).alias("counts")))
+    # the most common words first; of equal ones the last language by name
+    guess = F.array_max(F.transform("_lists", lambda e: F.struct(F.size(e["frequent"]).alias("n"), e["lang"].alias("lang"))))
     return (df.withColumn("_chars", F.array(*[c.cast("double") for c in chars]))
-            .withColumn("_common", F.concat(counts.cast("array<double>"),
-                                            F.array((F.size(words) - F.size("_frequent")).cast("double"))))
-            .drop("_marks", "_upper", "_bare", "_frequent", "_bins"))
+            .withColumn("_common", common)
+            .withColumn("_own", F.coalesce("_lang", F.when(guess["n"] > 0, guess["lang"])))
+            .drop("_marks", "_upper", "_bare", "_lists"))
 
 
 def references(histograms: DataFrame) -> DataFrame:
-    """One row a declared language (and one for the others): _lang, _chars_ref, _common_ref, summed
-    over all texts. At most len(COMMON) + 1 rows."""
-    widest = 1 + len({w for ws in COMMON.values() for w in ws})
-    sums = [F.sum(F.get("_chars", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
-    sums += [F.sum(F.get("_common", F.lit(i))).alias(f"w{i}") for i in range(widest)]
-    out = histograms.groupBy("_lang").agg(*sums)
-    return out.select("_lang", F.array(*[f"c{i}" for i in range(len(CLASSES))]).alias("_chars_ref"),
-                      F.filter(F.array(*[f"w{i}" for i in range(widest)]), lambda x: x.isNotNull()).alias("_common_ref"))
+    """One row a reference: _ref, _chars_ref, _common_ref. At most 2 * len(COMMON) rows.
+
+    The reference named like a language sums the texts that declare it and judges these alone. The one
+    named guessed() sums the texts without a listed language that come nearest to it as well.
+    """
+    widest = 1 + max(map(len, COMMON.values()))
+    own = F.get(F.filter("_common", lambda c: c["lang"] == F.col("_own")), F.lit(0))["counts"]
+    names = [f"c{i}" for i in range(len(CLASSES))] + [f"w{i}" for i in range(widest)]
+    cells = [F.get("_chars", F.lit(i)) for i in range(len(CLASSES))] + [F.get("_counts", F.lit(i)) for i in range(widest)]
+    sums = histograms.where(F.col("_own").isNotNull()).withColumn("_counts", own).groupBy(
+        "_own", F.col("_lang").isNotNull().alias("_declared")).agg(*[F.sum(c).alias(k) for k, c in zip(names, cells)])
+    both = F.when(F.col("_declared"), F.array(F.col("_own"), guessed(F.col("_own")))).otherwise(F.array(guessed(F.col("_own"))))
+    out = sums.withColumn("_ref", F.explode(both)).groupBy("_ref").agg(*[F.sum(k).alias(k) for k in names])
+    return out.select("_ref", F.array(*names[:len(CLASSES)]).alias("_chars_ref"),
+                      F.filter(F.array(*names[len(CLASSES):]), lambda x: x.isNotNull()).alias("_common_ref"))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -123,16 +140,24 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def add_verdict(df: DataFrame, refs: DataFrame) -> DataFrame:
-    """Adds char_distance, word_distance and kept. A histogram from too little material is not used."""
-    df = df.join(F.broadcast(refs), "_lang", "left")  # at most len(COMMON) + 1 rows
+    """Adds char_distance, word_distance and kept. A histogram from too little material is not used.
+
+    A text without a listed language has the distance of its nearest reference.
+    """
+    entries = F.collect_list(F.struct("_ref", F.struct("_chars_ref", "_common_ref")))
+    df = df.crossJoin(F.broadcast(refs.agg(F.map_from_entries(entries).alias("_refs"))))  # one row, at most 2 * len(COMMON) entries
+    ref = lambda name: F.try_element_at("_refs", name)
+    declared = F.col("_lang").isNotNull()
+    by_chars = F.when(declared, js_distance(F.col("_chars"), ref(F.col("_lang"))["_chars_ref"])).otherwise(
+        F.array_min(F.transform(F.map_values("_refs"), lambda r: js_distance(F.col("_chars"), r["_chars_ref"]))))
+    by_words = F.when(declared, js_distance(F.get("_common", F.lit(0))["counts"], ref(F.col("_lang"))["_common_ref"])).otherwise(
+        F.array_min(F.transform("_common", lambda c: js_distance(c["counts"], ref(guessed(c["lang"]))["_common_ref"]))))
     chars = F.aggregate("_chars", F.lit(0.0), lambda s, x: s + x)
-    df = (df.withColumn("char_distance", F.when(chars >= MIN_CHARS, js_distance(F.col("_chars"), F.col("_chars_ref"))))
-          .withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS,
-                                              js_distance(F.col("_common"), F.col("_common_ref")))))
+    df = (df.withColumn("char_distance", F.when(chars >= MIN_CHARS, by_chars))
+          .withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, by_words)))
     far = ((F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE)
            | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE))
-    return df.withColumn("kept", ~F.col("base_failed") & ~far).drop("_lang", "_chars", "_common", "_chars_ref",
-                                                                   "_common_ref")
+    return df.withColumn("kept", ~F.col("base_failed") & ~far).drop("_lang", "_chars", "_common", "_own", "_refs")
 
 
 def features(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -153,8 +178,9 @@ def scored(docs: DataFrame, keys: dict[str, Column], text_col: str, lang_col: st
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id, the base counts, both distances and kept for every row.
 
-    Null text has no words, so it fails the base rule. A null or undeclared language is compared with
-    the reference of all such texts. Null ids and repeated rows are scored like any other. An empty
+    Null text has no words, so it fails the base rule. A text whose language is null or not in
+    COMMON is compared with every language and judged by the nearest; a language without a word list has no
+    reference of its own. Null ids and repeated rows are scored like any other. An empty
     table gives no rows. Other columns are not read.
     """
     return scored(docs, {id_col: F.col(id_col)}, text_col, lang_col)

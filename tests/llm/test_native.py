@@ -116,3 +116,23 @@ def test_quality_keeps_prose_and_rejects_symbols(spark, docs_schema):
     kept = {r["doc_id"] for r in rows(quality.keep_good(df))}
     assert 100 not in kept and len(kept) == 60
     assert {r["doc_id"] for r in rows(quality.score_documents(df)) if r["kept"]} == kept
+
+
+def mixed_languages(declared):
+    """120 clean texts, half of them English; every `declared`-th says its language."""
+    import random
+
+    rng, out = random.Random(3), []
+    for i in range(120):
+        lang = ("en", "fr", "en", "de", "en", "es")[i % 6]
+        text = " ".join(rng.choice(quality.COMMON[lang]) if rng.random() < .4 else
+                        "".join(rng.choice("bdlmnrst") + rng.choice("aeiou") for _ in range(3)) for _ in range(400))
+        out.append((i, text, lang if declared and i // 6 % declared == 0 else rng.choice([None, "xx"])))
+    return out
+
+
+def test_quality_keeps_clean_texts_without_language(spark):
+    junk = (500, " ".join(f"{'the' if k % 2 else 'ba' + 'dlmn'[k % 3] + str(k)}" for k in range(400)), None)
+    for declared in (0, 4):
+        df = spark.createDataFrame([*mixed_languages(declared), junk], "doc_id long, text string, lang string")
+        assert {r["doc_id"] for r in rows(quality.keep_good(df))} == set(range(120)), declared
