@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,7 +55,7 @@ LABELLED = (
     (8, 0.0, 6, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (13, 0.5, 9, 1.0, 7, 0.0, 0, 0, 0, 0, 0), (3, 0.0, 40, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
 )
 
-ASIDE = frozenset("nav footer aside form menu dialog".split())
+ASIDE = frozenset("nav footer aside menu dialog".split())  # and a form that is not around the page
 DROPPED = frozenset("head title script style template svg math iframe object canvas audio video textarea select option "
                     "optgroup datalist button noscript label legend fieldset".split())
 RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in ("script", "style", "textarea", "title", "iframe", "noscript")}
@@ -69,6 +70,16 @@ HINTS = frozenset(
     "recommended replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags "
     "teaser toc toolbar tracking widget widgets complementary contentinfo header response responses feedback".split())
 CONTENT = frozenset("article content entry main post story".split())
+# parts that hold texts of their own: an article or entry inside one is a comment, advert or teaser
+ITEMS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense comment comments commentlist discussion disqus related "
+    "recommended replies reply respond response responses feedback promo promotion sponsor sponsored teaser hidden".split())
+FORMS = frozenset(("form", "forms"))
+# compound names that begin or end so say something about a part without naming it
+MODIFIERS = frozenset("has with without no not tag category layout".split())
+STATES = frozenset("enabled disabled".split())
+LANDMARKS = frozenset("nav header footer main article".split())
+PAGE_FORM_WORDS = 50
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|([^>]*)>)", re.S)
@@ -86,15 +97,32 @@ class Block:
     hinted: int
     article: int
     heading: int
+    form: int = -1  # place of the form around it
 
 
-def marks_of(attributes: str) -> tuple[int, int]:
-    """Whether the class, id or role names a side part, and whether it names content."""
-    if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return 0, 0
-    names = {w.lower() for m in NAMED.finditer(attributes) for w in WORD.findall(m[2] or m[3] or m[4] or "")}
-    hinted = bool(names & HINTS) or bool(UNSEEN.search(attributes))
-    return int(hinted), int(not hinted and bool(names & CONTENT))
+def marks_of(tag: str, attributes: str) -> tuple[int, int, int]:
+    """How firmly an element names a side part (0 to 3), and whether it names content and the page's main part.
+
+    1: part of a compound name, which an article, main or content name inside resets; 2: the whole name or
+    one of ITEMS, which only the main part resets; 3: unseen, which nothing resets.
+    """
+    level, named, tagged, main = 0, False, tag in ("article", "main"), tag == "main"
+    if attributes and ("=" in attributes or "hidden" in attributes):
+        names = []
+        for m in NAMED.finditer(attributes):
+            value = m[2] or m[3] or m[4] or ""
+            main = main or m[1].lower() == "role" and value.strip().lower() == "main"
+            names += [[w.lower() for w in WORD.findall(x)] for x in value.split()]
+        names = [set(x) for x in names if x and not (len(x) > 1 and (x[0] in MODIFIERS or x[-1] in STATES))]
+        named = any(x & CONTENT and not x & HINTS for x in names)
+        for x in names:
+            side = x & HINTS - (FORMS if tag == "form" else frozenset())
+            items, firm = bool(side & ITEMS), x <= HINTS and not side <= FORMS
+            if side and not (named and tagged and not items if firm else named or tagged and not items):
+                level = max(level, 2 if firm or items else 1)
+        if UNSEEN.search(attributes):
+            level = 3
+    return level, int(not level and (named or tagged)), int(not level and main)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -104,7 +132,9 @@ def blocks_of(page: str) -> list[Block]:
     the element around them.
     """
     out: list[Block] = []
-    stack: list[tuple[str, int, int, int, int]] = []  # name, dropped, aside, hinted, article, each including outer ones
+    # name, dropped, aside, hinted (a level of marks_of), article, form, each including outer ones
+    stack: list[tuple[str, int, int, int, int, int]] = []
+    page_forms: list[bool] = []  # of each form, whether it is around the page rather than part of it
     parts: list[str] = []
     linked = in_link = heading = 0
 
@@ -112,8 +142,9 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal parts, linked, in_link, heading
         words = "".join(parts).split()
         if words:
-            _, _, aside, hinted, article = stack[-1] if stack else ("", 0, 0, 0, 0)
-            out.append(Block(" ".join(words), len(words), min(linked, len(words)), aside, hinted, article, heading))
+            _, _, aside, hinted, article, form = stack[-1] if stack else ("", 0, 0, 0, 0, -1)
+            out.append(Block(" ".join(words), len(words), min(linked, len(words)), aside, int(hinted > 0), article,
+                             heading, form))
         parts, linked, in_link, heading = [], 0, 0, 0
 
     def text(raw: str) -> None:
@@ -163,16 +194,28 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if stack and stack[-1][0] == "p" or stack and name == "li" and stack[-1][0] == "li":
             stack.pop()
-        _, dropped, aside, hinted, article = stack[-1] if stack else ("", 0, 0, 0, 0)
-        own_hint, own_content = (0, 0) if name in ("body", "html", "article", "main") and not attributes else marks_of(attributes)
-        if name in ("body", "html"):
-            own_hint = own_content = 0
+        _, dropped, aside, hinted, article, form = stack[-1] if stack else ("", 0, 0, 0, 0, -1)
+        own_hint, own_content, own_main = (0, 0, 0) if name in ("body", "html") else marks_of(name, attributes)
+        if form >= 0 and name in LANDMARKS:
+            page_forms[form] = True
+        if own_content and hinted < 2 or own_main and hinted < 3:
+            hinted, form = 0, -1
+        if name == "form":
+            form = len(page_forms)
+            page_forms.append(False)
         stack.append((name, dropped or int(name in DROPPED),
-                      aside or int(name in ASIDE or name == "header" and not article), hinted or own_hint,
-                      article or own_content or int(name in ("article", "main"))))
+                      aside or int(name in ASIDE or name == "header" and not article), max(hinted, own_hint),
+                      article or own_content or int(name in ("article", "main")), form))
         if name in HEADINGS:
             heading = 1
     flush()
+    inside = Counter()
+    for b in out:
+        inside[b.form] += b.words
+    total = sum(inside.values())
+    for b in out:
+        around = b.form >= 0 and (page_forms[b.form] or inside[b.form] >= PAGE_FORM_WORDS and 2 * inside[b.form] > total)
+        b.aside = b.aside or int(b.form >= 0 and not around)
     return out
 
 

@@ -27,6 +27,38 @@ def test_main_text_of_a_page():
     assert html_text.main_text("<p", nodes) == html_text.main_text("<!-- x", nodes) == ""
 
 
+LONG = " ".join(f"word{i}" for i in range(80))
+
+
+@pytest.mark.parametrize("page", [
+    "<article class='post tag-x category-social'><p>{}</article>",
+    "<div class='content has-sidebar'><p>{}</div>",
+    "<div id='layout-search-enabled'><p>{}</div>",
+    "<div class='page-header-fixed'><article><p>{}</article></div>",
+    "<div class=sidebar-page><div class=content><p>{}</div></div>",
+    "<div class=modal><main><p>{}</main></div>",
+    "<article class='post comments-open'><p>{}</article>",
+    "<form id=aspnetForm><nav><a href=a>Home</a></nav><p>{}</form>",
+    "<form id=form1><div><p>{}</div></form>",
+    "<form><div class=content><p>{}</div></form>",
+])
+def test_main_text_inside_marked_wrappers(page):
+    nodes = html_text.train_tree(np.array(html_text.LABELLED))
+    assert html_text.main_text("<body>" + page.format(LONG), nodes) == LONG
+
+
+@pytest.mark.parametrize("page", [
+    "<div id=comments class=comments-area><article class=comment-body><p>{}</article></div>",
+    "<div class=sidebar><div class=content><p>{}</div></div>", "<article class=comment-body><p>{}</article>",
+    "<div class=modal><div class=modal-content><p>{}</div></div>", "<article class='post sponsored'><p>{}</article>",
+    "<div style='display:none'><main><p>{}</main></div>", "<nav><article><p>{}</article></nav>",
+    "<article><p>{0} {0}</article><form class=contact><p>{0}</form>",
+])
+def test_side_parts_stay_out(page):
+    nodes = html_text.train_tree(np.array(html_text.LABELLED))
+    assert html_text.main_text("<body>" + page.format(LONG), nodes) in ("", f"{LONG} {LONG}")
+
+
 def test_pages_with_odd_rows(spark):
     rows = [(1, None, None, "x", 1), (2, "u", "", None, None), (None, "u", "<article><p>Text.</article>", "x", 1),
             (3, "v", "<article>" + "<p>word</p>" * 20_000, "x", 1), (3, "v", "<article>" + "<p>word</p>" * 20_000, "x", 1)]
