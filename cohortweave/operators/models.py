@@ -191,6 +191,18 @@ def linear_probe(train: DataFrame, test: DataFrame, features: str, label: str, m
             .withColumn("prob", vector_to_array("probability")).drop("features", "rawPrediction", "probability", "prediction"))
 
 
+def standardise(df: DataFrame, column: str, train: DataFrame) -> DataFrame:
+    """`column` (an array) as log1p values, less the mean and over the population sd of `train` at each
+    position; negative values mirror positive ones, positions without spread become 0."""
+    log = lambda x: F.signum(x) * F.log1p(F.abs(x))
+    at = train.select(F.posexplode(column).alias("_i", "_x")).groupBy("_i").agg(
+        F.avg(log(F.col("_x"))).alias("mean"), F.stddev_pop(log(F.col("_x"))).alias("sd"))
+    stats = {r["_i"]: r for r in at.collect()}  # one row a position
+    means, sds = (F.array(*[F.lit(stats[i][k]) for i in sorted(stats)]) for k in ("mean", "sd"))
+    return df.withColumn(column, F.transform(column, lambda x, i: F.when(
+        F.get(sds, i) > 0, (log(x) - F.get(means, i)) / F.get(sds, i)).otherwise(0.0)))
+
+
 def few_shot(train: DataFrame, test: DataFrame, features: str, label: str, row_id: str, shots: Sequence[int],
              seeds: Sequence[int], max_iter: int = CONVERGED) -> DataFrame:
     """Macro-F1 per (shots, seed) of a probe fitted on `shots` rows per class."""

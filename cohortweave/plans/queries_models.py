@@ -160,7 +160,8 @@ def feature_comparison(spark, d):
     """Rank, train-standardised raw, and both, on the same image split."""
     u, raw = packed(spark, d), packed(spark, d, "value").select("cell_id", F.col("vec").alias("raw"))
     x = ML.disjoint_groups(u.join(raw, "cell_id"), "image_id", "features")
-    x = materialise(x.withColumn("both", F.concat("vec", "raw")))
+    x = materialise(x)
+    x = materialise(ML.standardise(x, "raw", x.where("NOT is_test")).withColumn("both", F.concat("vec", "raw")))
     out = None
     for name in ("vec", "raw", "both"):
         p = ML.linear_probe(x.where("NOT is_test"), x.where("is_test"), name, "cls").select(
@@ -179,13 +180,15 @@ def few_shot_curve(spark, d):
 
 @query("transfer_matrix")
 def transfer_matrix(spark, d):
-    """One probe per source cohort, scored on every other cohort."""
+    """One probe per source cohort, scored on every other cohort, and one of all other cohorts for each (pooled)."""
     x = materialise(packed(spark, d))
     out = None
     for s in _folds(x):
-        p = ML.linear_probe(x.where(F.col("cohort") == s), x.where(F.col("cohort") != s), "vec", "cls").select(
-            F.lit(s).alias("source"), F.col("cohort").alias("target"), F.col("cls").alias("y_true"), "y_pred")
-        out = p if out is None else out.unionByName(p)
+        one, rest = x.where(F.col("cohort") == s), x.where(F.col("cohort") != s)
+        for name, train, test in ((s, one, rest), ("pooled", rest, one)):
+            p = ML.linear_probe(train, test, "vec", "cls").select(
+                F.lit(name).alias("source"), F.col("cohort").alias("target"), F.col("cls").alias("y_true"), "y_pred")
+            out = p if out is None else out.unionByName(p)
     return _scores(out, ["source", "target"])
 
 
