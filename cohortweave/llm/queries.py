@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortweave.llm import chat, html_text, ngram_join, packing, pieces, quality, sharding, sketch, toxicity, warc
-from cohortweave.llm import queries_leaks, queries_vectors  # noqa: F401  (register their queries)
+from cohortweave.llm import queries_leaks, queries_tokens, queries_vectors  # noqa: F401  (register their queries)
 from cohortweave.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
