@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortweave.functions.numeric import order_key
+from cohortweave.operators import packed
 from cohortweave.session import materialise
 
 QUERY_BLOCK, BANK_BLOCK = 256, 1024
@@ -38,16 +39,24 @@ def loco_prototypes(long: DataFrame, cls: str, value: str) -> DataFrame:
     return j.where("tn > n").select("held", F.col(cls).alias("cls"), "marker", ((F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n"))).alias("c"))
 
 
+def joined_scores(long: DataFrame, prototypes: DataFrame, row: Sequence[str], value: str, measure: str) -> DataFrame:
+    """row, cls, score by a join on the marker: the way for prototypes beyond the size of a shipped matrix."""
+    on = ["marker"] + (["held"] if "held" in prototypes.columns and "held" in long.columns else [])
+    v, c = F.col(value), F.col("c")
+    score = {"cosine": F.try_divide(F.sum(v * c), F.sqrt(F.sum(v * v) * F.sum(c * c))), "rms": F.sqrt(F.avg(F.pow(v - c, 2)))}[measure]
+    return (long.where(v.isNotNull()).join(prototypes, on).groupBy(*row, "cls").agg(score.alias("score"))
+            .where(F.col("score").isNotNull()))
+
+
 def cosine_scores(long: DataFrame, prototypes: DataFrame, row: Sequence[str], value: str) -> DataFrame:
     """Cosine of every row with every prototype over the shared markers: row, cls, score.
 
-    prototypes carry the fold key `held` = the row's cohort when they are fold-specific. They are
-    class x marker sized, so AQE broadcasts them from their measured size.
+    prototypes are stored; they carry the fold key `held` = the row's cohort when they are fold-specific.
     """
-    on = ["marker"] + (["held"] if "held" in prototypes.columns and "held" in long.columns else [])
-    v = F.col(value)
-    return long.join(prototypes, on).groupBy(*row, "cls").agg(
-        (F.sum(v * F.col("c")) / F.sqrt(F.sum(v * v) * F.sum(F.col("c") * F.col("c")))).alias("score"))
+    if packed.fits(prototypes):
+        scored = packed.class_scores(long, prototypes, row, value, "cosine")
+        return scored.select(*row, F.explode("scores").alias("_s")).select(*row, "_s.cls", "_s.score")
+    return joined_scores(long, prototypes, row, value, "cosine")
 
 
 def best_class(scores: DataFrame, row: Sequence[str], highest: bool = True, digits: int = 9) -> DataFrame:
@@ -57,24 +66,31 @@ def best_class(scores: DataFrame, row: Sequence[str], highest: bool = True, digi
     return scores.groupBy(*row).agg(F.max_by("cls", order).alias("y_pred"), F.max_by("score", order).alias("score"))
 
 
+def nearest(long: DataFrame, prototypes: DataFrame, row: Sequence[str], value: str, measure: str) -> DataFrame:
+    """row, y_pred, score: highest cosine or smallest RMS difference, scored where the packed row is."""
+    highest = measure == "cosine"
+    if packed.fits(prototypes):
+        return packed.best_of(packed.class_scores(long, prototypes, row, value, measure), row, highest)
+    return best_class(joined_scores(long, prototypes, row, value, measure), row, highest)
+
+
 def prototype_predict(long: DataFrame, prototypes: DataFrame, row: Sequence[str], value: str) -> DataFrame:
     """Nearest prototype by cosine."""
-    return best_class(cosine_scores(long, prototypes, row, value), row)
+    return nearest(long, prototypes, row, value, "cosine")
 
 
-def softmax_confidence(scores: DataFrame, row: Sequence[str], temperature: float = 0.1) -> DataFrame:
-    """Top softmax probability of the cosine scores at a temperature."""
-    w = Window.partitionBy(*row)
-    e = F.exp((F.col("score") - F.max("score").over(w)) / temperature)
-    return scores.withColumn("_e", e).groupBy(*row).agg((F.max("_e") / F.sum("_e")).alias("confidence"))
+def softmax_shares(scores: Column | str, temperature: float = 0.1) -> Column:
+    """(cls, p) of a packed row's scores: softmax at a temperature, in place."""
+    scores = F.col(scores) if isinstance(scores, str) else scores
+    top = F.array_max(F.transform(scores, lambda s: s["score"]))
+    e = F.transform(scores, lambda s: F.exp((s["score"] - top) / temperature))
+    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+    return F.zip_with(scores, e, lambda s, x: F.struct(s["cls"].alias("cls"), (x / total).alias("p")))
 
 
 def masked_profile_predict(long: DataFrame, prototypes: DataFrame, row: Sequence[str], value: str) -> DataFrame:
     """Nearest profile by RMS difference over the markers the row measures; no learning."""
-    on = ["marker"] + (["held"] if "held" in prototypes.columns and "held" in long.columns else [])
-    d = F.sqrt(F.avg(F.pow(F.col(value) - F.col("c"), 2)))
-    scores = long.where(F.col(value).isNotNull()).join(prototypes, on).groupBy(*row, "cls").agg(d.alias("score"))
-    return best_class(scores, row, highest=False)
+    return nearest(long, prototypes, row, value, "rms")
 
 
 def prototype_separation(prototypes: DataFrame, keys: Sequence[str] = ("held",)) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortweave.functions.numeric import mid_rank, safe_div, share
+from cohortweave.operators import packed
 from cohortweave.operators.distribution import (
     chunk_offsets, median, quantile_from_counts, quantiles, running_counts,
 )
@@ -26,6 +27,7 @@ MIN_INFORMATIVE = 0.10  # smaller between-label range of a marker says nothing a
 MIN_SPREAD = 1e-6
 LINEAGE_FLOOR = 0.01
 MIN_SIDE = 20
+RANK_CENTRE = 0.5  # middle of the rank scale: sums are kept around it
 NULL_LABELS = ("", "nan", "none", "null", "na")
 # -------------------------------------------------------------------------------------
 
@@ -193,16 +195,13 @@ def image_statistics(counts_u: DataFrame) -> DataFrame:
 
 
 def coexpression(long_u: DataFrame, cell: Sequence[str]) -> DataFrame:
-    """Within-label Pearson r of every marker pair m1 < m2: cohort, label, m1, m2, r.
+    """Within-label Pearson r of every marker pair m1 < m2 over the cells that measure both: cohort, label, m1, m2, r.
 
-    The self-join key is the cell, so the fan-out is bounded by the vocabulary, and corr is a
-    partial/final aggregate.
+    Cells are packed once; a task sends one sum a label and pair. r is NULL where a marker has no spread.
     """
-    keys = list(cell)
-    left = long_u.select(*keys, "cohort", "native_label", F.col("marker").alias("m1"), F.col("u").alias("u1"))
-    right = long_u.select(*keys, F.col("marker").alias("m2"), F.col("u").alias("u2"))
-    return (left.join(right, keys).where("m1 < m2").groupBy("cohort", "native_label", "m1", "m2")
-            .agg(F.corr("u1", "u2").alias("r")).withColumnRenamed("native_label", "label"))
+    keys = list(dict.fromkeys([*cell, "cohort", "native_label"]))
+    moments = packed.co_moments(packed.pack(long_u, keys, "u"), ["cohort", "native_label"], RANK_CENTRE)
+    return packed.correlation_of(moments, ["cohort", "native_label"]).withColumnRenamed("native_label", "label")
 
 
 def coexpression_agreement(coex: DataFrame, weights: DataFrame, min_weight: float = MIN_INFORMATIVE,

@@ -8,6 +8,7 @@ from cohortweave.functions.numeric import r6
 from cohortweave.operators import agreement as A
 from cohortweave.operators import metrics as M
 from cohortweave.operators import models as ML
+from cohortweave.operators import packed as PK
 from cohortweave.operators import profile as PF
 from cohortweave.operators import protocol as PR
 from cohortweave.operators import splits as SP
@@ -302,12 +303,10 @@ def coarse_accuracy(spark, d):
 pr AS (SELECT held, cell_id, sum(e) FILTER (cls = y_true) / sum(e) AS p, count(*) AS n FROM sm GROUP BY 1, 2)
 SELECT held, max(n) AS n_groups, round(-avg(log2(p)), 6) AS ce_bits, round(log2(max(n)) - -avg(log2(p)), 6) + 0.0 AS retained_bits FROM pr GROUP BY 1""")
 def retained_information(spark, d):
-    from pyspark.sql.window import Window
     u, p = proto_predictions(spark, d)
-    s = ML.cosine_scores(u, p, ROW, "u")
-    w = Window.partitionBy("held", "cell_id")
-    s = s.withColumn("e", F.exp((F.col("score") - F.max("score").over(w)) / 0.1))
-    pr = s.groupBy("held", "cell_id").agg((F.sum(F.when(F.col("cls") == F.col("y_true"), F.col("e"))) / F.sum("e")).alias("p"), F.count(F.lit(1)).alias("n"))
+    s = PK.class_scores(u, p, ROW, "u", "cosine").withColumn("shares", ML.softmax_shares("scores"))
+    hit = F.get(F.filter("shares", lambda x: x["cls"] == F.col("y_true")), F.lit(0))["p"]
+    pr = s.select("held", "cell_id", hit.alias("p"), F.size("shares").cast("long").alias("n"))
     return M.retained_information(pr, ["held"], "p", "n").select("held", "n_groups", r6("ce_bits").alias("ce_bits"), r6("retained_bits").alias("retained_bits"))
 
 
