@@ -1,8 +1,9 @@
 """Alignment of two tokenizers over whole texts, and how often each token pair ends together.
 
 Texts are cut where both tokenizers must end a token: before a space or line feed that follows a character which
-is no white space. Each distinct piece is encoded and aligned once a cache, and a text is put together from its
-pieces. Pairs are counted over the corpus by spilled runs (`spill.py`).
+is no white space, and before a punctuation mark that follows a letter or digit, if no piece of the second vocabulary
+joins the two. Each distinct piece is encoded and aligned once a cache, and a text is put together from its pieces.
+Pairs are counted over the corpus by spilled runs (`spill.py`).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,10 @@ from cohortweave.session import materialise
 
 MARK = "▁"
 BYTE = 6  # fixed value of the protobuf
-# white space that a tokenizer may not count as such stays inside a piece
-PIECE = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
+LETTERS = "0-9A-Za-zÀ-ÖØ-öø-ɏ"  # letters and digits to every tokenizer, whatever its version of Unicode
+MARKS = ".,;:!?*$%&#|<>()\""
 HELD = 250_000
-AT_ONCE = 5_000
+AT_ONCE, BLOCK = 20_000, 200
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -39,6 +41,21 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def cutter(marks: str) -> re.Pattern[str]:
+    """Pieces of a text: white space, then characters up to the next cut. A text's last white space is a piece, and
+    white space that a tokenizer may not count as such stays inside a piece."""
+    word, other = f"[{LETTERS}]*", f"[^\\s{LETTERS}]*"
+    on = f"[^\\s{LETTERS}{re.escape(marks)}]"
+    run = f"(?=\\S){other}{word}(?:{on}{other}{word})*"
+    return re.compile(rf"\s*{run}(?:[^\S \n]\s*{run})*(?:[^\S \n]\s*\Z)?|\s+")
+
+
+def array_of(values) -> np.ndarray:
+    out = np.empty(len(values), object)
+    out[:] = values
+    return out
+
+
 class Aligner:
     """Both tokenizers and the pieces aligned so far; one a worker process."""
 
@@ -61,11 +78,16 @@ class Aligner:
         for piece, i in vocab.items():
             self.bytes_a[i] = bytes(alphabet[c] for c in piece) if all(c in alphabet for c in piece) else piece.encode()
         self.bytes_b = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(MARK, " ").encode() for p in model.pieces]
-        pre = spec.get("pre_tokenizer") or {}
-        normal = model.normalizer_spec
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b))
+        self.inner = [array_of([f"{i}," for i in range(len(t))]) for t in (self.bytes_a, self.bytes_b)]
+        self.last = [array_of([f"{i}{sign}" for i in range(len(t))]) for t, sign in ((self.bytes_a, "|"), (self.bytes_b, ";"))]
+        pre, normal = spec.get("pre_tokenizer") or {}, model.normalizer_spec
+        written = [p.piece for p in model.pieces if p.type != BYTE]
         self.cuts = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not spec.get("normalizer")
                      and normal.add_dummy_prefix and not normal.precompiled_charsmap and not normal.remove_extra_whitespaces
-                     and not any("\n" in p.piece or MARK in p.piece.lstrip(MARK) for p in model.pieces if p.type != BYTE))
+                     and not any("\n" in p or MARK in p.lstrip(MARK) for p in written))
+        joined = {c for p in written for c in re.findall(f"(?<=[{LETTERS}])[^{LETTERS}]", p)}
+        self.piece = cutter("".join(c for c in MARKS if c not in joined))
         self.clear()
 
     def clear(self) -> None:
@@ -75,59 +97,76 @@ class Aligner:
         self.counts = np.zeros((3, 1024), np.int64)  # tokens of a, tokens of b, whether bytes agree
         self.starts, self.sizes, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int64)
 
-    def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of pieces that begin with a space, which the second library puts in itself, or with a line feed,
-        before which it puts one too many. It takes no empty text, so a lone space follows a line feed."""
-        a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
-        b = self.b.encode(["\n " if p == " " else p[1:] if p[0] == " " else p for p in pieces], num_threads=1)
-        return a, [ids[2:] if p == " " else ids if p[0] == " " else ids[1:] for p, ids in zip(pieces, b)]
-
-    def align(self, text: str, a: list[int], b: list[int]) -> tuple[str, list[int]] | None:
-        """Groups as text and the pair codes of tokens that end together; None if either's bytes are not the text's."""
-        own, ends = text.encode(), []
-        for ids, table in ((a, self.bytes_a), (b, self.bytes_b)):
-            parts = [table[i] for i in ids]
-            if b"".join(parts) != own:
-                return None
-            ends.append(parts)
-        groups, pairs, i, j, last_i, last_j = [], [], 0, 0, 0, 0
-        end_a, end_b = len(ends[0][0]), len(ends[1][0])
-        while True:
-            if end_a == end_b:
-                groups.append(",".join(map(str, a[last_i:i + 1])) + "|" + ",".join(map(str, b[last_j:j + 1])))
-                pairs.append(b[j] << spill.ID_BITS | a[i])
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    return ";".join(groups), pairs
-                last_i, last_j = i, j
-                end_a, end_b = end_a + len(ends[0][i]), end_b + len(ends[1][j])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(ends[0][i])
-            else:
-                j += 1
-                end_b += len(ends[1][j])
+    def cut(self, text: str) -> list[str]:
+        return (self.piece.findall(" " + text) if self.cuts else [" " + text]) if text else []
+
+    def encode(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For both libraries the ids of all pieces and how many each has. The second library puts a space before
+        each text: one is taken away, or a line feed comes first and both tokens are dropped again. It takes no
+        empty text, so a lone space follows a line feed too."""
+        blocks = [pieces[i:i + BLOCK] for i in range(0, len(pieces), BLOCK)]
+        coded = self.a.encode_batch(blocks, is_pretokenized=True, add_special_tokens=False)
+        sizes = [np.bincount(np.array(e.word_ids, np.int64), minlength=len(block)) for block, e in zip(blocks, coded)]
+        ids_a = np.fromiter(chain.from_iterable(e.ids for e in coded), np.int64)
+        bare = [p[0] != " " or p == " " for p in pieces]
+        ids = self.b.encode(["\n" + p if alone else p[1:] for p, alone in zip(pieces, bare)], num_threads=1)
+        ids = [i[2:] if alone else i for i, alone in zip(ids, bare)]
+        return [(ids_a, np.concatenate(sizes)), (np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64))]
+
+    def faithful(self, pieces: list[str], coded: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Whether both tokens' bytes are the piece's own."""
+        own = [p.encode() for p in pieces]
+        ok = np.ones(len(pieces), bool)
+        for (ids, n), table in zip(coded, (self.bytes_a, self.bytes_b)):
+            parts, ends = list(map(table.__getitem__, ids.tolist())), np.cumsum(n)
+            lengths = np.diff(np.cumsum([0, *map(len, parts)])[np.concatenate([[0], ends])])
+            if b"".join(parts) == b"".join(own) and (lengths == list(map(len, own))).all():
+                continue  # mostly all agree
+            ends = ends.tolist()
+            ok &= [b"".join(parts[s:e]) == o for s, e, o in zip([0, *ends], ends, own)]
+        return ok
+
+    def align(self, pieces: list[str], coded: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Of every piece: whether both tokens' bytes are its own, its groups as text and its number of links; and
+        the pair codes of all links in order. Pieces whose bytes differ have none."""
+        ok = self.faithful(pieces, coded)
+        (flat_a, n_a), (flat_b, n_b) = ((ids[np.repeat(ok, n)], np.where(ok, n, 0)) for ids, n in coded)
+        # pieces have the same bytes on both sides, so ends count through all of them
+        ends_a, ends_b = np.cumsum(self.sizes_a[flat_a]), np.cumsum(self.sizes_b[flat_b])
+        at = np.searchsorted(ends_b, ends_a)
+        shared = ends_b[at] == ends_a if len(flat_b) else np.zeros(0, bool)
+        i, j = np.flatnonzero(shared), at[shared]
+        last_b = np.zeros(len(flat_b), bool)
+        last_b[j] = True
+        # a's tokens of a group, then b's: every token's place is its own number and that of the other side's before it
+        text = np.empty(len(flat_a) + len(flat_b), object)
+        before_b, upto_a = np.concatenate([[0], j + 1]), i + 1
+        place_a = np.arange(len(flat_a)) + before_b[np.cumsum(shared) - shared]
+        place_b = np.arange(len(flat_b)) + upto_a[np.cumsum(last_b) - last_b]
+        text[place_a] = np.where(shared, self.last[0][flat_a], self.inner[0][flat_a])
+        text[place_b] = np.where(last_b, self.last[1][flat_b], self.inner[1][flat_b])
+        words, ends = text.tolist(), np.cumsum(n_a + n_b).tolist()
+        groups = ["".join(words[s:e])[:-1] for s, e in zip([0, *ends], ends)]
+        links = np.bincount(np.repeat(np.arange(len(pieces)), n_a)[i], minlength=len(pieces))
+        return ok, groups, links, spill.pair_codes(flat_b[j], flat_a[i])
 
     def learn(self, pieces: list[str]) -> None:
-        a, b = self.encode(pieces)
-        found = [self.align(p, x, y) for p, x, y in zip(pieces, a, b)]
-        size, links = self.n + len(pieces), [f[1] if f else [] for f in found]
-        lengths = np.fromiter(map(len, links), np.int64, len(links))
-        total = int(lengths.sum())
+        coded = self.encode(pieces)
+        ok, groups, links, pairs = self.align(pieces, coded)
+        size = self.n + len(pieces)
         if size > self.counts.shape[1]:
             self.counts = np.concatenate([self.counts, np.zeros((3, max(size, self.counts.shape[1])), np.int64)], axis=1)
-        self.starts, self.sizes = grown(self.starts, size), grown(self.sizes, size)
-        self.flat = grown(self.flat, self.used + total)
-        self.flat[self.used:self.used + total] = np.fromiter((p for one in links for p in one), np.int64, total)
-        self.counts[:, self.n:size] = [list(map(len, a)), list(map(len, b)), [f is not None for f in found]]
-        self.starts[self.n:size], self.sizes[self.n:size] = self.used + np.cumsum(lengths) - lengths, lengths
-        self.groups += [f[0] if f else "" for f in found]
+        self.starts, self.sizes, self.flat = grown(self.starts, size), grown(self.sizes, size), grown(self.flat, self.used + len(pairs))
+        self.flat[self.used:self.used + len(pairs)] = pairs
+        self.counts[:, self.n:size] = [coded[0][1], coded[1][1], ok]
+        self.starts[self.n:size], self.sizes[self.n:size] = self.used + np.cumsum(links) - links, links
+        self.groups += groups
         self.at.update(zip(pieces, range(self.n, size)))
-        self.n, self.used = size, self.used + total
+        self.n, self.used = size, self.used + len(pairs)
 
     def texts(self, texts: list[str]) -> Iterator[tuple[tuple[int, int, int, str], np.ndarray]]:
         """(tokens of a, tokens of b, groups, hash of the groups) and the pair code of each link, for each text."""
-        cut = [(PIECE.findall(" " + t) if self.cuts else [" " + t]) if t else [] for t in texts]
+        cut = [self.cut(t) for t in texts]
         new = set().union(*cut) - self.at.keys()
         if len(self.at) + len(new) > HELD:
             self.clear()
@@ -135,27 +174,30 @@ class Aligner:
         new = list(new)
         for i in range(0, len(new), AT_ONCE):
             self.learn(new[i:i + AT_ONCE])
-        for t, pieces in zip(texts, cut):
-            at = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
-            if not len(at):
+        ends = np.cumsum([0, *map(len, cut)])
+        at = np.fromiter(map(self.at.__getitem__, chain.from_iterable(cut)), np.int64, int(ends[-1]))
+        groups = list(map(self.groups.__getitem__, at.tolist()))
+        n_a, n_b, good, links = (upto[ends[1:]] - upto[ends[:-1]] for upto in (
+            np.concatenate([[0], np.cumsum(x)]) for x in (*self.counts[:, at], self.sizes[at])))
+        sizes = self.sizes[at]
+        shift = np.repeat(self.starts[at] - (np.cumsum(sizes) - sizes), sizes)
+        pairs = np.split(self.flat[shift + np.arange(len(shift))], np.cumsum(links)[:-1])
+        for k, t in enumerate(texts):
+            if not t:
                 yield NOTHING
-            elif not self.counts[2, at].all():
+            elif good[k] < ends[k + 1] - ends[k]:
                 yield self.whole(t)
             else:
-                sizes = self.sizes[at]
-                ends = np.cumsum(sizes)
-                shift = np.repeat(self.starts[at] - (ends - sizes), sizes)
-                joined = ";".join(map(self.groups.__getitem__, at.tolist()))
-                yield ((int(self.counts[0, at].sum()), int(self.counts[1, at].sum()), int(ends[-1]), hashlib.sha256(joined.encode()).hexdigest()),
-                       self.flat[shift + np.arange(len(shift))])
+                joined = ";".join(groups[ends[k]:ends[k + 1]])
+                yield (int(n_a[k]), int(n_b[k]), int(links[k]), hashlib.sha256(joined.encode()).hexdigest()), pairs[k]
 
     def whole(self, text: str) -> tuple[tuple[int, int, int, str], np.ndarray]:
         """A text with a piece whose bytes do not agree: no tokens, unless the whole text's bytes agree after all."""
-        (a,), (b,) = self.encode([" " + text])
-        found = self.align(" " + text, a, b)
-        if found is None:
+        coded = self.encode([" " + text])
+        ok, groups, _, pairs = self.align([" " + text], coded)
+        if not ok[0]:
             return NOTHING
-        return (len(a), len(b), len(found[1]), hashlib.sha256(found[0].encode()).hexdigest()), np.array(found[1], np.int64)
+        return (len(coded[0][0]), len(coded[1][0]), len(pairs), hashlib.sha256(groups[0].encode()).hexdigest()), pairs
 
 
 NOTHING = (0, 0, 0, ""), np.zeros(0, np.int64)

@@ -63,12 +63,12 @@ def test_pieces_are_cut_where_both_tokenizers_end(libraries):
     a, b, own = libraries
     assert own.cuts
     for t in [x for x in ODD if x] + texts(1, 3000):
-        pieces = alignment.PIECE.findall(" " + t)
+        pieces = own.cut(t)
         assert "".join(pieces) == " " + t
-        x, y = own.encode(pieces)
-        assert sum(x, []) == a.encode(" " + t, add_special_tokens=False).ids, repr(t)
+        (x, _), (y, _) = own.encode(pieces)
+        assert x.tolist() == a.encode(" " + t, add_special_tokens=False).ids, repr(t)
         if alignment.MARK not in t:  # its bytes do not agree, so the text counts as one without tokens
-            assert sum(y, []) == b.encode(t), repr(t)
+            assert y.tolist() == b.encode(t), repr(t)
 
 
 @pytest.mark.parametrize("buckets", [None, 3])
