@@ -17,7 +17,6 @@ from cohortweave.functions.numeric import order_key
 from cohortweave.operators import packed
 from cohortweave.session import materialise
 
-QUERY_BLOCK, BANK_BLOCK = 256, 1024
 CONVERGED = 2000  # fits end at their tolerance; this limit is not reached in practice
 
 
@@ -114,61 +113,6 @@ def prototype_drift(before: DataFrame, after: DataFrame, keys: Sequence[str]) ->
 
 
 # ------------------------------------------------------------------ retrieval
-def _blocks(df: DataFrame, rid: str, block: int, keys: Sequence[str]) -> DataFrame:
-    """Pack rows into blocks of about `block` rows: parallel arrays plus one flat vector array."""
-    keys = list(keys)
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else df.agg(F.count(F.lit(1)).alias("_n"))
-    if keys:
-        d = df.join(n, keys)
-    else:
-        d = df.withColumn("_n", F.lit(n.first()["_n"]))
-    d = d.withColumn("_salt", F.pmod(F.xxhash64(rid), F.ceil(F.col("_n") / block)))
-    g = d.groupBy(*keys, "_salt").agg(F.collect_list(F.struct(rid, "cohort", "vec")).alias("_r"))
-    return g.select(*keys, "_salt", F.transform("_r", lambda r: r[rid]).alias("ids"),
-                    F.transform("_r", lambda r: r["cohort"]).alias("cohorts"),
-                    F.flatten(F.transform("_r", lambda r: r["vec"])).alias("flat"))
-
-
-def top_similar(queries: DataFrame, bank: DataFrame, k: int) -> DataFrame:
-    """The k most cosine-similar bank rows of every class for every query, own cohort excluded.
-
-    queries: qid, cohort, vec; bank: bid, cohort, cls, vec. Returns qid, cls, bid, sim, rank.
-
-    The class-balanced score needs every (query, class), so every query block meets every bank
-    block once; rows are never paired, only blocks of at most ~256 x ~1024 vectors, multiplied in
-    one matrix product that emits k rows per query and class. A class holding a third of the bank
-    is split over its own number of blocks. Cost is |queries| x |bank|; cap both by sampling.
-    """
-    unit = F.transform("vec", lambda x: x / F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, y: a + y * y)))
-    q = _blocks(queries.withColumn("vec", unit), "qid", QUERY_BLOCK, [])
-    b = materialise(_blocks(bank.withColumn("vec", unit), "bid", BANK_BLOCK, ["cls"]))
-    order = Window.partitionBy(F.lit(0)).orderBy("cls", "_salt")
-    directory = materialise(b.select("cls", "_salt").withColumn("_b", F.row_number().over(order) - 1))  # one row per block
-    n_blocks = directory.count()
-    right = b.join(directory, ["cls", "_salt"]).select("_b", "cls", F.col("ids").alias("bids"), F.col("cohorts").alias("bco"), F.col("flat").alias("bflat"))
-    left = q.select(F.col("ids").alias("qids"), F.col("cohorts").alias("qco"), F.col("flat").alias("qflat"),
-                    F.explode(F.sequence(F.lit(0), F.lit(max(n_blocks - 1, 0)))).alias("_b"))
-    qtype = queries.schema["qid"].dataType.simpleString()
-    btype = bank.schema["bid"].dataType.simpleString()
-    ctype = bank.schema["cls"].dataType.simpleString()
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                qi, bi = np.asarray(r.qids), np.asarray(r.bids)
-                s = np.asarray(r.qflat).reshape(len(qi), -1) @ np.asarray(r.bflat).reshape(len(bi), -1).T
-                s = np.where(np.asarray(r.qco)[:, None] == np.asarray(r.bco)[None, :], -np.inf, np.round(s, 12))
-                rank = np.lexsort((np.broadcast_to(bi, s.shape), -s), axis=1)[:, :k]
-                top = np.take_along_axis(s, rank, 1)
-                out = pd.DataFrame({"qid": np.repeat(qi, rank.shape[1]), "cls": r.cls, "bid": bi[rank].ravel(), "sim": top.ravel()})
-                yield out[np.isfinite(out["sim"])]
-
-    part = left.join(right, "_b").select("cls", "qids", "qco", "qflat", "bids", "bco", "bflat").mapInPandas(
-        kernel, f"qid {qtype}, cls {ctype}, bid {btype}, sim double")
-    w = Window.partitionBy("qid", "cls").orderBy(F.col("sim").desc(), "bid")
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def knn_vote(similar: DataFrame, k: int) -> DataFrame:
     """Majority class of the k most similar rows over all classes; ties to the lowest class."""
     w = Window.partitionBy("qid").orderBy(F.col("sim").desc(), "bid")

@@ -11,6 +11,7 @@ from cohortweave.operators import models as ML
 from cohortweave.operators import packed as PK
 from cohortweave.operators import profile as PF
 from cohortweave.operators import protocol as PR
+from cohortweave.operators import retrieval as RT
 from cohortweave.operators import splits as SP
 from cohortweave.operators import tables as S
 from cohortweave.operators.distribution import ecdf
@@ -104,7 +105,7 @@ def similar(spark, d, k=100):
     e = table(spark, d, "embeddings").select(
         F.col("vec_id"), F.concat(F.lit("C"), (F.col("vec_id") % 5).cast("string")).alias("cohort"), F.col("label").alias("cls"),
         F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
-    return ML.top_similar(e.select(F.col("vec_id").alias("qid"), "cohort", "vec"), e.select(F.col("vec_id").alias("bid"), "cohort", "cls", "vec"), k)
+    return RT.top_similar(e.select(F.col("vec_id").alias("qid"), "cohort", "vec"), e.select(F.col("vec_id").alias("bid"), "cohort", "cls", "vec"), k)
 
 
 @query("similar_rows", f"WITH {SQL_SIM} SELECT qid, cls, bid, round(sim, 6) + 0.0 AS sim, CAST(r AS INTEGER) AS rank FROM rk WHERE r <= 5")
