@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortweave.functions.numeric import order_key
-from cohortweave.operators import packed
+from cohortweave.operators import fits, packed
+from cohortweave.operators.sampling import uniform
 from cohortweave.session import materialise
 
 CONVERGED = 2000  # fits end at their tolerance; this limit is not reached in practice
@@ -151,36 +152,66 @@ def linear_probe(train: DataFrame, test: DataFrame, features: str, label: str, m
             .withColumn("prob", vector_to_array("probability")).drop("features", "rawPrediction", "probability", "prediction"))
 
 
-def standardise(df: DataFrame, column: str, train: DataFrame) -> DataFrame:
-    """`column` (an array) as log1p values, less the mean and over the population sd of `train` at each
-    position; negative values mirror positive ones, positions without spread become 0."""
-    log = lambda x: F.signum(x) * F.log1p(F.abs(x))
-    at = train.select(F.posexplode(column).alias("_i", "_x")).groupBy("_i").agg(
+def standardise(df: DataFrame, column: str, train: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """`column` (an array) as log1p of its values (negative ones count as 0), less the mean and over the population
+    sd of `train` at each position of the row's group; positions without spread become 0."""
+    log = lambda x: F.log1p(F.greatest(x, F.lit(0.0)))
+    keys = list(group)
+    at = train.select(*keys, F.posexplode(column).alias("_i", "_x")).groupBy(*keys, "_i").agg(
         F.avg(log(F.col("_x"))).alias("mean"), F.stddev_pop(log(F.col("_x"))).alias("sd"))
-    stats = {r["_i"]: r for r in at.collect()}  # one row a position
-    means, sds = (F.array(*[F.lit(stats[i][k]) for i in sorted(stats)]) for k in ("mean", "sd"))
-    return df.withColumn(column, F.transform(column, lambda x, i: F.when(
-        F.get(sds, i) > 0, (log(x) - F.get(means, i)) / F.get(sds, i)).otherwise(0.0)))
+    stats = at.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "mean", "sd"))).alias("_s"))  # one number a position
+    j = df.join(stats, keys, "left") if keys else df.join(F.broadcast(stats), F.lit(True), "left")
+    one = lambda x, i: F.when(F.get("_s", i)["sd"] > 0, (log(x) - F.get("_s", i)["mean"]) / F.get("_s", i)["sd"]).otherwise(0.0)
+    return j.withColumn(column, F.transform(column, one)).select(*df.columns)
 
 
-def few_shot(train: DataFrame, test: DataFrame, features: str, label: str, row_id: str, shots: Sequence[int],
-             seeds: Sequence[int], max_iter: int = CONVERGED) -> DataFrame:
-    """Macro-F1 per (shots, seed) of a probe fitted on `shots` rows per class."""
-    from cohortweave.operators.metrics import confusion, macro, per_class
-    from cohortweave.operators.sampling import uniform
-    out = None
-    for n in shots:
-        for s in seeds:
-            pick = uniform(train, [label], row_id, n, f"shot|{s}")
-            p = linear_probe(pick, test, features, label, max_iter).select(
-                F.lit(n).alias("shots"), F.lit(s).alias("seed"), F.col(label).cast("long").alias("y_true"), "y_pred")
-            out = p if out is None else out.unionByName(p)
-    return macro(per_class(confusion(out, ["shots", "seed"]), ["shots", "seed"]), ["shots", "seed"]).select("shots", "seed", "macro_f1_exact")
+def few_shot(rows: DataFrame, features: str, label: str, row_id: str, shots: Sequence[int], seeds: Sequence[int]) -> DataFrame:
+    """cohort, shots, seed, macro_f1 of a model fitted on `shots` rows a class of the cohort (all of a smaller class).
+
+    rows: cohort, is_test and the named columns. One ranking a seed serves all shot counts. Every (cohort, shots,
+    seed) is one bounded group; test rows of classes that a model has not seen are left out.
+    """
+    ids = rows.where("NOT is_test").select("cohort", label, row_id, F.explode(F.lit(list(seeds))).alias("seed"))
+    ids = ids.withColumn("_shot", F.concat_ws("|", "seed", row_id))
+    drawn = uniform(ids, ["cohort", label, "seed"], "_shot", max(shots), "shot")
+    order = Window.partitionBy("cohort", label, "seed").orderBy(order_key("shot", "_shot"))  # max(shots) rows
+    counts = F.filter(F.lit(list(shots)), lambda n: n >= F.col("_r"))
+    picked = drawn.withColumn("_r", F.row_number().over(order)).select(row_id, "seed", F.explode(counts).alias("shots"))
+    train = picked.join(rows.where("NOT is_test").select("cohort", label, row_id, features), row_id)
+    key = ["cohort", "shots", "seed"]
+    models = fits.fit_each(train, key, label, features)
+    return fits.macro_over_all(fits.score_each(models, rows.where("is_test"), key, ["cohort"], [], label, features), key)
 
 
 def few_shot_curve(scores: DataFrame) -> DataFrame:
     """Mean and population sd over seeds."""
-    return scores.groupBy("shots").agg(F.avg("macro_f1_exact").alias("f1"), F.stddev_pop("macro_f1_exact").alias("sd"))
+    return scores.groupBy("cohort", "shots").agg(F.avg("macro_f1").alias("f1"), F.stddev_pop("macro_f1").alias("sd"))
+
+
+def feature_sets(rows: DataFrame, features: Sequence[str], label: str, row_id: str, cap: int) -> DataFrame:
+    """cohort, features, macro_f1: each named array column fitted on at most `cap` training rows of a cohort (balanced)
+    and scored on its test rows of classes seen in training. rows: cohort, is_test and the named columns."""
+    drawn = materialise(uniform(rows.where("NOT is_test"), ["cohort"], row_id, cap, "features"))
+    out = None
+    for name in features:
+        models = fits.fit_each(drawn, ["cohort"], label, name, balanced=True)
+        conf = fits.score_each(models, rows.where("is_test"), ["cohort"], ["cohort"], [], label, name).withColumn("features", F.lit(name))
+        out = conf if out is None else out.unionByName(conf)
+    return fits.macro_over_all(out, ["cohort", "features"])
+
+
+def transfer(rows: DataFrame, features: str, label: str, row_id: str, cap: int) -> DataFrame:
+    """source, target, y_true, y_pred, n: a balanced model of each source cohort's training rows, and one of all
+    cohorts but the target ("pooled"), each on at most `cap` rows, scored on the target's test rows."""
+    train, test = rows.where("NOT is_test"), rows.where("is_test").withColumn("target", F.col("cohort"))
+    single = uniform(train, ["cohort"], row_id, cap, "source").withColumn("source", F.col("cohort"))
+    own = fits.score_each(fits.fit_each(single, ["source"], label, features, balanced=True), test, ["source"], [], ["target"], label, features, False)
+    cohorts = [r[0] for r in rows.select("cohort").distinct().collect()]  # one row a dataset
+    others = train.select("cohort", row_id).withColumn("target", F.explode(F.lit(cohorts))).where("cohort <> target")
+    pooled = uniform(others, ["target"], row_id, cap, "pooled").select("target", row_id).join(train.select(row_id, label, features), row_id)
+    models = fits.fit_each(pooled, ["target"], label, features, balanced=True)
+    every = fits.score_each(models, test, ["target"], ["target"], [], label, features, False).withColumn("source", F.lit("pooled"))
+    return own.where("source <> target").unionByName(every.select(*own.columns))
 
 
 def kmeans_labels(df: DataFrame, features: str, k: int, seed: int = 20260810) -> DataFrame:

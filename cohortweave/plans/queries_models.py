@@ -25,6 +25,7 @@ from cohortweave.session import materialise
 
 ROW = ["held", "cell_id", "y_true"]
 WIDTH = 64
+UNMEASURED = "NOT (cohort = 'C1' AND marker < 'm10') AND NOT (cohort = 'C2' AND marker BETWEEN 'm10' AND 'm15')"
 
 
 def ranked(spark, d):
@@ -157,41 +158,44 @@ def linear_probe(spark, d):
     return _scores(out, ["held"])
 
 
+# fixed values: the grid of the few-shot curve and the most training rows of a fit
+SHOTS, SEEDS = (1, 2, 5, 10, 20, 50, 100, 250), (0, 1, 2, 3, 4)
+FEATURE_CAP, TRANSFER_CAP = 20_000, 15_000
+
+
 @query("feature_comparison")
 def feature_comparison(spark, d):
-    """Rank, train-standardised raw, and both, on the same image split."""
+    """Rank, train-standardised raw, and both, inside every cohort, on the same image split."""
     u, raw = packed(spark, d), packed(spark, d, "value").select("cell_id", F.col("vec").alias("raw"))
-    x = ML.disjoint_groups(u.join(raw, "cell_id"), "image_id", "features")
-    x = materialise(x)
-    x = materialise(ML.standardise(x, "raw", x.where("NOT is_test")).withColumn("both", F.concat("vec", "raw")))
-    out = None
-    for name in ("vec", "raw", "both"):
-        p = ML.linear_probe(x.where("NOT is_test"), x.where("is_test"), name, "cls").select(
-            F.lit(name).alias("features"), F.col("cls").alias("y_true"), "y_pred")
-        out = p if out is None else out.unionByName(p)
-    return _scores(out, ["features"])
+    x = materialise(ML.disjoint_groups(u.join(raw, "cell_id"), "image_id", "features"))
+    x = materialise(ML.standardise(x, "raw", x.where("NOT is_test"), ["cohort"]).withColumn("both", F.concat("vec", "raw")))
+    s = ML.feature_sets(x, ("vec", "raw", "both"), "cls", "cell_id", FEATURE_CAP)
+    s = s.groupBy("cohort").pivot("features", ["vec", "raw", "both"]).agg(F.first("macro_f1"))
+    n = x.groupBy("cohort").agg(F.count_distinct(F.when(~F.col("is_test"), F.col("cls"))).alias("k"), F.count_if(~F.col("is_test")).alias("n_train"),
+                                F.count_if("is_test").alias("n_test"))
+    return n.join(s, "cohort").select("cohort", "k", "n_train", "n_test", r6("vec").alias("rank_f1"), r6("raw").alias("raw_f1"), r6("both").alias("both_f1"),
+                                      r6(F.col("raw") - F.col("vec")).alias("delta"))
 
 
 @query("few_shot_curve")
 def few_shot_curve(spark, d):
+    """Every cohort alone: eight shot counts, five seeds."""
     x = materialise(ML.disjoint_groups(packed(spark, d), "image_id", "fewshot"))
-    s = ML.few_shot(x.where("NOT is_test"), x.where("is_test"), "vec", "cls", "cell_id", (1, 5, 10), (0, 1))
-    c = ML.few_shot_curve(s)
-    return c.select("shots", r6("f1").alias("f1"), r6("sd").alias("sd"))
+    c = ML.few_shot_curve(ML.few_shot(x, "vec", "cls", "cell_id", SHOTS, SEEDS))
+    k = x.where("NOT is_test").groupBy("cohort").agg(F.count_distinct("cls").alias("k"))
+    return c.join(k, "cohort").select("cohort", "k", "shots", r6("f1").alias("f1"), r6("sd").alias("sd"), (F.col("shots") * F.col("k")).alias("cells"))
 
 
 @query("transfer_matrix")
 def transfer_matrix(spark, d):
-    """One probe per source cohort, scored on every other cohort, and one of all other cohorts for each (pooled)."""
-    x = materialise(packed(spark, d))
-    out = None
-    for s in _folds(x):
-        one, rest = x.where(F.col("cohort") == s), x.where(F.col("cohort") != s)
-        for name, train, test in ((s, one, rest), ("pooled", rest, one)):
-            p = ML.linear_probe(train, test, "vec", "cls").select(
-                F.lit(name).alias("source"), F.col("cohort").alias("target"), F.col("cls").alias("y_true"), "y_pred")
-            out = p if out is None else out.unionByName(p)
-    return _scores(out, ["source", "target"])
+    """One model per source cohort scored on every other, one of all others for each target, and what the pair shares."""
+    v = ranked(spark, d).where(UNMEASURED)
+    x = materialise(ML.disjoint_groups(packed(spark, d), "image_id", "transfer"))
+    f1 = materialise(_scores(ML.transfer(x, "vec", "cls", "cell_id", TRANSFER_CAP), ["source", "target"]))
+    pooled = f1.where("source = 'pooled'").select("target", F.col("macro_f1").alias("pooled"))
+    shared = S.pair_covariates(v.select("cohort", "marker").distinct(), vector_registry(spark), x.select("cohort", F.col("cls").alias("label")))
+    return (shared.join(f1.where("source <> 'pooled'").select("source", "target", "macro_f1"), ["source", "target"]).join(pooled, "target")
+            .withColumn("jaccard", r6("jaccard")).withColumn("class_cover", r6("class_cover")))
 
 
 @query("kmeans_agreement")
@@ -221,7 +225,7 @@ def split_floor_summary(spark, d):
 @query("fixed_panel_mlp")
 def fixed_panel_mlp(spark, d):
     """Three panels: markers of every cohort, of all training cohorts, and all with zero fill."""
-    v = ranked(spark, d).where("NOT (cohort = 'C1' AND marker < 'm10') AND NOT (cohort = 'C2' AND marker BETWEEN 'm10' AND 'm15')")
+    v = ranked(spark, d).where(UNMEASURED)
     v = materialise(v.select("cohort", "cell_id", "cls", "marker", "u"))
     panel = v.select("cohort", "marker").distinct()
     core = [r[0] for r in S.shared_panel(panel).select("marker").orderBy("marker").collect()]  # a vocabulary

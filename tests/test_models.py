@@ -11,7 +11,7 @@ def test_standardise_is_fitted_on_training_rows(spark):
     rows = [(1, [1.0, 5.0, -3.0], False), (2, [7.0, 5.0, 4.0], False), (3, [0.0, 5.0, 2.0], False), (4, [1e6, 9.0, -1e6], True)]
     x = spark.createDataFrame(rows, "id int, raw array<double>, is_test boolean")
     got = {r["id"]: r["raw"] for r in models.standardise(x, "raw", x.where("NOT is_test")).collect()}
-    log = lambda v: math.copysign(math.log1p(abs(v)), v)
+    log = lambda v: math.log1p(max(v, 0.0))
     for i in (0, 2):
         train = [log(r[1][i]) for r in rows if not r[2]]
         for n, v, _ in rows:
@@ -19,11 +19,19 @@ def test_standardise_is_fitted_on_training_rows(spark):
     assert all(v[1] == 0.0 for v in got.values())
 
 
-def test_transfer_has_a_pooled_source_for_every_target(spark):
-    got = entry.queries()["transfer_matrix"](spark, "/root/testdata/sf0.001").select("source", "target").collect()
-    targets = {r["target"] for r in got}
-    assert {r["target"] for r in got if r["source"] == "pooled"} == targets and len(targets) == 5
-    assert len(got) == len({tuple(r) for r in got}) == 25
+def test_standardise_keeps_groups_apart(spark):
+    rows = [("a", [1.0, 2.0], False), ("a", [3.0, 8.0], False), ("b", [10.0, 0.0], False), ("b", [30.0, 0.0], True)]
+    x = spark.createDataFrame(rows, "cohort string, raw array<double>, is_test boolean")
+    got = sorted((r["cohort"], *[round(v, 6) for v in r["raw"]]) for r in models.standardise(x, "raw", x.where("NOT is_test"), ["cohort"]).collect())
+    assert got == [("a", -1.0, -1.0), ("a", 1.0, 1.0), ("b", 0.0, 0.0), ("b", 0.0, 0.0)]
+
+
+def test_transfer_has_covariates_and_a_pooled_source(spark):
+    got = entry.queries()["transfer_matrix"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len({(r["source"], r["target"]) for r in got}) == 20
+    assert all(len({r["pooled"] for r in got if r["target"] == t}) == 1 for t in {r["target"] for r in got})
+    c12 = next(r for r in got if (r["source"], r["target"]) == ("C1", "C2"))
+    assert (c12["n_src"], c12["n_tgt"], c12["shared"]) == (54, 58, 48) and c12["class_cover"] == 1.0
 
 
 def test_feature_comparison_reads_standardised_values(spark, monkeypatch):
@@ -31,4 +39,4 @@ def test_feature_comparison_reads_standardised_values(spark, monkeypatch):
     real = models.standardise
     monkeypatch.setattr(models, "standardise", lambda *a: seen.append(a[1]) or real(*a))
     got = entry.queries()["feature_comparison"](spark, "/root/testdata/sf0.001").collect()
-    assert seen == ["raw"] and {r["features"] for r in got} == {"vec", "raw", "both"}
+    assert seen == ["raw"] and {r["cohort"] for r in got} == {f"C{i}" for i in range(5)}
