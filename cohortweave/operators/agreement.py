@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cohortweave.functions.numeric import safe_div, share
 
+OVERLAPS = 10_000  # terms of the expected mutual information that one row unfolds to
 
 def contingency(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """keys, a, b, n: (weighted) co-occurrence of two labelings."""
@@ -78,22 +78,19 @@ def adjusted_mutual_information(table: DataFrame, a: str, b: str, keys: Sequence
     """AMI (arithmetic mean). Expected MI sums over marginal pairs and overlap counts, whose
     hypergeometric weights come from log-factorials accumulated by lgamma-free partial sums.
 
-    The expectation has one term per (row class, column class, overlap), so it is meant for
-    class-sized tables; marginal pairs are grouped by equal sizes first.
+    Marginals are grouped by equal sizes and joined by key. The overlaps of a pair of sizes unfold in chunks of
+    OVERLAPS, spread before they unfold, so a class of any number of rows is many bounded tasks.
     """
     keys = list(keys)
-    t = table.where("n > 0").withColumn("n", F.round("n").cast("long"))
-    ra = t.groupBy(*keys, a).agg(F.sum("n").alias("s")).groupBy(*keys, "s").agg(F.count(F.lit(1)).alias("m"))
-    rb = t.groupBy(*keys, b).agg(F.sum("n").alias("s")).groupBy(*keys, "s").agg(F.count(F.lit(1)).alias("m"))
-    # attach the list of column sizes to every row size by a window over the class-sized union
-    both = ra.withColumn("_row", F.lit(True)).unionByName(rb.withColumn("_row", F.lit(False)))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    listed = both.withColumn("_cols", F.collect_list(F.when(~F.col("_row"), F.struct(F.col("s").alias("bj"), F.col("m").alias("kb")))).over(w))
-    listed = listed.withColumn("N", F.sum(F.when(F.col("_row"), F.col("s") * F.col("m"))).over(w)).where("_row")
-    pairs = listed.select(*keys, F.col("s").alias("ai"), F.col("m").alias("ka"), "N", F.explode("_cols").alias("_b")).select(
-        *keys, "ai", "ka", "N", "_b.*")
+    t = table.where("n > 0").withColumn("n", F.round("n").cast("long")).withColumn("_key", F.struct(*keys) if keys else F.lit(0))
+    sizes = [t.groupBy("_key", c).agg(F.sum("n").alias(s)).groupBy("_key", s).agg(F.count(F.lit(1)).alias(m))
+             for c, s, m in ((a, "ai", "ka"), (b, "bj", "kb"))]
+    total = t.groupBy("_key").agg(F.sum("n").alias("N"))
     lo = F.greatest(F.lit(1).cast("long"), F.col("ai") + F.col("bj") - F.col("N"))
-    terms = pairs.withColumn("k", F.explode(F.sequence(lo, F.least("ai", "bj"))))
+    pairs = sizes[0].join(sizes[1], "_key").join(total, "_key").withColumn("_lo", lo).withColumn("_hi", F.least("ai", "bj"))
+    parts = pairs.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_hi") - F.col("_lo")) / OVERLAPS))))
+    start = F.col("_lo") + F.col("_part") * OVERLAPS
+    terms = parts.repartition("_key", "ai", "bj", "_part").withColumn("k", F.explode(F.sequence(start, F.least(start + (OVERLAPS - 1), F.col("_hi")))))
 
     def lf(x: Column) -> Column:
         """log x! by Stirling's series (exact table below 10)."""
@@ -106,7 +103,8 @@ def adjusted_mutual_information(table: DataFrame, a: str, b: str, keys: Sequence
     A, B, N, K = F.col("ai"), F.col("bj"), F.col("N"), F.col("k")
     logw = (lf(A) + lf(B) + lf(N - A) + lf(N - B) - lf(N) - lf(K) - lf(A - K) - lf(B - K) - lf(N - A - B + K))
     term = (K / N) * F.log(N * K / (A * B)) * F.exp(logw) * F.col("ka") * F.col("kb")
-    e = merge_by_key(keys, entropies(table, a, b, keys), terms.groupBy(*keys).agg(F.sum(term).alias("emi")))
+    expected = terms.groupBy("_key").agg(F.sum(term).alias("emi")).select(*[F.col(f"_key.{k}").alias(k) for k in keys], "emi")
+    e = merge_by_key(keys, entropies(table, a, b, keys), expected)
     den = (F.col("hx") + F.col("hy")) / 2.0 - F.col("emi")
     return e.select(*keys, "emi", F.coalesce(safe_div(F.col("mi") - F.col("emi"), den), F.lit(1.0)).alias("ami"))
 

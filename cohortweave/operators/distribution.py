@@ -174,6 +174,35 @@ def ks_distance(df: DataFrame, unit: str, marker: str, value: str) -> DataFrame:
     return g.select(marker, F.explode(listed).alias("_p")).select(marker, "_p.*").where("ks IS NOT NULL")
 
 
+def leave_one_out_quantile(df: DataFrame, unit: str, keys: Sequence[str], value: str, level: float = 0.5,
+                           out: str = "median") -> DataFrame:
+    """unit, keys, out: the interpolated quantile over the rows of all other units.
+
+    One row per distinct (keys, value) carries the count of every unit (datasets: a roster). A fold's running count is
+    the total's less the unit's own, so no row is repeated per fold. Units without other rows get NULL.
+    """
+    keys, real = list(keys), df.where(F.col(value).isNotNull())
+    units = sorted(r[0] for r in real.select(unit).distinct().collect())  # one row per dataset
+    if not units:
+        return real.select(unit, *keys, F.col(value).cast("double").alias(out))
+    cols = [f"_c{i}" for i in range(len(units))]
+    counts = real.groupBy(*keys, value).agg(*[F.count(F.when(F.col(unit) == u, 1)).alias(c) for u, c in zip(units, cols)])
+    chunks = materialise(counts.repartitionByRange(*keys, value).withColumn("_chunk", F.spark_partition_id()))
+    offsets = chunk_offsets(chunks, keys, {c: (f"_o{c}", f"_n{c}") for c in cols})
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = chunks.select(*keys, value, "_chunk", *[F.sum(c).over(inside).alias(c) for c in cols]).join(offsets, [*keys, "_chunk"])
+    upto, total = sum(F.col(c) + F.col(f"_o{c}") for c in cols), sum(F.col(f"_n{c}") for c in cols)
+    aggs = []
+    for i, c in enumerate(cols):
+        n, below = total - F.col(f"_n{c}"), upto - F.col(c) - F.col(f"_o{c}")
+        pos = F.lit(level) * (n - 1).cast("double")
+        aggs += [F.min(F.when((n > 0) & (below > F.floor(pos)), F.col(value))).alias(f"_lo{i}"),
+                 F.min(F.when((n > 0) & (below > F.ceil(pos)), F.col(value))).alias(f"_hi{i}"), F.max(pos - F.floor(pos)).alias(f"_f{i}")]
+    g = runs.groupBy(*keys).agg(*aggs)
+    each = [F.struct(F.lit(u).alias(unit), (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(out)) for i, u in enumerate(units)]
+    return g.select(*keys, F.explode(F.array(*each)).alias("_u")).select(f"_u.{unit}", *keys, f"_u.{out}")
+
+
 def auroc(df: DataFrame, keys: Sequence[str], label: str, value: str,
           min_side: int = 20) -> DataFrame:
     """AUROC of each label against the rest of its group by mid-rank, both sides >= min_side.

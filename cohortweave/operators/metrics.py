@@ -18,13 +18,6 @@ from cohortweave.session import materialise
 # fixed values: support bins (lower bound inclusive, upper exclusive)
 SUPPORT_BINS = (("rare (<50)", 0, 50), ("small (50-200)", 50, 200),
                 ("medium (200-1000)", 200, 1000), ("large (>=1000)", 1000, None))
-# fixed values: two-sided 95 % Student t quantiles for 1..30 degrees of freedom
-T_975 = (12.706204736, 4.302652730, 3.182446305, 2.776445105, 2.570581836, 2.446911851,
-         2.364624252, 2.306004135, 2.262157163, 2.228138852, 2.200985160, 2.178812830,
-         2.160368656, 2.144786688, 2.131449546, 2.119905299, 2.109815578, 2.100922040,
-         2.093024054, 2.085963447, 2.079613845, 2.073873068, 2.068657610, 2.063898562,
-         2.059538553, 2.055529439, 2.051830516, 2.048407142, 2.045229642, 2.042272456)
-Z_975 = 1.959963985
 
 
 def confusion(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -153,34 +146,6 @@ def score_report(preds: DataFrame, keys: Sequence[str] = ("method", "held"),
     return core.join(full, keys).join(kappa(c, keys, drop), keys)
 
 
-def t_critical(n):
-    """95 % two-sided t quantile for n - 1 degrees of freedom (expansion beyond the table)."""
-    d = (n - 1).cast("double")
-    z = Z_975
-    tail = z + (z ** 3 + z) / (4.0 * d) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96.0 * d * d)
-    return (F.when(n < 2, F.lit(None).cast("double"))
-            .when(n - 1 <= len(T_975), F.element_at(F.lit(list(T_975)), F.greatest(n - 1, F.lit(1)).cast("int")))
-            .otherwise(tail))
-
-
-def paired(deltas: DataFrame, keys: Sequence[str], fold: str, delta: str) -> DataFrame:
-    """Mean paired difference, 95 % t interval, exact sign-flip p over all 2^n reassignments.
-
-    Folds number as many as datasets; the 2^n flips are one exploded sequence per comparison.
-    """
-    keys = list(keys)
-    g = deltas.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col(fold), F.col(delta)))), lambda s: s[delta]).alias("_d"),
-        F.count(F.lit(1)).cast("int").alias("n"), F.avg(delta).alias("mean"), F.stddev_samp(delta).alias("_sd"))
-    flips = g.withColumn("_m", F.explode(F.expr("sequence(0L, shiftleft(1L, n) - 1L)")))
-    flips = flips.withColumn("_fm", F.expr(
-        "aggregate(transform(_d, (x, i) -> if((shiftright(_m, i) & 1) = 1, x, -x)), 0D, (a, x) -> a + x) / n"))
-    extreme = F.avg(F.when(F.abs("_fm") >= F.abs("mean") - 1e-12, 1.0).otherwise(0.0))
-    p = flips.groupBy(*keys, "n", "mean", "_sd").agg(extreme.alias("p"))
-    h = t_critical(F.col("n")) * F.col("_sd") / F.sqrt("n")
-    return p.select(*keys, "n", "mean", (F.col("mean") - h).alias("lo"), (F.col("mean") + h).alias("hi"), "p")
-
-
 def retained_information(probs: DataFrame, keys: Sequence[str], p_true: str, n_groups: str) -> DataFrame:
     """log2(N) minus the cross-entropy in bits of the probability given to the true group."""
     return probs.groupBy(*keys).agg(

@@ -92,23 +92,6 @@ def bootstrap_interval(deltas: DataFrame, keys: Sequence[str], unit: str, delta:
         F.expr("percentile(_m, 0.025)").alias("lo"), F.expr("percentile(_m, 0.975)").alias("hi"))
 
 
-def wilcoxon(deltas: DataFrame, keys: Sequence[str], unit: str, delta: str) -> DataFrame:
-    """Signed-rank test with an exact two-sided p over all sign patterns (zeros dropped, mid-ranks)."""
-    keys = list(keys)
-    d = deltas.where(F.col(delta) != 0).withColumn("_a", F.abs(delta))
-    w = Window.partitionBy(*keys).orderBy("_a")
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_a"))
-    r = d.withColumn("_r", F.rank().over(w) + (ties - 1) / 2.0)  # fold-sized
-    g = r.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col(unit), F.col("_r")))), lambda s: s["_r"]).alias("_rk"),
-        F.count(F.lit(1)).cast("int").alias("n"), F.sum(F.when(F.col(delta) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"))
-    f = g.withColumn("_m", F.explode(F.expr("sequence(0L, shiftleft(1L, n) - 1L)"))).withColumn("_w", F.expr(
-        "aggregate(transform(_rk, (x, i) -> if((shiftright(_m, i) & 1) = 1, x, 0D)), 0D, (a, x) -> a + x)"))
-    half = F.expr("n * (n + 1) / 4.0")
-    p = F.avg(F.when(F.abs(F.col("_w") - half) >= F.abs(F.col("w_plus") - half) - 1e-12, 1.0).otherwise(0.0))
-    return f.groupBy(*keys, "n", "w_plus").agg(p.alias("p"))
-
-
 def silhouette(df: DataFrame, features: str, cluster: str) -> float:
     """Mean squared-Euclidean silhouette (MLlib's distributed form)."""
     v = df.select(array_to_vector(F.col(features)).alias("features"), F.col(cluster).cast("int").alias("prediction"))

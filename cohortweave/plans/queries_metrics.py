@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortweave.functions.numeric import r6
 from cohortweave.operators import agreement as A
+from cohortweave.operators import exact_null as EN
 from cohortweave.operators import metrics as M
 from cohortweave.operators.joins import side_by_side
 from cohortweave.plans.registry import query
@@ -168,7 +169,7 @@ def paired_folds(spark, d):
     m = M.macro(M.per_class(conf(spark, d), K), K).select("method", "held", "macro_f1")
     j = side_by_side(m.where("method = 'brand'").drop("method"), m.where("method = 'size'").drop("method"), ["held"])
     deltas = j.select(F.lit("brand-size").alias("comparison"), "held", (F.col("macro_f1_a") - F.col("macro_f1_b")).alias("x"))
-    return M.paired(deltas, ["comparison"], "held", "x").select(
+    return EN.paired(deltas, ["comparison"], "x").select(
         "comparison", "n", r6("mean").alias("mean"), r6("lo").alias("lo"), r6("hi").alias("hi"), r6("p").alias("p"))
 
 

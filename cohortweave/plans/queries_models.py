@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortweave.functions.numeric import r6
 from cohortweave.operators import agreement as A
+from cohortweave.operators import exact_null as EN
 from cohortweave.operators import metrics as M
 from cohortweave.operators import models as ML
 from cohortweave.operators import packed as PK
@@ -25,6 +26,7 @@ from cohortweave.session import materialise
 
 ROW = ["held", "cell_id", "y_true"]
 WIDTH = 64
+FRACTIONS = (1.0, 0.75, 0.5, 0.25)
 UNMEASURED = "NOT (cohort = 'C1' AND marker < 'm10') AND NOT (cohort = 'C2' AND marker BETWEEN 'm10' AND 'm15')"
 
 
@@ -266,13 +268,13 @@ def confidence_weighting(spark, d):
                 F.lit(arm).alias("arm"), F.lit(h).alias("held"), F.col("cls").alias("y_true"), "y_pred")
             out = p if out is None else out.unionByName(p)
     s = _scores(out, ["arm", "held"]).groupBy("held").pivot("arm", ["one", "conf"]).agg(F.first("macro_f1"))
-    return M.paired(s.select(F.lit("conf-one").alias("comparison"), "held", (F.col("conf") - F.col("one")).alias("x")), ["comparison"], "held", "x").select(
+    return EN.paired(s.select(F.lit("conf-one").alias("comparison"), "held", (F.col("conf") - F.col("one")).alias("x")), ["comparison"], "x").select(
         "comparison", "n", *[r6(c).alias(c) for c in ("mean", "lo", "hi", "p")])
 
 
 SQL_R2 = SQL_VRANKED + """,
 st AS (SELECT h.cohort AS held, v.marker, avg(u) AS mean, median(u) AS med FROM (SELECT DISTINCT cohort FROM vranked) h JOIN vranked v ON v.cohort <> h.cohort GROUP BY 1, 2),
-nb AS (SELECT cohort, cell_id, marker, u, lag(u) OVER (PARTITION BY cohort, cell_id ORDER BY marker) AS pred FROM vranked)"""
+nb AS (SELECT cohort, image_id, cell_id, marker, u, lag(u) OVER (PARTITION BY cohort, cell_id ORDER BY marker) AS pred FROM vranked)"""
 
 
 @query("reconstruction_r2", f"""WITH {SQL_R2} SELECT cohort, marker, count(*) AS cells, round(avg((u - pred) ** 2), 6) AS mse, round(avg((u - mean) ** 2), 6) AS baseline_mse,
@@ -280,18 +282,33 @@ nb AS (SELECT cohort, cell_id, marker, u, lag(u) OVER (PARTITION BY cohort, cell
  FROM nb JOIN st ON st.held = nb.cohort AND st.marker = nb.marker WHERE pred IS NOT NULL GROUP BY 1, 2""".replace("SELECT cohort, marker", "SELECT nb.cohort AS cohort, nb.marker AS marker"))
 def reconstruction_r2(spark, d):
     """Each marker predicted by its neighbour dimension of the same row, against the training mean and median."""
+    r = reconstructed(spark, d)
+    return r.select("cohort", "marker", "cells", *[r6(c).alias(c) for c in ("mse", "baseline_mse", "r2", "r2_vs_median", "split_spread")])
+
+
+def reconstructed(spark, d, split=None):
     from pyspark.sql.window import Window
-    from cohortweave.operators.distribution import median
-    u = materialise(ranked(spark, d).select("cohort", "cell_id", "marker", "u"))
+    from cohortweave.operators.distribution import leave_one_out_quantile
+    u = materialise(ranked(spark, d).select("cohort", "image_id", "cell_id", "marker", "u"))
     w = Window.partitionBy("cohort", "cell_id").orderBy("marker")  # one vocabulary per row
     rows = u.withColumn("pred", F.lag("u").over(w)).where("pred IS NOT NULL")
-    held = [r[0] for r in u.select("cohort").distinct().collect()]
-    tr = u.withColumn("held", F.explode(F.lit(held))).where("cohort <> held")
-    mean = tr.groupBy("held", "marker").agg(F.avg("u").alias("mean"))
-    med = median(tr, ["held", "marker"], "u", "med").select("held", "marker", "med")
-    j = rows.withColumn("held", F.col("cohort")).join(mean, ["held", "marker"]).join(med, ["held", "marker"])
-    r = M.reconstruction_r2(j, ["cohort", "marker"], "u", "pred", "mean", "med")
-    return r.select("cohort", "marker", "cells", *[r6(c).alias(c) for c in ("mse", "baseline_mse", "r2", "r2_vs_median", "split_spread")])
+    if split:
+        rows = ML.disjoint_groups(rows, "image_id", split).where("is_test")
+    own = u.groupBy("cohort", "marker").agg(F.sum("u").alias("s"), F.count("u").alias("n"))
+    every = own.groupBy("marker").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
+    mean = own.join(every, "marker").select("cohort", "marker", F.try_divide(F.col("ts") - F.col("s"), F.col("tn") - F.col("n")).alias("mean"))
+    med = leave_one_out_quantile(u, "cohort", ["marker"], "u", 0.5, "med")
+    return M.reconstruction_r2(rows.join(mean.join(med, ["cohort", "marker"]), ["cohort", "marker"]), ["cohort", "marker"], "u", "pred", "mean", "med")
+
+
+@query("split_floor_reconstruction", f"""WITH {SQL_R2}, r AS (SELECT nb.cohort, nb.marker, avg((u - mean) ** 2) * 12 AS spread, 1 - avg((u - pred) ** 2) / avg((u - mean) ** 2) AS r2
+ FROM nb JOIN st ON st.held = nb.cohort AND st.marker = nb.marker WHERE pred IS NOT NULL AND CAST('0x' || substr(md5('floor|' || image_id), 1, 15) AS BIGINT) % 2 = 1 GROUP BY 1, 2)
+SELECT cohort, spread >= 1.0 AS kept, count(*) AS pairs, round(avg(r2), 6) AS mean_r2, round(median(r2), 6) AS median_r2,
+ round(quantile_cont(r2, 0.75) - quantile_cont(r2, 0.25), 6) AS iqr_r2, round(min(r2), 6) AS min_r2, round(max(r2), 6) AS max_r2 FROM r GROUP BY 1, 2""")
+def split_floor_reconstruction(spark, d):
+    """Reconstruction scores on the test images of each cohort: markers that clear the floor there against the others."""
+    s = M.r2_summary(M.split_floor(reconstructed(spark, d, "floor"), 1.0), ["cohort", "kept"])
+    return s.select("cohort", "kept", "pairs", *[r6(c).alias(c) for c in ("mean_r2", "median_r2", "iqr_r2", "min_r2", "max_r2")])
 
 
 @query("coarse_accuracy", f"""WITH {SQL_PROTO}, lin AS (SELECT h.held, cls, CASE WHEN cls < 3 THEN 'a' WHEN cls < 7 THEN 'b' ELSE 'c' END AS lineage FROM h, (SELECT DISTINCT cls FROM proto))
@@ -398,7 +415,7 @@ def bootstrap_interval(spark, d):
 o AS (SELECT count(*) AS n, coalesce(sum(r) FILTER (x > 0), 0) AS wp FROM r), f AS (SELECT m, coalesce(sum(r) FILTER ((m >> CAST(i AS BIGINT)) & 1 = 1), 0) AS w FROM range(32) t(m), r GROUP BY 1)
 SELECT 'brand-size' AS comparison, CAST(max(n) AS INTEGER) AS n, CAST(max(wp) AS DOUBLE) AS w_plus, round(avg(CASE WHEN abs(w - n * (n + 1) / 4.0) >= abs(wp - n * (n + 1) / 4.0) - 1e-12 THEN 1.0 ELSE 0 END), 6) AS p FROM f, o""")
 def wilcoxon_test(spark, d):
-    return PR.wilcoxon(_deltas(spark, d), ["comparison"], "held", "x").withColumn("p", r6("p"))
+    return EN.wilcoxon(_deltas(spark, d), ["comparison"], "x").withColumn("p", r6("p"))
 
 
 @query("silhouette")
@@ -434,6 +451,49 @@ def permuted_labels(spark, d):
     return PR.permute_labels(cells(spark, d).select("cohort", "cell_id", "native_label"), "cell_id", "native_label").select("cohort", "cell_id", "permuted")
 
 
+SQL_CONTROL = """, ctl AS ({rows}),
+hc AS (SELECT DISTINCT cohort AS held FROM ctl),
+cp AS (SELECT hc.held, cls, marker, avg(u) AS c FROM ctl JOIN hc ON ctl.cohort <> hc.held GROUP BY 1, 2, 3),
+cc AS (SELECT ctl.cohort AS held, cell_id, y_true, cp.cls, sum(u * c) / sqrt(sum(u * u) * sum(c * c)) AS score FROM ctl JOIN cp ON cp.held = ctl.cohort AND cp.marker = ctl.marker GROUP BY 1, 2, 3, 4),
+cq AS (SELECT held, cell_id, y_true, arg_max(cls, (round(score, 9), -cls)) AS y_pred FROM cc GROUP BY 1, 2, 3),
+conf AS (SELECT 'control' AS method, held, y_true, y_pred, count(*) AS n FROM cq GROUP BY 1, 2, 3, 4)"""
+SQL_SHUFFLED = """vn AS (SELECT DISTINCT cohort, cell_id, cls FROM vranked),
+va AS (SELECT cohort, cell_id, row_number() OVER (PARTITION BY cohort ORDER BY cell_id) AS i FROM vn),
+vb AS (SELECT cohort, cls, row_number() OVER (PARTITION BY cohort ORDER BY md5('permute|' || cell_id), cell_id) AS i FROM vn)"""
+SQL_RENAMED = """mp AS (SELECT DISTINCT cohort, marker FROM vranked), ma AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY marker) AS i FROM mp),
+mb AS (SELECT cohort, marker AS renamed, row_number() OVER (PARTITION BY cohort ORDER BY md5('permute|' || cohort || '|' || marker)) AS i FROM mp)"""
+
+
+def sql_control(extra, rows):
+    return (f"WITH {SQL_VRANKED}, {extra}" + SQL_CONTROL.format(rows=rows) + f""", {sql_per_class()}
+SELECT held, count(*) AS classes, round(avg(f1_r), 6) AS macro_f1 FROM pc GROUP BY 1""")
+
+
+def control_scores(u):
+    """Macro-F1 of each held-out cohort under prototypes of the others; u: cohort, cell_id, cls (learned), y_true, marker, u."""
+    u = materialise(u.withColumn("held", F.col("cohort")))
+    p = materialise(ML.loco_prototypes(u.select("cohort", "cls", "marker", "u"), "cls", "u"))
+    pr = ML.prototype_predict(u.drop("cls"), p, ROW, "u").withColumn("method", F.lit("control"))
+    return M.macro(M.per_class(M.confusion(pr, K), K), K).select("held", "classes", r6("macro_f1").alias("macro_f1"))
+
+
+@query("permuted_label_scores", sql_control(SQL_SHUFFLED, """SELECT v.cohort, v.cell_id, vb.cls, v.cls AS y_true, marker, u FROM vranked v
+ JOIN va USING (cohort, cell_id) JOIN vb ON vb.cohort = va.cohort AND vb.i = va.i"""))
+def permuted_label_scores(spark, d):
+    """Negative control: prototypes learned on labels permuted inside each cohort, scored on the real ones."""
+    u = materialise(ranked(spark, d).select("cohort", "cell_id", "marker", "u", "cls"))
+    dealt = PR.permute_labels(u.select("cohort", "cell_id", "cls").distinct(), "cell_id", "cls").select("cohort", "cell_id", "permuted")
+    return control_scores(u.join(dealt, ["cohort", "cell_id"]).select("cohort", "cell_id", F.col("permuted").alias("cls"), F.col("cls").alias("y_true"), "marker", "u"))
+
+
+@query("permuted_marker_scores", sql_control(SQL_RENAMED, """SELECT v.cohort, v.cell_id, v.cls, v.cls AS y_true, mb.renamed AS marker, u FROM vranked v
+ JOIN ma USING (cohort, marker) JOIN mb ON mb.cohort = ma.cohort AND mb.i = ma.i"""))
+def permuted_marker_scores(spark, d):
+    """Negative control: marker names permuted inside each cohort."""
+    u = PR.permute_markers(ranked(spark, d).select("cohort", "cell_id", "marker", "u", "cls"))
+    return control_scores(u.withColumn("y_true", F.col("cls")))
+
+
 @query("permuted_markers", f"""WITH {SQL_VECTORS}, p AS (SELECT DISTINCT cohort, marker FROM vectors), a AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY marker) AS i FROM p),
 b AS (SELECT cohort, marker AS new, row_number() OVER (PARTITION BY cohort ORDER BY md5('permute|' || cohort || '|' || marker)) AS i FROM p)
 SELECT v.cohort, b.new AS marker, round(sum(value), 6) + 0.0 AS s FROM vectors v JOIN a USING (cohort, marker) JOIN b USING (cohort, i) GROUP BY 1, 2""")
@@ -448,16 +508,53 @@ def visible_markers(spark, d):
     return PR.visible_fractions(vectors(spark, d), ["cohort", "cell_id"], (1.0, 0.75, 0.5, 0.25)).groupBy("fraction", "marker").agg(F.count(F.lit(1)).alias("rows"))
 
 
+# Cohort C4 measures the first five markers alone; the others lack the first three, so a C4 row may show nothing that training has.
+SQL_SPARSE = """sp AS (SELECT cohort, cell_id, cls, marker, u FROM vranked WHERE NOT (cohort = 'C4' AND marker >= 'm05') AND NOT (cohort <> 'C4' AND marker < 'm03')),
+vis AS (SELECT *, row_number() OVER (PARTITION BY cohort, cell_id ORDER BY md5('visible|' || cohort || '|' || cell_id || '|' || marker), marker) AS r,
+  count(*) OVER (PARTITION BY cohort, cell_id) AS n FROM sp),
+fr(fraction) AS (VALUES (1.0::DOUBLE), (0.75), (0.5), (0.25)),
+seen AS (SELECT fraction, cohort AS held, cell_id, cls AS y_true, marker, u FROM vis, fr WHERE r <= ceil(fraction * n)),
+hs AS (SELECT DISTINCT cohort AS held FROM sp),
+pp AS (SELECT hs.held, cls, marker, avg(u) AS c FROM sp JOIN hs ON sp.cohort <> hs.held GROUP BY 1, 2, 3),
+sc AS (SELECT fraction, held, cell_id, y_true, cls, sqrt(avg((u - c) ** 2)) AS score FROM seen JOIN pp USING (held, marker) GROUP BY 1, 2, 3, 4, 5),
+pd AS (SELECT fraction, held, cell_id, y_true, arg_min(cls, (round(score, 9), cls)) AS y_pred FROM sc GROUP BY 1, 2, 3, 4),
+conf AS (SELECT fraction AS method, held, y_true, y_pred, count(*) AS n FROM pd GROUP BY 1, 2, 3, 4)"""
+
+
+@query("visible_marker_scores", f"""WITH {SQL_VRANKED}, {SQL_SPARSE}, {sql_per_class()},
+al AS (SELECT fraction, cohort AS held, count(*) AS cells FROM (SELECT DISTINCT cohort, cell_id FROM sp), fr GROUP BY 1, 2),
+te AS (SELECT fraction, held, count(*) AS tested FROM pd GROUP BY 1, 2),
+mf AS (SELECT method AS fraction, held, avg(f1_r) AS macro_f1 FROM pc GROUP BY 1, 2)
+SELECT fraction, held, cells, round(1 - coalesce(tested, 0) / CAST(cells AS DOUBLE), 6) + 0.0 AS untestable_share, round(macro_f1, 6) AS macro_f1
+FROM al LEFT JOIN te USING (fraction, held) LEFT JOIN mf USING (fraction, held)""")
+def visible_marker_scores(spark, d):
+    """Nearest training profile by the markers that stay visible: macro-F1 of the testable rows and the share that shows
+    nothing which training measures. Hidden markers are absent, never 0."""
+    u = ranked(spark, d).where("NOT (cohort = 'C4' AND marker >= 'm05') AND NOT (cohort <> 'C4' AND marker < 'm03')")
+    u = materialise(u.select("cohort", "cell_id", "cls", "y_true", "held", "marker", "u"))
+    p = materialise(ML.loco_prototypes(u.select("cohort", "cls", "marker", "u"), "cls", "u"))
+    seen = PR.visible_fractions(u.drop("cls"), ["cohort", "cell_id"], FRACTIONS)
+    pr = ML.masked_profile_predict(seen, p, ["fraction", *ROW], "u").withColumn("method", F.col("fraction"))
+    scored = materialise(M.confusion(pr, K))
+    tested = scored.groupBy(F.col("method").alias("fraction"), "held").agg(F.sum("n").alias("tested"))
+    f1 = M.macro(M.per_class(scored, K), K).select(F.col("method").alias("fraction"), "held", "macro_f1")
+    every = u.groupBy("held").agg(F.count_distinct("cell_id").alias("cells")).withColumn("fraction", F.explode(F.lit(list(FRACTIONS))))
+    share = 1.0 - F.coalesce("tested", F.lit(0)) / F.col("cells").cast("double")
+    return every.join(tested, ["fraction", "held"], "left").join(f1, ["fraction", "held"], "left").select(
+        "fraction", "held", "cells", r6(share).alias("untestable_share"), r6("macro_f1").alias("macro_f1"))
+
+
 @query("loco_loto_gap", f"""WITH {SQL_VRANKED}, x AS (SELECT cohort, cell_id, cls AS y_true, marker, u FROM vranked), tis(cohort, tissue) AS (VALUES ('C0', 'north'), ('C1', 'south'), ('C2', 'north'), ('C3', 'east'), ('C4', 'east')),
 pl AS (SELECT h.cohort AS held, x.y_true AS cls, marker, avg(u) AS c FROM tis h JOIN x ON x.cohort <> h.cohort GROUP BY 1, 2, 3),
 pt AS (SELECT h.cohort AS held, x.y_true AS cls, marker, avg(u) AS c FROM tis h JOIN (SELECT x.*, tissue FROM x JOIN tis USING (cohort)) x ON x.tissue <> h.tissue GROUP BY 1, 2, 3),
 cs AS (SELECT 'loco' AS m, x.cohort, cell_id, y_true, cls, sum(u * c) / sqrt(sum(u * u) * sum(c * c)) AS s FROM x JOIN pl ON pl.held = x.cohort AND pl.marker = x.marker GROUP BY 1, 2, 3, 4, 5
   UNION ALL SELECT 'loto', x.cohort, cell_id, y_true, cls, sum(u * c) / sqrt(sum(u * u) * sum(c * c)) FROM x JOIN pt ON pt.held = x.cohort AND pt.marker = x.marker GROUP BY 1, 2, 3, 4, 5),
 bp AS (SELECT m, cohort, cell_id, y_true, arg_max(cls, (round(s, 9), -cls)) AS y_pred FROM cs GROUP BY 1, 2, 3, 4),
-ac AS (SELECT m, cohort, avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0 END) AS a FROM bp GROUP BY 1, 2)
+conf AS (SELECT m AS method, cohort AS held, y_true, y_pred, count(*) AS n FROM bp GROUP BY 1, 2, 3, 4), {sql_per_class()},
+ac AS (SELECT method AS m, held AS cohort, avg(f1_r) AS a FROM pc GROUP BY 1, 2)
 SELECT cohort AS held, round(max(a) FILTER (m = 'loco'), 6) AS loco, round(max(a) FILTER (m = 'loto'), 6) AS loto, round(max(a) FILTER (m = 'loco') - max(a) FILTER (m = 'loto'), 6) + 0.0 AS gap FROM ac GROUP BY 1""")
 def loco_loto_gap(spark, d):
-    """Accuracy holding out the cohort alone against holding out its whole tissue."""
+    """Macro-F1 holding out the cohort alone against holding out its whole tissue."""
     u, p = proto_predictions(spark, d)
     reg = vector_registry(spark)
     part = u.groupBy("cohort", F.col("y_true").alias("cls"), "marker").agg(F.sum("u").alias("s"), F.count("u").alias("n")).join(reg.select("cohort", "tissue"), "cohort")
@@ -466,11 +563,11 @@ def loco_loto_gap(spark, d):
     pt = (by_tissue.join(tot, ["cls", "marker"]).join(reg.select(F.col("cohort").alias("held"), "tissue"), "tissue")
           .where("tn > n").select("held", "cls", "marker", ((F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n"))).alias("c")))
 
-    def acc(protos):
-        pr = ML.prototype_predict(u, protos, ROW, "u")
-        return pr.groupBy("held").agg(F.avg(F.when(F.col("y_true") == F.col("y_pred"), 1.0).otherwise(0.0)).alias("a"))
+    def f1(protos):
+        conf = M.confusion(ML.prototype_predict(u, protos, ROW, "u"), ["held"])
+        return M.macro(M.per_class(conf, ["held"]), ["held"]).select("held", F.col("macro_f1").alias("a"))
 
-    g = PR.generalisation_gap(acc(p), acc(materialise(pt)), "held", "a")
+    g = PR.generalisation_gap(f1(p), f1(materialise(pt)), "held", "a")
     return g.select("held", r6("loco").alias("loco"), r6("loto").alias("loto"), r6("gap").alias("gap"))
 
 

@@ -12,15 +12,18 @@ from pyspark.sql.window import Window
 
 from cohortweave.functions.numeric import clean, safe_div
 from cohortweave.operators.joins import left_join_one
-from cohortweave.session import materialise
 from cohortweave.sources.specs import (
     STANDARD_COLUMNS, UNKNOWN_PATIENT, AreaRule, CohortSpec, MarkerRule,
 )
 
 
 def read_table(spark: SparkSession, path: str, fmt: str, columns: Sequence[str] | None = None,
-               header: bool = True) -> DataFrame:
-    """Parquet, or CSV read as plain strings so that a literal 'NA' stays data."""
+               header: bool = True, placed: bool = False) -> DataFrame:
+    """Parquet, or CSV read as plain strings so that a literal 'NA' stays data.
+
+    `placed` adds where a row comes from: _file, _part (start of the part read at once; 0 for Parquet, whose rows
+    know their number in the file) and _at (number in the part, up to a constant).
+    """
     if fmt == "parquet":
         df = spark.read.parquet(path)
     elif fmt == "csv":
@@ -28,7 +31,13 @@ def read_table(spark: SparkSession, path: str, fmt: str, columns: Sequence[str]
               .option("emptyValue", "").option("nanValue", "\u0000").csv(path))
     else:
         raise ValueError(f"unknown format {fmt}")
-    return df if columns is None else df.select(*[quoted(c) for c in columns])
+    wanted = [quoted(c) for c in (df.columns if columns is None else columns)]
+    if placed and fmt == "parquet":
+        wanted += [F.col("_metadata.file_path").alias("_file"), F.lit(0).cast("long").alias("_part"), F.col("_metadata.row_index").alias("_at")]
+    elif placed:
+        in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        wanted += [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_part"), in_task.alias("_at")]
+    return df.select(*wanted)
 
 
 def quoted(name: str):
@@ -81,17 +90,17 @@ def area_expr(rule: AreaRule | None):
 
 
 def number_rows(df: DataFrame, out: str = "cell_id") -> DataFrame:
-    """0..n-1 in scan order without a shuffle: partition offsets plus position in the partition."""
-    tagged = materialise(df.withColumn("_m", F.monotonically_increasing_id()))
-    part, pos = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = tagged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per input partition
-    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    return (tagged.withColumn("_p", part).withColumn("_i", pos)
-            .join(offsets, "_p")
-            .withColumn(out, (F.col("_o") + F.col("_i")).cast("long"))
-            .drop("_m", "_p", "_i", "_o"))
+    """0..n-1 in file order, without a shuffle of the rows and without storing them.
+
+    df comes from `read_table(..., placed=True)`. A row's place is its file, the part of the file that is read at
+    once, and its number there; parts are counted in a scan that reads no column. Ids depend on the files alone for
+    Parquet; for text, on the files and on how they are cut for reading, which a session keeps.
+    """
+    parts = df.groupBy("_file", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_file", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per part of a file
+    offsets = parts.select("_file", "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_o"))
+    return df.join(offsets, ["_file", "_part"]).withColumn(out, (F.col("_o") + F.col("_at")).cast("long")).drop("_file", "_part", "_at", "_o")
 
 
 def standardise(df: DataFrame, cohort: str, mapping: dict[str, str], markers: Sequence[str],
@@ -142,7 +151,7 @@ def load(spark: SparkSession, spec: CohortSpec) -> tuple[DataFrame, list[str]]:
     need -= joined
     require_columns(sorted(need), base_cols, f"[{spec.name}] base table")
     df = number_rows(read_table(spark, base.path, base.format,
-                                [c for c in base_cols if c in need]))
+                                [c for c in base_cols if c in need], placed=True))
     for j in spec.joins:
         aux = read_table(spark, j.path, j.format).select(
             *[quoted(r).alias(f"_k{i}") for i, r in enumerate(j.right_on)],

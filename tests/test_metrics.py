@@ -48,16 +48,6 @@ def test_one_class_has_no_kappa(spark):
     assert M.kappa(M.confusion(df, KEYS), KEYS).first()["cohen_kappa"] is None
 
 
-def test_sign_flip_is_exact(spark):
-    x = [0.1, 0.2, -0.05, 0.3, 0.15, 0.02, 0.4]
-    df = spark.createDataFrame([("c", f"f{i}", v) for i, v in enumerate(x)], "k string, fold string, d double")
-    r = M.paired(df, ["k"], "fold", "d").first()
-    signs = np.array([[1 if (i >> b) & 1 else -1 for b in range(7)] for i in range(128)])
-    p = (np.abs((signs * x).mean(1)) >= abs(np.mean(x)) - 1e-12).mean()
-    half = 2.446911851 * np.std(x, ddof=1) / np.sqrt(7)
-    assert abs(r["p"] - p) < 1e-12 and abs(r["lo"] - (np.mean(x) - half)) < 1e-9
-
-
 def test_gate_states(spark):
     rules = spark.createDataFrame([("1", "a", ">", 0.0, 1, 0), ("2", "b", ">", 1.0, 1, 1), ("3", "z", ">", 0.0, 0, 0)],
                                   "check string, quantity string, relation string, threshold double, required int, waived int")
