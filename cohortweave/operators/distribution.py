@@ -20,6 +20,8 @@ from cohortweave.session import materialise
 # A value carried by at least this many rows of its group gets its own salt when ranks are joined
 # back to rows; rows / HOT_ROWS bounds how many such values can exist.
 HOT_ROWS = 2_000_000
+HOT_SENT = 100_000       # hot values up to this many are broadcast
+MISSING_SALTS = 1 << 20  # rows without a value are dealt out over so many keys
 
 
 def chunked_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
@@ -76,24 +78,23 @@ def midrank_table(df: DataFrame, keys: Sequence[str], value: str, out: str = "u"
 
 def attach_by_value(rows: DataFrame, table: DataFrame, keys: Sequence[str], value: str,
                     row_id: Sequence[str], counts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Left-join a per-value table back to rows, salting values that are hot.
+    """Left-join a per-value table back to rows in one pass, salting values that are hot.
 
-    counts: stored keys, value, n_at. There are at most rows / hot_rows hot values; Spark chooses how
-    to join their list from its size. Rows without a value need no rank and skip the join.
+    counts: stored keys, value, n_at. There are at most rows / hot_rows hot values; without any, nothing is salted.
+    Rows without a value match nothing and are dealt out by a hash, so that they do not meet in one task.
     """
     on = [*keys, value]
-    missing = rows.where(F.col(value).isNull())
-    rows = rows.where(F.col(value).isNotNull())
-    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name not in on]
-    missing = missing.select("*", *blank)
-    hot = counts.where(F.col("n_at") >= hot_rows).select(
-        *on, F.ceil(F.col("n_at") / hot_rows).cast("int").alias("_salts"))
-    salted_rows = rows.join(hot, on, "left").withColumn(
-        "_salt", F.coalesce(F.pmod(F.xxhash64(*row_id), F.col("_salts")).cast("int"), F.lit(0)))
-    salted_table = (table.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts"))
-    found = salted_rows.drop("_salts").join(salted_table, [*on, "_salt"], "left").drop("_salt")
-    return found.unionByName(missing)
+    spread = -1 - F.pmod(F.xxhash64(*row_id), F.lit(MISSING_SALTS))
+    hot = counts.where(F.col("n_at") >= hot_rows).select(*on, F.ceil(F.col("n_at") / hot_rows).cast("int").alias("_salts"))
+    n_hot = hot.count()
+    if n_hot:
+        hot = F.broadcast(hot) if n_hot <= HOT_SENT else hot
+        rows = rows.join(hot, on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*row_id), F.col("_salts")), F.lit(0))).drop("_salts")
+        table = (table.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts"))
+    else:
+        rows, table = rows.withColumn("_salt", F.lit(0)), table.withColumn("_salt", F.lit(0))
+    rows = rows.withColumn("_salt", F.when(F.col(value).isNull(), spread).otherwise(F.col("_salt")).cast("long"))
+    return rows.join(table.withColumn("_salt", F.col("_salt").cast("long")), [*on, "_salt"], "left").drop("_salt")
 
 
 def ecdf(rows: DataFrame, keys: Sequence[str], value: str, row_id: Sequence[str],

@@ -10,7 +10,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,21 +20,37 @@ MATRIX_NUMBERS = 4_000_000
 MOMENTS = ("n", "s1", "s2", "s11", "s22", "s12")
 
 
-def pack(long: DataFrame, row: Sequence[str], value: str) -> DataFrame:
-    """row, markers, measured: parallel arrays of the markers that the row measures; rows without any are left out."""
-    g = long.where(F.col(value).isNotNull()).groupBy(*row).agg(F.collect_list(F.struct("marker", F.col(value).cast("double").alias("v"))).alias("_p"))
-    return g.select(*row, F.transform("_p", lambda p: p["marker"]).alias("markers"), F.transform("_p", lambda p: p["v"]).alias("measured"))
+def pack(long: DataFrame, row: Sequence[str], value: str, vocabulary: Sequence[str]) -> DataFrame:
+    """row, vec: one number per marker of the vocabulary, NULL where the row does not measure it.
+
+    One hash aggregate with a column a marker, combined before the shuffle; of a marker given twice the larger value
+    stays. Rows that measure nothing at all are left out.
+    """
+    columns = [F.max(F.when(F.col("marker") == m, F.col(value).cast("double"))).alias(f"_v{i}") for i, m in enumerate(vocabulary)]
+    g = long.where(F.col(value).isNotNull() & F.col("marker").isin(list(vocabulary))).groupBy(*row).agg(*columns)
+    return g.select(*row, F.array(*[f"_v{i}" for i in range(len(vocabulary))]).cast("array<double>").alias("vec"))
+
+
+def dense(vec: pa.ListArray, width: int) -> np.ndarray:
+    """Rows x vocabulary, NaN where a row does not measure a marker."""
+    return vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def dense(markers: pa.ListArray, measured: pa.ListArray, vocabulary: pa.Array) -> np.ndarray:
-    """Rows x vocabulary, NaN where a row does not measure a marker; markers outside the vocabulary are left out."""
-    x = np.full((len(markers), len(vocabulary)), np.nan)
-    lengths = pc.list_value_length(markers).to_numpy(zero_copy_only=False).astype(np.int64)
-    at = pc.index_in(markers.flatten(), value_set=vocabulary)
-    known = np.asarray(pc.is_valid(at))
-    rows = np.repeat(np.arange(len(markers)), lengths)[known]
-    x[rows, pc.drop_null(at).to_numpy(zero_copy_only=False)] = measured.flatten().to_numpy(zero_copy_only=False)[known]
-    return x
+def parted(columns: list[pa.Array]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Each combination of the columns' values (nulls included) with the places of its rows."""
+    code, values = np.zeros(len(columns[0]), np.int64), []
+    for c in columns:
+        d = c.dictionary_encode(null_encoding="encode")
+        values.append(d.dictionary.to_pylist())
+        code = code * len(values[-1]) + d.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    found, starts = np.unique(code[order], return_index=True)
+    for f, at in zip(found.tolist(), np.split(order, starts[1:])):
+        name = []
+        for v in reversed(values):
+            f, i = divmod(f, len(v))
+            name.append(v[i])
+        yield tuple(reversed(name)), at
 
 
 # ------------------------------------------------------------------ class scores
@@ -43,8 +58,8 @@ class Prototypes:
     """Centroids as one matrix a fold, rows in class order; NaN where a class has no value of a marker."""
 
     def __init__(self, rows: list):
-        self.markers = pa.array(sorted({r["marker"] for r in rows}), pa.string())
-        at = {m: i for i, m in enumerate(self.markers.to_pylist())}
+        self.markers = sorted({r["marker"] for r in rows})
+        at = {m: i for i, m in enumerate(self.markers)}
         classes: dict = {}
         for r in rows:
             classes.setdefault(r["held"], {}).setdefault(r["cls"], np.full(len(at), np.nan))[at[r["marker"]]] = r["c"]
@@ -86,26 +101,25 @@ def class_scores(long: DataFrame, prototypes: DataFrame, row: Sequence[str], val
     spark = long.sparkSession
     by_fold = "held" in prototypes.columns and "held" in long.columns
     keys = [*row, *(["held"] if by_fold and "held" not in row else [])]
-    packed = pack(long, keys, value)
     if by_fold:
         rows = prototypes.select("held", "cls", "marker", "c").collect()  # at most MATRIX_NUMBERS numbers
     else:
         rows = prototypes.select(F.lit("").alias("held"), "cls", "marker", "c").collect()
-    shipped, kind = spark.sparkContext.broadcast(Prototypes(rows)), prototypes.schema["cls"].dataType
+    known = Prototypes(rows)
+    packed, shipped, kind = pack(long, keys, value, known.markers), spark.sparkContext.broadcast(known), prototypes.schema["cls"].dataType
     scores = T.StructField("scores", T.ArrayType(T.StructType([T.StructField("cls", kind), T.StructField("score", T.DoubleType())])))
     schema, told_type = T.StructType([*[packed.schema[k] for k in keys], scores]), to_arrow_type(scores.dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shipped.value
         for b in batches:
-            x = dense(b.column("markers"), b.column("measured"), known.markers)
-            held = b.column("held").to_pylist() if by_fold else [""] * len(x)
-            told: list = [[] for _ in held]
-            for fold in set(held) & set(known.folds):
-                names, c = known.folds[fold]
-                at = [i for i, h in enumerate(held) if h == fold]
-                for i, s in zip(at, MEASURES[measure](x[at], c).tolist()):
-                    told[i] = [{"cls": k, "score": v} for k, v in zip(names, s) if v == v]
+            x = dense(b.column("vec"), len(known.markers))
+            told: list = [[] for _ in x]
+            for (fold,), at in (parted([b.column("held")]) if by_fold else [(("",), np.arange(len(x)))]) if len(x) else ():
+                names, c = known.folds.get(fold, ([], None))
+                if names:
+                    for i, s in zip(at.tolist(), MEASURES[measure](x[at], c).tolist()):
+                        told[i] = [{"cls": k, "score": v} for k, v in zip(names, s) if v == v]
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], pa.array(told, told_type)], names=[*keys, "scores"])
 
     return packed.mapInArrow(run, schema)
@@ -119,53 +133,30 @@ def best_of(scored: DataFrame, row: Sequence[str], highest: bool = True, digits:
 
 
 # ------------------------------------------------------------------ co-moments
-class CoMoments:
-    """Sums over rows in which both markers of a pair are measured, for each group; markers join as they come."""
-
-    def __init__(self, centre: float):
-        self.centre, self.at, self.names, self.sums = centre, {}, [], {}
-
-    def add(self, groups: list[tuple], markers: pa.ListArray, measured: pa.ListArray) -> None:
-        for m in pc.unique(markers.flatten()).to_pylist():
-            if m not in self.at:
-                self.at[m] = len(self.names)
-                self.names.append(m)
-        x = dense(markers, measured, pa.array(self.names, pa.string())) - self.centre
-        for group in set(groups):
-            part = x[[i for i, g in enumerate(groups) if g == group]]
-            there = ~np.isnan(part)
-            v, m = np.where(there, part, 0.0), there.astype(float)
-            new = np.stack([m.T @ m, v.T @ m, m.T @ v, (v * v).T @ m, m.T @ (v * v), v.T @ v])
-            old = self.sums.get(group)
-            if old is not None:
-                new[:, :old.shape[1], :old.shape[1]] += old
-            self.sums[group] = new
-
-    def rows(self) -> Iterator[tuple]:
-        for group, sums in self.sums.items():
-            for i, j in zip(*np.nonzero(sums[0])):
-                if self.names[i] < self.names[j]:
-                    yield (*group, self.names[i], self.names[j], *sums[:, i, j].tolist())
-
-
-def co_moments(packed: DataFrame, group: Sequence[str], centre: float = 0.0) -> DataFrame:
+def co_moments(packed: DataFrame, group: Sequence[str], vocabulary: Sequence[str], centre: float = 0.0) -> DataFrame:
     """group, m1, m2 (m1 < m2) and n, s1, s2, s11, s22, s12: rows that measure both, sums of their values less
     `centre`, of the squares and of the products. A task sends one row a group and pair."""
-    group = list(group)
+    group, names = list(group), list(vocabulary)
     types = [packed.schema[g] for g in group]
     out = T.StructType([*types, T.StructField("m1", T.StringType()), T.StructField("m2", T.StringType()),
                         *[T.StructField(m, T.DoubleType()) for m in MOMENTS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = CoMoments(centre)
+        sums: dict[tuple, np.ndarray] = {}
         for b in batches:
-            if b.num_rows:
-                held.add(list(zip(*(b.column(g).to_pylist() for g in group))), b.column("markers"), b.column("measured"))
-        schema, rows = to_arrow_schema(out), list(held.rows())
+            x = dense(b.column("vec"), len(names)) - centre
+            for name, at in parted([b.column(g) for g in group]) if len(x) else ():
+                there = ~np.isnan(x[at])
+                v, m = np.where(there, x[at], 0.0), there.astype(float)
+                new = np.stack([m.T @ m, v.T @ m, m.T @ v, (v * v).T @ m, m.T @ (v * v), v.T @ v])
+                sums[name] = sums[name] + new if name in sums else new
+        rows = [(*name, names[i], names[j], *s[:, i, j].tolist()) for name, s in sums.items()
+                for i, j in zip(*np.nonzero(s[0])) if names[i] < names[j]]
+        schema = to_arrow_schema(out)
         columns = zip(*rows) if rows else [[] for _ in schema]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], names=schema.names)
 
-    parts = packed.select(*group, "markers", "measured").mapInArrow(run, out)
+    parts = packed.select(*group, "vec").mapInArrow(run, out)
     return parts.groupBy(*group, "m1", "m2").agg(*[F.sum(m).alias(m) for m in MOMENTS])
 
 

@@ -194,13 +194,13 @@ def image_statistics(counts_u: DataFrame) -> DataFrame:
         *keys, std("med", "mm", "ms").alias("med_z"), std("iqr", "im", "is").alias("iqr_z"))
 
 
-def coexpression(long_u: DataFrame, cell: Sequence[str]) -> DataFrame:
+def coexpression(long_u: DataFrame, cell: Sequence[str], vocabulary: Sequence[str]) -> DataFrame:
     """Within-label Pearson r of every marker pair m1 < m2 over the cells that measure both: cohort, label, m1, m2, r.
 
     Cells are packed once; a task sends one sum a label and pair. r is NULL where a marker has no spread.
     """
     keys = list(dict.fromkeys([*cell, "cohort", "native_label"]))
-    moments = packed.co_moments(packed.pack(long_u, keys, "u"), ["cohort", "native_label"], RANK_CENTRE)
+    moments = packed.co_moments(packed.pack(long_u, keys, "u", vocabulary), ["cohort", "native_label"], vocabulary, RANK_CENTRE)
     return packed.correlation_of(moments, ["cohort", "native_label"]).withColumnRenamed("native_label", "label")
 
 

@@ -305,7 +305,7 @@ SELECT a.cohort, a.native_label AS label, a.marker AS m1, b.marker AS m2, round(
 FROM ranked a JOIN ranked b ON a.cell_id = b.cell_id AND a.cohort = b.cohort AND a.marker < b.marker GROUP BY 1, 2, 3, 4""")
 def coexpression(spark, d):
     u = D.ecdf(cell_values(spark, d), ["cohort", "marker"], "value", ["cell_id"])
-    return P.coexpression(u, ["cohort", "cell_id"]) .select("cohort", "label", "m1", "m2", r6("r").alias("r"))
+    return P.coexpression(u, ["cohort", "cell_id"], MARKERS) .select("cohort", "label", "m1", "m2", r6("r").alias("r"))
 
 
 @query("coexpression_agreement", f"""WITH {SQL_SIG},
@@ -322,7 +322,7 @@ HAVING count(*) >= 3 AND stddev_pop(a.r) > 1e-6 AND stddev_pop(b.r) > 1e-6)
 SELECT scored.* FROM scored JOIN enough USING (cohort_a, a, cohort_b, b)""")
 def coexpression_agreement(spark, d):
     u = D.ecdf(cell_values(spark, d), ["cohort", "marker"], "value", ["cell_id"])
-    cx = materialise(P.coexpression(u, ["cohort", "cell_id"])).withColumn("r", F.round("r", 9))
+    cx = materialise(P.coexpression(u, ["cohort", "cell_id"], MARKERS)).withColumn("r", F.round("r", 9))
     weights = P.rescale(li_signatures(spark, d)).select("cohort", "label", "marker", "w")
     return P.coexpression_agreement(cx, weights).withColumn("coex_r", F.round("coex_r", 5) + F.lit(0.0))
 

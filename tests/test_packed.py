@@ -58,7 +58,8 @@ def test_coexpression_over_cells_that_measure_both(spark, many_chunks):
     rows = [(r["held"], r["cell"], f"L{r['y']}", r["marker"], r["u"]) for r in long.collect()]
     rows += [("C9", i, "flat", m, 0.25 if m == "m0" else i / 7) for i in range(6) for m in ("m0", "m1")]
     df = spark.createDataFrame(rows, "cohort string, cell_id long, native_label string, marker string, u double").repartition(7)
-    got = {(r["cohort"], r["label"], r["m1"], r["m2"]): r["r"] for r in profile.coexpression(df, ["cohort", "cell_id"]).collect()}
+    names = sorted({r[3] for r in rows})
+    got = {(r["cohort"], r["label"], r["m1"], r["m2"]): r["r"] for r in profile.coexpression(df, ["cohort", "cell_id"], names).collect()}
     values = {}
     for c, i, lab, m, u in rows:
         if u is not None:
@@ -75,6 +76,6 @@ def test_coexpression_over_cells_that_measure_both(spark, many_chunks):
     assert got.keys() == want.keys() and None in want.values()
     for k, r in want.items():
         assert got[k] is None if r is None else abs(got[k] - r) < 1e-9
-    df2 = profile.coexpression(df, ["cohort", "cell_id"])
+    df2 = profile.coexpression(df, ["cohort", "cell_id"], names)
     df2.collect()
     assert "Join" not in df2._jdf.queryExecution().executedPlan().toString()
