@@ -12,10 +12,11 @@ import pyarrow as pa
 class ChunkCache:
     """Encodes every distinct chunk once and puts texts together from the cached ids.
 
-    `encode` maps new chunks to their ids. At most `limit` chunks are held; a fuller cache starts anew.
+    `encode` maps new chunks to their ids: a list for each chunk, or all ids in one array and the number of each
+    chunk's. At most `limit` chunks are held; a fuller cache starts anew.
     """
 
-    def __init__(self, encode: Callable[[list], list[list[int]]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list], list[list[int]] | tuple[np.ndarray, np.ndarray]], limit: int = 400_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -26,17 +27,20 @@ class ChunkCache:
         self.flat = np.zeros(4096, np.uint32)
 
     def learn(self, chunks: list) -> None:
-        ids = self.encode(chunks)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
-        self.starts = grown(self.starts, self.n + len(ids))
-        self.sizes = grown(self.sizes, self.n + len(ids))
-        self.flat = grown(self.flat, self.used + total)
-        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.starts[self.n:self.n + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[self.n:self.n + len(ids)] = sizes
-        self.at.update(zip(chunks, range(self.n, self.n + len(ids))))
-        self.n, self.used = self.n + len(ids), self.used + total
+        ids, n = self.encode(chunks), len(chunks)
+        if isinstance(ids, tuple):
+            flat, sizes = ids
+        else:
+            sizes = np.fromiter(map(len, ids), np.int64, n)
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        self.starts = grown(self.starts, self.n + n)
+        self.sizes = grown(self.sizes, self.n + n)
+        self.flat = grown(self.flat, self.used + len(flat))
+        self.flat[self.used:self.used + len(flat)] = flat
+        self.starts[self.n:self.n + n] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.n:self.n + n] = sizes
+        self.at.update(zip(chunks, range(self.n, self.n + n)))
+        self.n, self.used = self.n + n, self.used + len(flat)
 
     def texts(self, chunked: list[list]) -> Iterator[np.ndarray]:
         """The ids of each text, given its chunks."""

@@ -13,6 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -103,26 +104,28 @@ class Codec:
         self.unequal: set[str] = set()
         self.cache = ChunkCache(self.learn, 300_000)
 
-    def learn(self, chunks: list[str]) -> list[list[int]]:
-        """Ids of new chunks, some at a time, so that the libraries' results take little memory."""
-        return [ids for i in range(0, len(chunks), 5_000) for ids in self.learn_some(chunks[i:i + 5_000])]
+    def learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new chunks and how many each has, some at a time, so that the libraries' results take little memory."""
+        parts = [self.learn_some(chunks[i:i + 20_000]) for i in range(0, len(chunks), 20_000)]
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([n for _, n in parts])
 
-    def learn_some(self, chunks: list[str]) -> list[list[int]]:
+    def learn_some(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of new chunks; those that SentencePiece encodes otherwise are noted."""
         marked = [c.replace(" ", MARK) for c in chunks]
         blocks = [marked[i:i + BLOCK] for i in range(0, len(marked), BLOCK)]
-        ids: list[list[int]] = []
-        for block, e in zip(blocks, self.blocks.encode_batch(blocks, is_pretokenized=True, add_special_tokens=False)):
-            at, own = len(ids), e.ids
-            ids += [[] for _ in block]
-            for w, i in zip(e.word_ids, own):
-                ids[at + w].append(i)
+        coded = self.blocks.encode_batch(blocks, is_pretokenized=True, add_special_tokens=False)
+        sizes = np.concatenate([np.bincount(np.array(e.word_ids, np.int64), minlength=len(b)) for b, e in zip(blocks, coded)])
+        ids = np.fromiter(chain.from_iterable(e.ids for e in coded), np.int64)
         # the library puts a space before each text: take one away, or begin a line and drop its two pieces
         bare = [c[0] != " " or c.isspace() for c in chunks]
         there = self.check.encode(["\n" + c if alone else c[1:] for c, alone in zip(chunks, bare)], num_threads=1)
         skip = len(self.check.encode("\n"))
-        self.unequal.update(c for c, i, o, alone in zip(chunks, ids, there, bare) if i != (o[skip:] if alone else o))
-        return ids
+        there = [o[skip:] if alone else o for o, alone in zip(there, bare)]
+        other = np.fromiter(chain.from_iterable(there), np.int64)
+        if not np.array_equal(ids, other) or not np.array_equal(sizes, list(map(len, there))):
+            own = np.split(ids, np.cumsum(sizes)[:-1])
+            self.unequal.update(c for c, i, o in zip(chunks, own, there) if i.tolist() != o)
+        return ids, sizes
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
         """Ids and parity of each text."""
