@@ -13,6 +13,7 @@ into blocks and joined block by block.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
@@ -372,6 +373,6 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     smallest id of a component stay together. Only hashes of the rows to drop are joined with the rows.
     """
     found = linked_rows(docs, n, percent, id_col, text_col)
-    gone = materialise(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("row").alias("_row_to_drop")).distinct())
-    return docs.join(gone, row_hash(id_col, text_col) == F.col("_row_to_drop"), "left_anti")
+    name = f"_row_to_drop_{uuid.uuid4().hex}"  # no column of docs has it
+    gone = materialise(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias(name)).distinct())
+    return docs.join(gone, row_hash(id_col, text_col) == F.col(name), "left_anti")

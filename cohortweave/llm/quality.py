@@ -8,6 +8,7 @@ no listed language is judged by the nearest of all.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -193,5 +194,6 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     row = F.xxhash64(id_col, text_col, lang_col)
     found = scored(docs, {"_rejected": row}, text_col, lang_col)
-    rejected = materialise(found.where(~F.col("kept")).select("_rejected").distinct())
-    return docs.join(rejected, row == F.col("_rejected"), "left_anti")
+    name = f"_rejected_{uuid.uuid4().hex}"  # no column of docs has it
+    rejected = materialise(found.where(~F.col("kept")).select(F.col("_rejected").alias(name)).distinct())
+    return docs.join(rejected, row == F.col(name), "left_anti")

@@ -26,6 +26,7 @@ ARCHIVE_BYTES = 32 << 20
 DICTIONARY_BYTES = 48 << 10
 SAMPLE_BYTES = 1 << 20
 LEVEL = 3
+READ_TASKS = 20_000  # tasks that read archives at most; one reads several if there are more
 READ_BYTES = 1 << 15
 MANIFEST = "path string, size long, records long"
 RECORDS = ("page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, "
@@ -180,7 +181,9 @@ def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """The records of the archives in a manifest, payloads included (null for revisits)."""
+    """The records of the archives in a stored manifest, payloads included (null for revisits).
+
+    Each archive is about one partition: their number is given, so that small manifest rows are not put together."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORDS.split(", ")]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
@@ -200,7 +203,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             if n != records:
                 raise ValueError(f"{path}: {n} records instead of {records}")
 
-    return manifest.repartition("path").mapInArrow(read, RECORDS)
+    parts = min(max(manifest.count(), 1), READ_TASKS)
+    return manifest.repartition(parts, "path").mapInArrow(read, RECORDS)
 
 
 def batch_of(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:

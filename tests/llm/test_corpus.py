@@ -5,7 +5,7 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
-from cohortweave.llm import ngram_join, packing, queries
+from cohortweave.llm import ngram_join, packing, quality, queries
 from samples import prose
 
 
@@ -178,3 +178,14 @@ def test_pipeline_stages(spark, small):
     assert sorted(kept[2]) == [d for d, _, c in sorted(brute(list(kept[1].items()), 5, 80)) if d == c]
     final = corpus_pipeline.run(spark, small).collect()
     check_packing(list(kept[2].items()), final)
+
+
+def test_stages_keep_columns_named_like_their_helpers(spark):
+    rng = random.Random(11)
+    rows = [(i, prose(rng, 120), "en", i, "r") for i in range(8)] + [(20, None, "en", 1, "r"), (21, prose(rng, 5), "en", 2, "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _rejected long, _row_to_drop string")
+    twice = df.unionByName(df.where("doc_id < 3").withColumn("doc_id", df.doc_id + 100))
+    good, first = quality.keep_good(twice), ngram_join.keep_first(twice)
+    assert good.columns == first.columns == twice.columns
+    assert {r["doc_id"] for r in first.collect()} == {r[0] for r in rows}
+    assert not {r["doc_id"] for r in good.collect()} & {20, 21}

@@ -179,3 +179,11 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert toxicity.score_documents(none, labels).count() == 0
     assert toxicity.drop_toxic(odd, labels.limit(0)).count() == odd.count()
     assert toxicity.drop_toxic(odd, labels.limit(0)).columns == odd.columns
+
+
+def test_every_archive_is_about_one_partition(spark, many_chunks):
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>" * 30) for i in range(400)], "page_id long, url string, html string")
+    manifest = warc.write_archives(pages)
+    manifest = manifest.unionByName(manifest).unionByName(manifest)
+    records = warc.read_archives(manifest)
+    assert records.rdd.getNumPartitions() == manifest.count() >= 12 and records.count() == 1200
