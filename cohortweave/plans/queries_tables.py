@@ -84,6 +84,45 @@ def marker_exclude_rule(spark, d):
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")))
 
 
+def _own_path(spark, name):
+    import uuid
+
+    from cohortweave.session import shared_dir
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("marker_file_rule", """WITH l AS (SELECT l_returnflag, marker, value FROM (SELECT l_returnflag, l_extendedprice, l_tax FROM lineitem)
+ UNPIVOT (value FOR marker IN (l_extendedprice, l_tax)))
+SELECT l_returnflag, marker, count(*) AS n, round(avg(value), 6) AS mean FROM l GROUP BY 1, 2""")
+def marker_file_rule(spark, d):
+    """Markers named by a file without header."""
+    path = _own_path(spark, "markers")
+    spark.createDataFrame([(c,) for c in table(spark, d, "lineitem").columns if c in ("l_extendedprice", "l_tax")], "name string").write.csv(path)
+    return _rule_columns(spark, d, MarkerRule("file", path=path, header=False))
+
+
+@query("headerless_csv", """SELECT code, count(*) AS n, min(c_custkey) AS lo, max(c_custkey) AS hi
+FROM (SELECT c_custkey, CASE c_nationkey % 5 WHEN 0 THEN 'NA' WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN 'NaN' ELSE c_mktsegment END AS code FROM customer) GROUP BY 1""")
+def headerless_csv(spark, d):
+    """Customers written as text without header and read back: NA, NaN and the empty text are data, only nothing is missing."""
+    k, path = F.col("c_nationkey") % 5, _own_path(spark, "customers")
+    code = F.when(k == 0, "NA").when(k == 1, "").when(k == 3, "NaN").when(k == 4, F.col("c_mktsegment"))
+    table(spark, d, "customer").select("c_custkey", code.alias("code")).write.csv(path)
+    back = L.read_table(spark, path, "csv", header=False).toDF("c_custkey", "code").withColumn("c_custkey", F.col("c_custkey").cast("long"))
+    return back.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("lo"), F.max("c_custkey").alias("hi"))
+
+
+@query("standard_table_round_trip", f"""WITH {SQL_CELLS} SELECT cohort, count(*) AS n, count(DISTINCT image_id) AS images, count(DISTINCT cell_id) AS cells,
+ round(sum(quantity), 3) AS quantity, round(avg(totalprice), 6) AS totalprice FROM cells GROUP BY 1""")
+def standard_table_round_trip(spark, d):
+    """The cell table through the sink, one folder a cohort, and read back whole."""
+    path = _own_path(spark, "standard")
+    K.write_standard(cells(spark, d), path)
+    back = spark.read.parquet(path)
+    return back.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("image_id").alias("images"), F.count_distinct("cell_id").alias("cells"),
+                                      F.round(F.sum("quantity"), 3).alias("quantity"), r6(F.avg("totalprice")).alias("totalprice"))
+
+
 @query("standard_metadata", f"""WITH {SQL_CELLS}
 SELECT cohort, count(*) AS n_cells, count(DISTINCT image_id) AS n_images, count(DISTINCT patient_id) AS n_patients, 7 AS n_markers FROM cells GROUP BY 1""")
 def standard_metadata(spark, d):

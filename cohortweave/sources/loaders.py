@@ -19,7 +19,7 @@ from cohortweave.sources.specs import (
 
 def read_table(spark: SparkSession, path: str, fmt: str, columns: Sequence[str] | None = None,
                header: bool = True, placed: bool = False) -> DataFrame:
-    """Parquet, or CSV read as plain strings so that a literal 'NA' stays data.
+    """Parquet, or CSV read as plain strings so that a literal 'NA' and a quoted empty text stay data.
 
     `placed` adds where a row comes from: _file, _part (start of the part read at once; 0 for Parquet, whose rows
     know their number in the file) and _at (number in the part, up to a constant).
@@ -28,7 +28,7 @@ def read_table(spark: SparkSession, path: str, fmt: str, columns: Sequence[str]
         df = spark.read.parquet(path)
     elif fmt == "csv":
         df = (spark.read.option("header", header).option("inferSchema", False)
-              .option("emptyValue", "").option("nanValue", "\u0000").csv(path))
+              .option("emptyValue", "").option("nullValue", "\u0000").option("nanValue", "\u0000").csv(path))
     else:
         raise ValueError(f"unknown format {fmt}")
     wanted = [quoted(c) for c in (df.columns if columns is None else columns)]
@@ -117,6 +117,10 @@ def standardise(df: DataFrame, cohort: str, mapping: dict[str, str], markers: Se
             return quoted(name).cast("string")
         return F.lit(default)
 
+    def number(name: str):
+        """A quoted empty text is no number."""
+        return F.nullif(quoted(name), F.lit("")) if isinstance(df.schema[name].dataType, T.StringType) else quoted(name)
+
     conf = (F.coalesce(F.expr(f"try_cast(`{mapping['label_confidence']}` as float)"), F.lit(1.0))
             if "label_confidence" in mapping else F.lit(1.0))
     return df.select(
@@ -125,12 +129,12 @@ def standardise(df: DataFrame, cohort: str, mapping: dict[str, str], markers: Se
         F.concat_ws("|", F.lit(cohort), text("image_id")).alias("image_id"),
         F.concat_ws("|", F.lit(cohort),
                     F.coalesce(text("patient_id", UNKNOWN_PATIENT), F.lit("nan"))).alias("patient_id"),
-        clean(quoted(mapping["x_px"])).alias("x_px"),
-        clean(quoted(mapping["y_px"])).alias("y_px"),
+        clean(number(mapping["x_px"])).alias("x_px"),
+        clean(number(mapping["y_px"])).alias("y_px"),
         area_expr(area).alias("area_px2"),
         text("native_label").alias("native_label"),
         conf.cast("float").alias("label_confidence"),
-        *[clean(quoted(m)).cast("float").alias(m) for m in markers],
+        *[clean(number(m)).cast("float").alias(m) for m in markers],
     )
 
 
