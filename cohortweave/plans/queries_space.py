@@ -306,9 +306,12 @@ def cluster_summary(spark, d):
     return L.cluster_summary(fixed_map(rescaled(spark, d)))
 
 
-@query("cohort_cluster_cells", f"""WITH {SQL_MAP} SELECT cohort, CAST(coalesce(sum(n_cells) FILTER (cluster = 0), 0) AS BIGINT) AS k0, CAST(coalesce(sum(n_cells) FILTER (cluster = 4), 0) AS BIGINT) AS k4 FROM lm GROUP BY 1""")
+@query("cohort_cluster_cells", f"""WITH {SQL_MAP}, k AS (SELECT unnest(range(5)) AS cluster), co AS (SELECT DISTINCT cohort FROM lm)
+SELECT co.cohort, k.cluster::VARCHAR AS cluster, CAST(coalesce(sum(n_cells), 0) AS BIGINT) AS cells
+FROM co CROSS JOIN k LEFT JOIN lm ON lm.cohort = co.cohort AND lm.cluster = k.cluster GROUP BY 1, 2""")
 def cohort_cluster_cells(spark, d):
-    return L.cohort_cluster_cells(fixed_map(rescaled(spark, d)), range(5)).select("cohort", F.col("`0`").alias("k0"), F.col("`4`").alias("k4"))
+    wide = L.cohort_cluster_cells(fixed_map(rescaled(spark, d)), range(5))
+    return wide.unpivot(["cohort"], [F.col(f"`{k}`") for k in range(5)], "cluster", "cells")
 
 
 @query("cohort_guards", f"""WITH {SQL_MAP}, g AS (SELECT cluster, count(*) AS labels, count(DISTINCT cohort) AS coh, sum(n_cells) AS cells FROM lm GROUP BY 1),

@@ -299,23 +299,27 @@ def _vocab(df):
     return df.select("marker").distinct().withColumn("idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("marker")) - 1)
 
 
-@query("panel_vectors", f"""WITH {SQL_PANELV}
-SELECT cohort, cell_id, count(u) AS n_present, round(sum(u), 6) AS s, round(max(u) FILTER (marker = 'm00'), 6) AS u00, round(max(u) FILTER (marker = 'm01'), 6) AS u01,
-  count(*) FILTER (marker = 'm00') > 0 AS has00 FROM pv GROUP BY 1, 2""")
-def panel_vectors(spark, d):
+SQL_SLOTS = """ms AS (SELECT DISTINCT marker FROM pv), cl AS (SELECT DISTINCT cohort, cell_id FROM pv),
+slots AS (SELECT cl.cohort, cl.cell_id, ms.marker, pv.u FROM cl CROSS JOIN ms LEFT JOIN pv ON pv.cohort = cl.cohort AND pv.cell_id = cl.cell_id AND pv.marker = ms.marker)"""
+
+
+def slots(spark, d, fill=None):
+    """Every slot of every row's panel vector."""
     u = panel_values(spark, d)
-    v = S.panel_vectors(u, _vocab(u), ["cohort", "cell_id"], "u")
-    return v.select("cohort", "cell_id", F.expr("size(filter(present, x -> x))").cast("long").alias("n_present"),
-                    r6(F.expr("aggregate(u, 0D, (a, x) -> a + coalesce(x, 0D))")).alias("s"),
-                    r6(F.col("u")[0]).alias("u00"), r6(F.col("u")[1]).alias("u01"), F.col("present")[0].alias("has00"))
+    vocab = _vocab(u)
+    v = S.panel_vectors(u, vocab, ["cohort", "cell_id"], "u", fill=fill)
+    each = v.select("cohort", "cell_id", F.posexplode(F.arrays_zip("u", "present")).alias("idx", "_s"))
+    return each.join(vocab.select("idx", "marker"), "idx").select("cohort", "cell_id", "marker", r6("_s.u").alias("u"), F.col("_s.present").alias("present"))
 
 
-@query("zero_filled_vectors", f"""WITH {SQL_PANELV}
-SELECT cohort, cell_id, round(coalesce(max(u) FILTER (marker = 'm00'), 0), 6) AS u00, round(coalesce(max(u) FILTER (marker = 'm01'), 0), 6) AS u01 FROM pv GROUP BY 1, 2""")
+@query("panel_vectors", f"WITH {SQL_PANELV}, {SQL_SLOTS} SELECT cohort, cell_id, marker, round(u, 6) AS u, u IS NOT NULL AS present FROM slots")
+def panel_vectors(spark, d):
+    return slots(spark, d)
+
+
+@query("zero_filled_vectors", f"WITH {SQL_PANELV}, {SQL_SLOTS} SELECT cohort, cell_id, marker, round(coalesce(u, 0), 6) AS u FROM slots")
 def zero_filled_vectors(spark, d):
-    u = panel_values(spark, d)
-    v = S.panel_vectors(u, _vocab(u), ["cohort", "cell_id"], "u", fill=0.0)
-    return v.select("cohort", "cell_id", r6(F.col("u")[0]).alias("u00"), r6(F.col("u")[1]).alias("u01"))
+    return slots(spark, d, 0.0).drop("present")
 
 
 SQL_CONFID = """conf AS (SELECT c_mktsegment AS cohort, CASE WHEN c_mktsegment = 'BUILDING' THEN 'n/a' WHEN c_mktsegment = 'FURNITURE' THEN '1'
@@ -382,9 +386,9 @@ def registry_lookup(spark, d):
 
 
 @query("unmatched_audit", """SELECT c_mktsegment, count(*) AS rows, count(*) FILTER (o_orderkey IS NULL) AS unmatched FROM customer LEFT JOIN
- (SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_custkey, o_orderkey) ON c_custkey = o_custkey GROUP BY 1""")
+ (SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderkey) ON c_custkey = o_custkey GROUP BY 1""")
 def unmatched_audit(spark, d):
-    o = table(spark, d, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("o_orderkey"))
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("o_orderkey"))
     return J.unmatched_audit(J.left_join_one(table(spark, d, "customer"), o, ["c_custkey"]), ["c_mktsegment"], ["o_orderkey"])
 
 
@@ -441,7 +445,7 @@ def subset_artifacts(spark, d):
 
 
 # ------------------------------------------------------------------------------- identity
-DECORATE = {0: ":Cyc_3_ch_2", 1: " - cytotoxic T cells", 2: ":tail", 3: ""}
+DECORATE = {0: ":Cyc_12_ch_4", 1: " - second batch", 2: ":probe", 3: ""}
 
 
 def raw_names(spark, d):
@@ -451,10 +455,10 @@ def raw_names(spark, d):
     return p.select(F.col("p_brand").alias("cohort"), F.concat("p_name", dec).alias("raw_column")).distinct()
 
 
-SQL_NAMES = """names AS (SELECT DISTINCT p_brand AS cohort, p_name || CASE p_partkey % 4 WHEN 0 THEN ':Cyc_3_ch_2' WHEN 1 THEN ' - cytotoxic T cells' WHEN 2 THEN ':tail' ELSE '' END AS raw_column FROM part)"""
+SQL_NAMES = """names AS (SELECT DISTINCT p_brand AS cohort, p_name || CASE p_partkey % 4 WHEN 0 THEN ':Cyc_12_ch_4' WHEN 1 THEN ' - second batch' WHEN 2 THEN ':probe' ELSE '' END AS raw_column FROM part)"""
 
 
-@query("strip_decoration", """SELECT DISTINCT p_brand AS cohort, p_name || CASE p_partkey % 4 WHEN 0 THEN ':Cyc_3_ch_2' WHEN 1 THEN ' - cytotoxic T cells' WHEN 2 THEN ':tail' ELSE '' END AS raw_column,
+@query("strip_decoration", """SELECT DISTINCT p_brand AS cohort, p_name || CASE p_partkey % 4 WHEN 0 THEN ':Cyc_12_ch_4' WHEN 1 THEN ' - second batch' WHEN 2 THEN ':probe' ELSE '' END AS raw_column,
   p_name AS stripped, upper(replace(p_name, ' ', '')) AS key FROM part""")
 def strip_decoration(spark, d):
     return I.parse_names(raw_names(spark, d)).select("cohort", "raw_column", "stripped", "key")
@@ -530,11 +534,12 @@ def name_sharing(spark, d):
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 
 
-@query("availability_matrix", f"""WITH {SQL_RESOLVED} SELECT triple, CAST(count(DISTINCT cohort) AS INTEGER) AS n_cohorts, CAST(coalesce(max(CASE WHEN cohort = 'Brand#1' THEN 1 END), 0) AS INTEGER) AS b1,
- CAST(coalesce(max(CASE WHEN cohort = 'Brand#25' THEN 1 END), 0) AS INTEGER) AS b25 FROM reg WHERE triple <> '' AND kind <> 'non_protein' GROUP BY 1""")
+@query("availability_matrix", f"""WITH {SQL_RESOLVED}, t AS (SELECT DISTINCT triple, cohort FROM reg WHERE triple <> '' AND kind <> 'non_protein'),
+b AS (SELECT 'Brand#' || i AS cohort FROM range(1, 26) r(i))
+SELECT k.triple, k.n_cohorts, b.cohort, CAST(t.cohort IS NOT NULL AS INTEGER) AS present
+FROM (SELECT triple, CAST(count(*) AS INTEGER) AS n_cohorts FROM t GROUP BY 1) k CROSS JOIN b LEFT JOIN t ON t.triple = k.triple AND t.cohort = b.cohort""")
 def availability_matrix(spark, d):
-    a = I.availability(resolved(spark, d), BRANDS)
-    return a.select("triple", "n_cohorts", F.col("`Brand#1`").alias("b1"), F.col("`Brand#25`").alias("b25"))
+    return I.availability(resolved(spark, d), BRANDS).unpivot(["triple", "n_cohorts"], [F.col(f"`{b}`") for b in BRANDS], "cohort", "present")
 
 
 @query("availability_distribution", f"""WITH {SQL_RESOLVED}, n AS (SELECT triple, count(DISTINCT cohort) AS k FROM reg WHERE triple <> '' AND kind <> 'non_protein' GROUP BY 1)

@@ -63,17 +63,22 @@ def image_ecdf(spark, d):
         "image_id", "cell_id", "marker", r6("u").alias("u"))
 
 
+LEVEL_NAMES = tuple(f"q{round(100 * p):02d}" for p in P.QUANTILE_LEVELS)
+
+
+def sql_levels(array, prefix=""):
+    return ", ".join(f"round({array}[{i + 1}], 6) + 0.0 AS {prefix}{n}" for i, n in enumerate(LEVEL_NAMES))
+
+
 @query("label_signatures", f"""WITH {SQL_SIG}
-SELECT cohort, label, marker, round(q[1], 6) AS q02, round(q[3], 6) AS q10, round(q[5], 6) AS q50, round(q[7], 6) AS q90,
-       round(q[9], 6) AS q98, round(mean_rank, 6) AS mean_rank, round(p50, 6) AS p50, round(p75, 6) AS p75,
+SELECT cohort, label, marker, {sql_levels('q')}, round(mean_rank, 6) AS mean_rank, round(p50, 6) AS p50, round(p75, 6) AS p75,
        round(p90, 6) AS p90, round(prev, 6) AS prev, CAST(n_cells AS BIGINT) AS n_cells
 FROM sig JOIN (SELECT cohort, native_label AS label, n_cells, prev FROM sizes) USING (cohort, label)""")
 def label_signatures(spark, d):
-    q, pos = F.col("q"), F.col("pos")
+    pos = F.col("pos")
     return li_signatures(spark, d).select(
-        "cohort", "label", "marker", r6(q[0]).alias("q02"), r6(q[2]).alias("q10"), r6(q[4]).alias("q50"),
-        r6(q[6]).alias("q90"), r6(q[8]).alias("q98"), r6("mean_rank").alias("mean_rank"), r6(pos[0]).alias("p50"),
-        r6(pos[1]).alias("p75"), r6(pos[2]).alias("p90"), r6("prev").alias("prev"), F.col("n_cells").cast("long").alias("n_cells"))
+        "cohort", "label", "marker", *[r6(F.col("q")[i]).alias(n) for i, n in enumerate(LEVEL_NAMES)], r6("mean_rank").alias("mean_rank"),
+        r6(pos[0]).alias("p50"), r6(pos[1]).alias("p75"), r6(pos[2]).alias("p90"), r6("prev").alias("prev"), F.col("n_cells").cast("long").alias("n_cells"))
 
 
 @query("between_label_range", f"""WITH {SQL_SIG}
@@ -83,13 +88,10 @@ def between_label_range(spark, d):
 
 
 @query("midrange_rescale", f"""WITH {SQL_SIG}
-SELECT cohort, label, marker, round(p, 6) + 0.0 AS p, round(z[3], 6) + 0.0 AS z10, round(z[5], 6) + 0.0 AS z50,
-       round(z[7], 6) + 0.0 AS z90, round(w, 6) AS w FROM rescaled""")
+SELECT cohort, label, marker, round(p, 6) + 0.0 AS p, {sql_levels('z', 'z_')}, round(w, 6) AS w FROM rescaled""")
 def midrange_rescale(spark, d):
-    z = F.col("z")
     return P.rescale(li_signatures(spark, d)).select(
-        "cohort", "label", "marker", r6("p").alias("p"), r6(z[2]).alias("z10"), r6(z[4]).alias("z50"), r6(z[6]).alias("z90"),
-        r6("w").alias("w"))
+        "cohort", "label", "marker", r6("p").alias("p"), *[r6(F.col("z")[i]).alias(f"z_{n}") for i, n in enumerate(LEVEL_NAMES)], r6("w").alias("w"))
 
 
 @query("robust_rescale", f"""WITH {SQL_SIG},
