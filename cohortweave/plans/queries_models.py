@@ -418,7 +418,10 @@ def wilcoxon_test(spark, d):
     return EN.wilcoxon(_deltas(spark, d), ["comparison"], "x").withColumn("p", r6("p"))
 
 
-@query("silhouette")
+@query("silhouette", f"""WITH {SQL_VRANKED}, v AS (SELECT cell_id, any_value(cls) AS cls, list(u ORDER BY marker) AS x FROM vranked GROUP BY 1),
+dist AS (SELECT a.cell_id, a.cls, b.cls AS other, sum(list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS s, count(*) AS n FROM v a, v b GROUP BY 1, 2, 3),
+ab AS (SELECT cell_id, max(s / (n - 1)) FILTER (other = cls AND n > 1) AS a, min(s / n) FILTER (other <> cls) AS b FROM dist GROUP BY 1)
+SELECT count(*) AS rows, round(avg(CASE WHEN a IS NULL THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END), 6) AS silhouette FROM ab""")
 def silhouette(spark, d):
     x = materialise(packed(spark, d))
     value = PR.silhouette(x, "vec", "cls")
