@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortweave.functions.numeric import clean, safe_div, share
+from cohortweave.operators.distribution import running_counts
 from cohortweave.operators.joins import constant_rows
 
 
@@ -162,10 +163,11 @@ def log_clip(c):
 
 
 def dense_codes(df: DataFrame, column: str, out: str = "code") -> DataFrame:
-    """Distinct values -> 0..n-1 in sorted order (dictionary-sized), joined back."""
-    d = df.select(column).distinct()
-    w = Window.partitionBy(F.lit(0)).orderBy(column)
-    return df.join(d.withColumn(out, F.row_number().over(w) - 1), column)
+    """Distinct values -> 0..n-1 in sorted order, joined back; rows without a value are left out.
+
+    Values are numbered by prefix sums over range chunks, so no task holds the whole dictionary."""
+    numbered = running_counts(df.select(column).distinct(), [], column)
+    return df.join(numbered.select(column, (F.col("n_upto") - 1).cast("int").alias(out)), column)
 
 
 def scale_coordinates(cells: DataFrame, registry: DataFrame, x: str = "x_px", y: str = "y_px",

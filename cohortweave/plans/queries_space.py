@@ -10,6 +10,7 @@ from cohortweave.operators import clustering as C
 from cohortweave.operators import labelspace as L
 from cohortweave.operators import nesting as N
 from cohortweave.operators import profile as P
+from cohortweave.operators import tables as S
 from cohortweave.plans.registry import query
 from cohortweave.plans.tables import (
     SQL_VECTOR_COHORTS, SQL_VECTORS, SQL_VRANKED, table, vector_registry, vectors,
@@ -469,9 +470,7 @@ def merge_histogram(spark, d):
 # ------------------------------------------------------------------ name baselines on part names
 def part_names(spark, d):
     """One node per distinct part name; the noun decides its cohort for the baseline."""
-    from pyspark.sql.window import Window
-    p = table(spark, d, "part").select(F.col("p_name").alias("label")).distinct()
-    return p.withColumn("lid", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("label")) - 1).cast("int"))
+    return S.dense_codes(table(spark, d, "part").select(F.col("p_name").alias("label")).distinct(), "label", "lid")
 
 
 SQL_PN = "pn AS (SELECT p_name AS label, CAST(row_number() OVER (ORDER BY p_name) - 1 AS INTEGER) AS id FROM (SELECT DISTINCT p_name FROM part))"
