@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from cohortweave.llm.chunks import ChunkCache, slices
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the protobuf
 UNIGRAM, BPE = 1, 2
-BLOCK = 200
+BLOCK, AT_ONCE = 200, 1 << 20
 
 
 def parse_model(data: bytes):
@@ -148,9 +149,20 @@ class Decoder:
                       else " ⁇ ".encode() if p.type == UNKNOWN else p.piece.replace(MARK, " ").encode()
                       for p in proto.pieces]
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.table.__getitem__, ids)).decode(errors="replace")
-        return text[1:] if self.prefix and text[:1] == " " else text
+        self.sizes = np.array([len(b) for b in self.table], np.int64)
+        self.starts, self.bytes = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(self.table), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        upto = np.cumsum(sizes)
+        return self.bytes[np.repeat(self.starts[ids] - (upto - sizes), sizes) + np.arange(int(sizes.sum()))].tobytes()
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of ids that stand one after the other; `ends` says where each text's ids end."""
+        told = b"".join(self.joined(ids[i:i + AT_ONCE]) for i in range(0, len(ids), AT_ONCE))
+        cut = np.concatenate([[0], np.cumsum(self.sizes[ids])])[ends].tolist()
+        texts = [told[a:b].decode(errors="replace") for a, b in zip([0, *cut], cut)]
+        return [t[1:] if self.prefix and t[:1] == " " else t for t in texts]
 
 
 @lru_cache(maxsize=1)
@@ -201,7 +213,10 @@ def decode_ids(encoded: DataFrame, model: str) -> DataFrame:
         coder = decoder(model)
         for whole, start in ((b, i) for b in batches for i in range(0, b.num_rows, 50)):
             b = whole.slice(start, 50)
-            decoded = [None if i is None else coder.decode(i) for i in b.column("ids").to_pylist()]
+            ids = b.column("ids")
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+            texts = coder.decode(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ends)
+            decoded = [t if there else None for t, there in zip(texts, ids.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(decoded, pa.string())],
                                              names=[*names, "decoded"])
 
