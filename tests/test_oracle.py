@@ -21,7 +21,7 @@ SPREAD = (
     "per_class_scores cohen_kappa support_stratified_f1 paired_folds zero_f1_audit gate_checks weighted_nmi "
     "adjusted_mutual_information label_pair_relations label_admission cluster_names declared_cases nesting_edges "
     "evidence_closure name_tfidf_cosine knn_edges anisotropy boundary_score prototype_predictions balanced_retrieval "
-    "novel_detection bootstrap_interval permuted_labels"
+    "novel_detection bootstrap_interval permuted_labels headerless_csv split_floor_reconstruction visible_marker_scores silhouette"
 ).split()
 Q, O = entry.queries(), entry.oracle_sql()
 NAMES = sorted(O) if os.environ.get("ORACLE") == "all" else SPREAD
