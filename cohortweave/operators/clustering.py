@@ -28,6 +28,7 @@ MIN_SPLIT_LABELS = 2
 MIN_SPLIT_COHORTS = 2
 MIN_STRADDLE = 2
 SPLIT_SUPPORT = 0.5
+LOG_COLUMNS = "labels long, min_side long, min_cohorts long, straddle long, stability double, reason string, kept boolean"
 # -------------------------------------------------------------------------------------
 
 
@@ -283,5 +284,6 @@ def refine(pairs: DataFrame, nodes: DataFrame, straddle: bool = True) -> tuple[D
             break
     cols = ["node", "cohort", "n_cells", "branch"]
     out = reduce(DataFrame.unionByName, [x.select(*cols) for x in done]).withColumnRenamed("branch", "cluster")
-    log = reduce(DataFrame.unionByName, logs) if logs else None
+    log = reduce(DataFrame.unionByName, logs) if logs else nodes.sparkSession.createDataFrame(
+        [], f"level int, branch {nodes.schema['cluster'].dataType.simpleString()}, {LOG_COLUMNS}")
     return out, log

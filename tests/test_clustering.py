@@ -102,6 +102,14 @@ def test_refine_finds_the_planted_split(planted):
     assert top["kept"] and top["min_side"] == 6 and top["straddle"] == 3 and top["stability"] == 1.0
 
 
+def test_refine_without_a_branch_to_split_logs_nothing(spark):
+    nodes = spark.createDataFrame([(i, "C0", 5, i) for i in range(4)], "node int, cohort string, n_cells long, cluster int")
+    pairs = spark.createDataFrame([], "a int, b int, d double")
+    out, log = C.refine(pairs, nodes)
+    assert {r["cluster"] for r in out.collect()} == {0, 1, 2, 3}
+    assert log.collect() == [] and log.columns[:3] == ["level", "branch", "labels"] and "stability" in log.columns
+
+
 def test_sweep_stability_and_choice(planted, spark):
     pairs, nodes = planted
     d = np.zeros((12, 12))
