@@ -14,20 +14,13 @@ from pyspark.sql.window import Window
 
 from cohortweave.functions.numeric import order_key
 from cohortweave.operators.distribution import row_order, running_counts
-from cohortweave.session import materialise, materialise_counted
+from cohortweave.session import by_shuffle, checked, materialise
 
 PREFIX = 4     # hex digits of the longest prefix: at most 65,536 bins a group
 BIN_ROWS = 16  # a group's prefix is as long as gives bins of at most about this many rows
-SENT = 100_000  # per-group tables up to this many rows are broadcast; larger ones are joined by shuffle
 CHUNK = 10_000  # draws with replacement that one row unfolds to
 
 
-def checked(df: DataFrame) -> DataFrame:
-    """A stored per-group table, marked for broadcast if its counted size allows it."""
-    stored, n = materialise_counted(df)
-    return F.broadcast(stored) if n <= SENT else stored
-
-
 def lowest_cut(keyed: DataFrame, caps: DataFrame) -> DataFrame:
     """_g, _cut: the key of the `_cap`-th lowest row of every group in `caps`.
 
@@ -145,7 +138,7 @@ def derangement(df: DataFrame, group: Sequence[str], row_id: str, purpose: str =
     shift = F.when(F.col("_n") >= 2, F.lit(1) + F.pmod(h, F.greatest(F.col("_n") - 1, F.lit(1)))).otherwise(F.lit(0))
     want = pos.withColumn("_j", F.pmod(F.col("_i") + shift, F.col("_n")))
     donors = pos.select(*group, F.col("_i").alias("_j"), F.col(row_id).alias("donor"))
-    return want.join(donors, [*group, "_j"]).select(*group, row_id, "donor")
+    return want.join(by_shuffle(donors), [*group, "_j"]).select(*group, row_id, "donor")
 
 
 def moved_fraction(shuffled: DataFrame, group: Sequence[str], row_id: str) -> DataFrame:

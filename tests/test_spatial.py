@@ -42,6 +42,17 @@ def test_knn_is_exact(spark, many_chunks):
         assert np.allclose(j["d"], j["d_g"])
 
 
+def test_row_sized_sides_are_never_broadcast(spark):
+    """Spark judges a stored side by its compressed file; only counted per-image tables may go through the driver."""
+    p = spark.createDataFrame(points())
+    e = S.knn(p, ["image"], "id", "x", "y", 3)
+    h = S.homotypic(e, p.withColumn("label", p["id"] % 3), ["image"], "id", "label")
+    for df, joins in ((e, 2), (h, 4)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("SortMergeJoin") == joins
+
+
 def test_non_finite_points_are_left_out(spark):
     p = points()
     p.loc[p.index[:5], "x"] = np.nan
