@@ -110,7 +110,7 @@ def class_balanced(df: DataFrame, group: Sequence[str], label: str, row_id: str,
         F.col("_part") * CHUNK, F.least((F.col("_part") + 1) * CHUNK, F.col("_q")) - 1)))
     pick = F.pmod(F.conv(F.substring(order_key(purpose, *[F.col(f"_g.{c}") for c in keys], "draw"), 1, 15), 16, 10).cast("long"), F.col("_n"))
     again = draws.select("_g", "draw", pick.alias("_pos")).join(
-        placed.where("_n < _q").drop("_cut", "_n", "_q").withColumnRenamed("draw", "_pos"), ["_g", "_pos"])
+        by_shuffle(placed.where("_n < _q").drop("_cut", "_n", "_q").withColumnRenamed("draw", "_pos")), ["_g", "_pos"])
     cols = [*df.columns, "draw"]
     return placed.where("_n >= _q").select(*cols).unionByName(again.select(*cols))
 

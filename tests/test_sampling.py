@@ -80,3 +80,14 @@ def test_balanced_draws_unfold_in_chunks(crowd, many_chunks, monkeypatch, chunk)
             own = sorted((i for h, t, i in rows if (h, t) == (g, s)), key=lambda i: key("bal", i))[:quota]
             assert [i for _, i in sorted(draws)] == own
     assert by.keys() == sizes.keys()
+
+
+def test_unfolded_draws_are_not_broadcast(spark):
+    """Spark sizes the draws by the stored plan of a few rows, before they unfold to a row each."""
+    rows = [(i, "C0", "a" if i < 3 else "b") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, cohort string, label string")
+    got = sampling.class_balanced(df, ["cohort"], "label", "id")
+    assert got.groupBy("label").count().where("count = 30").count() == 2
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
