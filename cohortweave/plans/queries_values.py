@@ -49,8 +49,8 @@ def defining_marker(spark, d):
 @query("cohort_ecdf", f"""WITH {SQL_RANKED}
 SELECT cohort, cell_id, marker, round(u, 6) AS u FROM ranked""")
 def cohort_ecdf(spark, d):
-    return D.ecdf(cell_values(spark, d), ["cohort", "marker"], "value", ["cell_id"]).select(
-        "cohort", "cell_id", "marker", r6("u").alias("u"))
+    u = D.column_ecdf(cells(spark, d), ["cohort"], MARKERS, ["cell_id"])
+    return S.to_long(u, ["cohort", "cell_id"], MARKERS).select("cohort", "cell_id", "marker", r6("value").alias("u"))
 
 
 @query("image_ecdf", f"""WITH {SQL_LONG}
@@ -59,8 +59,8 @@ SELECT image_id, cell_id, marker,
               + (count(*) OVER (PARTITION BY image_id, marker, value) - 1) / 2.0)
              / count(value) OVER (PARTITION BY image_id, marker), 6) AS u FROM long""")
 def image_ecdf(spark, d):
-    return D.ecdf(cell_values(spark, d), ["image_id", "marker"], "value", ["cell_id"]).select(
-        "image_id", "cell_id", "marker", r6("u").alias("u"))
+    u = D.column_ecdf(cells(spark, d), ["image_id"], MARKERS, ["cell_id"])
+    return S.to_long(u, ["image_id", "cell_id"], MARKERS).select("image_id", "cell_id", "marker", r6("value").alias("u"))
 
 
 LEVEL_NAMES = tuple(f"q{round(100 * p):02d}" for p in P.QUANTILE_LEVELS)

@@ -68,3 +68,23 @@ def test_auroc_and_ks_against_brute_force(spark, many_chunks):
         grid = np.concatenate([a, b])
         want = np.abs(np.searchsorted(a, grid, "right") / len(a) - np.searchsorted(b, grid, "right") / len(b)).max()
         assert abs(r["ks"] - want) < 1e-12
+
+
+def test_column_ecdf_small_large_and_hot_groups(spark, many_chunks):
+    rows = [("a", i, float(i % 3), None if i % 4 == 0 else float(i)) for i in range(12)]
+    rows += [("b", 100, 2.0, float("nan")), ("b", 101, 1.0, 5.0), ("c", 200, None, None)]
+    want = {}
+    for g, i, *vs in rows:
+        for c, v in zip("xy", vs):
+            have = [r["xy".index(c) + 2] for r in rows if r[0] == g]
+            have = [h for h in have if h is not None and h == h]
+            at, below = sum(h == v for h in have), sum(h < v for h in have if v is not None)
+            want[i, c] = (below + (at + 1) / 2) / len(have) if at else None
+    df = spark.createDataFrame(rows, "g string, id long, x double, y double")
+    for group_rows, hot_rows, sent in ((100, 2_000_000, 100), (5, 2_000_000, 100), (5, 3, 0), (0, 2, 3)):
+        got = D.column_ecdf(df, ["g"], ["x", "y"], ["id"], group_rows, hot_rows, sent).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            for c in "xy":
+                w = want[r["id"], c]
+                assert r[c] == w if w is None else abs(r[c] - w) < 1e-12
