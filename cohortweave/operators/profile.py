@@ -13,13 +13,15 @@ from cohortweave.operators import packed
 from cohortweave.operators.distribution import (
     chunk_offsets, median, quantile_from_counts, quantiles, running_counts,
 )
-from cohortweave.session import materialise
+from cohortweave.operators.tables import to_long
+from cohortweave.session import materialise, materialise_counted, sided
 
 # --- fixed values --------------------------------------------------------------------
 QUANTILE_LEVELS = (0.02, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.98)
 Q10, Q50, Q90 = 2, 4, 6
 POSITIVE_CUTS = (0.50, 0.75, 0.90)
 MIN_CELLS = 100
+IMAGE_ROWS = 100_000  # rows of an image that one task may hold whole
 UNIFORM_VARIANCE = 1.0 / 12.0
 RANK_SPREAD_FLOOR = 0.20
 SCALE_FLOOR = 0.05
@@ -174,14 +176,32 @@ def excluded_pairs(ranges: DataFrame, floor: float = RANK_SPREAD_FLOOR) -> DataF
     return ranges.where(F.col("rank_spread") < floor).select("cohort", "marker")
 
 
-def image_statistics(counts_u: DataFrame) -> DataFrame:
+def image_statistics(wide_u: DataFrame, markers: Sequence[str], image_rows: int = IMAGE_ROWS) -> DataFrame:
     """Median and IQR of u per (image, marker), standardised over the images of a cohort; NULL -> 0.
 
-    counts_u: cohort, image_id, marker, u, c.
+    wide_u: cohort, image_id and a column of u a marker. Images up to `image_rows` rows are aggregated whole, after
+    one shuffle of the wide rows; larger ones by prefix sums.
     """
+    image, markers, levels = ["cohort", "image_id"], list(markers), (0.25, 0.5, 0.75)
+    rows = materialise(wide_u.select(*image, *markers))
+    large, n_large = materialise_counted(rows.groupBy(*image).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > image_rows).select(*image))
+    large = sided(large, n_large)
+    small = rows.join(large, image, "left_anti") if n_large else rows
+
+    def level(v, p: float):
+        at = (F.size(v) - 1) * F.lit(p)
+        lo, hi = F.get(v, F.floor(at).cast("int")), F.get(v, F.ceil(at).cast("int"))
+        return lo + (hi - lo) * (at - F.floor(at))
+
+    g = small.groupBy(*image).agg(F.collect_list(F.struct(*markers)).alias("_l"))
+    each = [F.struct(F.lit(m).alias("marker"), F.array_sort(F.array_compact(F.col(f"_l.{m}"))).alias("v")) for m in markers]
+    q = g.select(*image, F.explode(F.array(*each)).alias("_e")).where(F.size("_e.v") > 0).select(
+        *image, "_e.marker", F.array(*[level(F.col("_e.v"), p) for p in levels]).alias("q"))
+    if n_large:
+        long = to_long(rows.join(large, image, "left_semi"), image, markers)
+        q = q.unionByName(quantiles(long, [*image, "marker"], "value", levels, "q").drop("n"))
     keys = ["cohort", "image_id", "marker"]
-    q = quantiles(counts_u, keys, "u", (0.25, 0.5, 0.75), "q", "c")
-    s = q.select(*keys, F.col("q")[1].alias("med"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    s = materialise(q.select(*keys, F.col("q")[1].alias("med"), (F.col("q")[2] - F.col("q")[0]).alias("iqr")))
     stats = s.groupBy("cohort", "marker").agg(
         F.avg("med").alias("mm"), F.stddev_samp("med").alias("ms"),
         F.avg("iqr").alias("im"), F.stddev_samp("iqr").alias("is"))
@@ -200,7 +220,16 @@ def coexpression(long_u: DataFrame, cell: Sequence[str], vocabulary: Sequence[st
     Cells are packed once; a task sends one sum a label and pair. r is NULL where a marker has no spread.
     """
     keys = list(dict.fromkeys([*cell, "cohort", "native_label"]))
-    moments = packed.co_moments(packed.pack(long_u, keys, "u", vocabulary), ["cohort", "native_label"], vocabulary, RANK_CENTRE)
+    return coexpression_packed(packed.pack(long_u, keys, "u", vocabulary), vocabulary)
+
+
+def coexpression_wide(wide_u: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
+    """The same where a row is a cell with a column of u a marker: nothing is packed, no row travels."""
+    return coexpression_packed(wide_u.withColumn("vec", F.array(*vocabulary).cast("array<double>")), vocabulary)
+
+
+def coexpression_packed(rows: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
+    moments = packed.co_moments(rows, ["cohort", "native_label"], vocabulary, RANK_CENTRE)
     return packed.correlation_of(moments, ["cohort", "native_label"]).withColumnRenamed("native_label", "label")
 
 

@@ -150,10 +150,8 @@ SELECT cohort, image_id, marker,
        round(coalesce((iqr - im) / CASE WHEN coalesce(si, 0) = 0 THEN 1 ELSE si END, 0), 6) + 0.0 AS iqr_z
 FROM s JOIN m USING (cohort, marker)""")
 def image_statistics(spark, d):
-    long = cell_values(spark, d)
-    counts = materialise(long.groupBy("cohort", "image_id", "marker", "value").agg(F.count(F.lit(1)).alias("c")))
-    u = D.midrank_table(counts, ["cohort", "marker"], "value", "u", "c").select("cohort", "marker", "value", "u")
-    return P.image_statistics(counts.join(u, ["cohort", "marker", "value"])).select(
+    u = D.column_ecdf(cells(spark, d), ["cohort"], MARKERS, ["image_id"])
+    return P.image_statistics(u, MARKERS).select(
         "cohort", "image_id", "marker", r6("med_z").alias("med_z"), r6("iqr_z").alias("iqr_z"))
 
 
@@ -302,12 +300,15 @@ def label_qc(spark, d):
     return P.label_filter(cells(spark, d), bad, 2000)
 
 
+def wide_ranks(c):
+    return D.column_ecdf(c, ["cohort"], MARKERS, ["native_label"])
+
+
 @query("coexpression", f"""WITH {SQL_RANKED}
 SELECT a.cohort, a.native_label AS label, a.marker AS m1, b.marker AS m2, round(corr(a.u, b.u), 6) + 0.0 AS r
 FROM ranked a JOIN ranked b ON a.cell_id = b.cell_id AND a.cohort = b.cohort AND a.marker < b.marker GROUP BY 1, 2, 3, 4""")
 def coexpression(spark, d):
-    u = D.ecdf(cell_values(spark, d), ["cohort", "marker"], "value", ["cell_id"])
-    return P.coexpression(u, ["cohort", "cell_id"], MARKERS) .select("cohort", "label", "m1", "m2", r6("r").alias("r"))
+    return P.coexpression_wide(wide_ranks(cells(spark, d)), MARKERS).select("cohort", "label", "m1", "m2", r6("r").alias("r"))
 
 
 @query("coexpression_agreement", f"""WITH {SQL_SIG},
@@ -323,9 +324,10 @@ FROM cy a JOIN cy b USING (m1, m2) WHERE (a.cohort, a.label) < (b.cohort, b.labe
 HAVING count(*) >= 3 AND stddev_pop(a.r) > 1e-6 AND stddev_pop(b.r) > 1e-6)
 SELECT scored.* FROM scored JOIN enough USING (cohort_a, a, cohort_b, b)""")
 def coexpression_agreement(spark, d):
-    u = D.ecdf(cell_values(spark, d), ["cohort", "marker"], "value", ["cell_id"])
-    cx = materialise(P.coexpression(u, ["cohort", "cell_id"], MARKERS)).withColumn("r", F.round("r", 9))
-    weights = P.rescale(li_signatures(spark, d)).select("cohort", "label", "marker", "w")
+    c = materialise(cells(spark, d).select("cohort", "cell_id", "native_label", *MARKERS))
+    cx = materialise(P.coexpression_wide(wide_ranks(c), MARKERS)).withColumn("r", F.round("r", 9))
+    sig = P.signatures(S.to_long(c, ["cohort", "native_label"], MARKERS), min_cells=1)
+    weights = P.rescale(sig).select("cohort", "label", "marker", "w")
     return P.coexpression_agreement(cx, weights).withColumn("coex_r", F.round("coex_r", 5) + F.lit(0.0))
 
 

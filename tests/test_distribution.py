@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortweave.functions.numeric import clean
 from cohortweave.operators import distribution as D
+from cohortweave.operators import profile
 
 
 def skewed(spark):
@@ -88,3 +89,14 @@ def test_column_ecdf_small_large_and_hot_groups(spark, many_chunks):
             for c in "xy":
                 w = want[r["id"], c]
                 assert r[c] == w if w is None else abs(r[c] - w) < 1e-12
+
+
+def test_image_statistics_of_small_and_large_images_agree(spark):
+    rows = [("a", f"i{i % 3}", None if i % 7 == 0 else float(i * i % 11), 1.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "cohort string, image_id string, x double, y double")
+    whole, cut = [sorted(map(tuple, profile.image_statistics(df, ["x", "y"], n).collect())) for n in (100, 0)]
+    assert len(whole) == 6 and [r[:3] for r in whole] == [r[:3] for r in cut]
+    assert np.allclose([r[3:] for r in whole], [r[3:] for r in cut])
+    med = {i: np.median([r[2] for r in rows if r[1] == i and r[2] is not None]) for i in ("i0", "i1", "i2")}
+    z = {i: (m - np.mean(list(med.values()))) / np.std(list(med.values()), ddof=1) for i, m in med.items()}
+    assert all(abs(r[3] - z[r[1]]) < 1e-9 for r in whole if r[2] == "x")
