@@ -11,12 +11,13 @@ from pyspark.sql.window import Window
 from cohortweave.functions.numeric import clean, safe_div, share
 from cohortweave.operators.distribution import running_counts
 from cohortweave.operators.joins import constant_rows
+from cohortweave.session import checked
 
 
 def to_long(wide: DataFrame, ids: Sequence[str], markers: Sequence[str]) -> DataFrame:
-    """One row per (cell, marker); NaN and infinities become NULL."""
-    w = wide.select(*ids, *[clean(m).alias(m) for m in markers])
-    return w.unpivot(list(ids), list(markers), "marker", "value")
+    """One row per (cell, marker); NaN and infinities become NULL. The rows stay in their tasks and partitioning."""
+    each = [F.struct(F.lit(m).alias("marker"), clean(m).alias("value")) for m in markers]
+    return wide.select(*ids, F.explode(F.array(*each)).alias("_e")).select(*ids, "_e.marker", "_e.value")
 
 
 def to_wide(long: DataFrame, ids: Sequence[str], markers: Sequence[str], value: str = "value",
@@ -29,7 +30,7 @@ def to_wide(long: DataFrame, ids: Sequence[str], markers: Sequence[str], value:
 def mean_of_duplicates(long: DataFrame, registry: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Average the columns of one cohort that resolve to the same triple; missing ones are skipped."""
     m = registry.where("triple <> ''").select("cohort", F.col("raw_column").alias("marker"), "triple")
-    return long.join(m, ["cohort", "marker"]).groupBy(*ids, "triple").agg(F.avg("value").alias("value"))
+    return long.join(checked(m), ["cohort", "marker"]).groupBy(*ids, "triple").agg(F.avg("value").alias("value"))
 
 
 def duplicate_columns(registry: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from cohortweave.operators.distribution import ecdf, row_order
 from cohortweave.plans.registry import query
 from cohortweave.plans.tables import (
     IDS, MARKERS, SQL_CELLS, SQL_LONG, SQL_POINTS, SQL_PREDS, SQL_RANKED, SQL_SEGMENTS, SQL_VECTOR_COHORTS,
-    SQL_VECTORS, SQL_VRANKED, cell_values, cells, points, predictions, segment_registry, table, vector_registry, vectors,
+    SQL_VECTORS, SQL_VRANKED, cell_values, values_by_cell, cells, points, predictions, segment_registry, table, vector_registry, vectors,
 )
 from cohortweave.sources import loaders as L
 from cohortweave.sources import sinks as K
@@ -229,7 +229,7 @@ def column_registry(spark, d):
 @query("duplicate_column_mean", f"""WITH {SQL_LONG}, {SQL_REG}
 SELECT cohort, cell_id, triple, round(avg(value), 6) AS value FROM long JOIN (SELECT cohort, raw_column AS marker, triple FROM reg WHERE triple <> '') USING (cohort, marker) GROUP BY 1, 2, 3""")
 def duplicate_column_mean(spark, d):
-    return S.mean_of_duplicates(cell_values(spark, d), column_registry(spark, d), ["cohort", "cell_id"]).withColumn("value", r6("value"))
+    return S.mean_of_duplicates(values_by_cell(spark, d), column_registry(spark, d), ["cohort", "cell_id"]).withColumn("value", r6("value"))
 
 
 @query("duplicate_columns", f"""WITH {SQL_REG} SELECT cohort, triple, string_agg(raw_column, '|' ORDER BY raw_column) AS raw_columns, count(*) AS n FROM reg
@@ -610,7 +610,7 @@ def class_balanced_sample(spark, d):
 
 @query("marker_mask", f"""WITH {SQL_LONG} SELECT cohort, cell_id, marker, row_number() OVER (PARTITION BY cohort, cell_id ORDER BY md5('mask|' || cohort || '|' || cell_id || '|' || marker), marker) <= 1 AS hidden FROM long""")
 def marker_mask(spark, d):
-    return SM.mask_markers(cell_values(spark, d), ["cohort", "cell_id"], "marker").select("cohort", "cell_id", "marker", "hidden")
+    return SM.mask_markers(values_by_cell(spark, d), ["cohort", "cell_id"], "marker").select("cohort", "cell_id", "marker", "hidden")
 
 
 SQL_SHIFT = SQL_POINTS + """,
