@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortweave.functions.numeric import order_key, safe_div
-from cohortweave.operators.distribution import running_counts
-from cohortweave.session import materialise
+from cohortweave.operators.distribution import row_order, running_counts
+from cohortweave.session import by_shuffle, materialise
 
 
 def step_counts(df: DataFrame, keys: Sequence[str], flag: str, score: str) -> DataFrame:
@@ -114,10 +114,11 @@ def best_reference_match(found: DataFrame, reference: DataFrame) -> DataFrame:
 
 def permute_labels(cells: DataFrame, row_id: str, label: str, purpose: str = "permute") -> DataFrame:
     """Negative control: labels of a cohort dealt to its rows in hashed order (counts unchanged)."""
-    a = running_counts(cells.select("cohort", row_id), ["cohort"], row_id).select("cohort", row_id, "n_upto")
-    k = cells.select("cohort", F.struct(order_key(purpose, row_id), F.col(row_id)).alias("_k"), F.col(label).alias("permuted"))
-    b = running_counts(k, ["cohort"], "_k").select("cohort", "_k", "n_upto").join(k, ["cohort", "_k"]).select("cohort", "n_upto", "permuted")
-    return cells.join(a, ["cohort", row_id]).join(b, ["cohort", "n_upto"]).drop("n_upto")
+    cells = materialise(cells)
+    a = row_order(cells, ["cohort"], row_id, "_i")
+    k = cells.select("cohort", F.struct(F.unhex(order_key(purpose, row_id)), F.col(row_id)).alias("_k"), F.col(label).alias("permuted"))
+    b = row_order(k, ["cohort"], "_k", "_i").select("cohort", "_i", "permuted")
+    return a.join(by_shuffle(b), ["cohort", "_i"]).drop("_i")
 
 
 def permute_markers(long: DataFrame, marker: str = "marker", purpose: str = "permute") -> DataFrame:

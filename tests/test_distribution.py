@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cohortweave.functions.numeric import clean
 from cohortweave.operators import distribution as D
 from cohortweave.operators import profile
+from cohortweave.operators.tables import to_long
 
 
 def skewed(spark):
@@ -100,3 +101,23 @@ def test_image_statistics_of_small_and_large_images_agree(spark):
     med = {i: np.median([r[2] for r in rows if r[1] == i and r[2] is not None]) for i in ("i0", "i1", "i2")}
     z = {i: (m - np.mean(list(med.values()))) / np.std(list(med.values()), ddof=1) for i, m in med.items()}
     assert all(abs(r[3] - z[r[1]]) < 1e-9 for r in whole if r[2] == "x")
+
+
+def test_row_order_needs_no_value_table(spark, many_chunks):
+    df = spark.createDataFrame([("ab"[i % 2], (i * 37) % 101, i) for i in range(100)] + [("a", None, 7)], "g string, k long, x long")
+    pos = D.row_order(df, ["g"], "k", "at")
+    rows = pos.collect()
+    for g in "ab":
+        own = sorted((r for r in rows if r["g"] == g), key=lambda r: r["k"])
+        assert [r["at"] for r in own] == list(range(50)) and all(r["k"] == (r["x"] * 37) % 101 for r in own)
+    joins = [line for line in pos._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) == 1 and "_chunk" in joins[0]  # the offsets of ranges, not one row a value
+
+
+def test_unfolded_rows_stay_with_their_cell(spark):
+    wide = spark.createDataFrame([("a", i, float(i), None) for i in range(50)], "cohort string, cell_id long, x double, y double")
+    long = to_long(wide.repartition(7, "cohort", "cell_id"), ["cohort", "cell_id"], ["x", "y"])
+    counts = long.groupBy("cohort", "cell_id", "marker").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("v"))
+    assert {tuple(r) for r in counts.select("marker", "n", "v").collect()} == {("x", 1, 1), ("y", 1, 0)} and counts.count() == 100
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange") == 1
