@@ -17,6 +17,7 @@ from cohortweave.plans.tables import (
     IDS, MARKERS, SQL_CELLS, SQL_LONG, SQL_POINTS, SQL_PREDS, SQL_RANKED, SQL_SEGMENTS, SQL_VECTOR_COHORTS,
     SQL_VECTORS, SQL_VRANKED, cell_values, values_by_cell, cells, points, predictions, segment_registry, table, vector_registry, vectors,
 )
+from cohortweave.session import dealt
 from cohortweave.sources import loaders as L
 from cohortweave.sources import sinks as K
 from cohortweave.sources.specs import AreaRule, CohortSpec, MarkerRule, TableSpec
@@ -51,6 +52,7 @@ def spec_load(spark, d):
 @query("spec_load_row_ids", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS lo, count(*) - 1 AS hi, count(*) AS ids FROM orders")
 def spec_load_row_ids(spark, d):
     df, _ = L.load(spark, _order_spec(d))
+    df = dealt(df.select("cell_id"), table(spark, d, "orders").count(), "cell_id")  # distinct ids are held by the tasks
     return df.agg(F.count(F.lit(1)).alias("n"), F.min("cell_id").alias("lo"), F.max("cell_id").alias("hi"),
                   F.countDistinct("cell_id").alias("ids"))
 

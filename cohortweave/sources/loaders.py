@@ -98,9 +98,9 @@ def number_rows(df: DataFrame, out: str = "cell_id") -> DataFrame:
     """
     parts = df.groupBy("_file", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy(F.lit(0)).orderBy("_file", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per part of a file
+    # one row per part of a file, always broadcast: dealt out by file, all rows of a file would meet in one task
     offsets = parts.select("_file", "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_o"))
-    return df.join(offsets, ["_file", "_part"]).withColumn(out, (F.col("_o") + F.col("_at")).cast("long")).drop("_file", "_part", "_at", "_o")
+    return df.join(F.broadcast(offsets), ["_file", "_part"]).withColumn(out, (F.col("_o") + F.col("_at")).cast("long")).drop("_file", "_part", "_at", "_o")
 
 
 def standardise(df: DataFrame, cohort: str, mapping: dict[str, str], markers: Sequence[str],
