@@ -14,13 +14,14 @@ from cohortweave.operators.distribution import (
     chunk_offsets, median, quantile_from_counts, quantiles, running_counts,
 )
 from cohortweave.operators.tables import to_long
-from cohortweave.session import materialise, materialise_counted, sided
+from cohortweave.session import checked, dealt, materialise, materialise_counted, sided
 
 # --- fixed values --------------------------------------------------------------------
 QUANTILE_LEVELS = (0.02, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.98)
 Q10, Q50, Q90 = 2, 4, 6
 POSITIVE_CUTS = (0.50, 0.75, 0.90)
 MIN_CELLS = 100
+CHUNK_ROWS = 125_000  # distinct values of a range chunk
 IMAGE_ROWS = 100_000  # rows of an image that one task may hold whole
 UNIFORM_VARIANCE = 1.0 / 12.0
 RANK_SPREAD_FLOOR = 0.20
@@ -42,15 +43,15 @@ def label_runs(long: DataFrame) -> tuple[DataFrame, DataFrame]:
     u, so one range partitioning on (cohort, marker, value) serves both prefix sums.
     sizes: cohort, native_label, n_cells (the best-covered marker, missing values included).
     """
-    counts = long.groupBy("cohort", "native_label", "marker", "value").agg(F.count(F.lit(1)).alias("c"))
-    chunks = materialise(
-        counts.repartitionByRange("cohort", "marker", "value").withColumn("_chunk", F.spark_partition_id()))
+    counts, n = materialise_counted(long.groupBy("cohort", "native_label", "marker", "value").agg(F.count(F.lit(1)).alias("c")))
+    chunks = materialise(dealt(counts, n, "cohort", "marker", "value", most=CHUNK_ROWS, ranges=True).withColumn("_chunk", F.spark_partition_id()))
     sizes = chunks.groupBy("cohort", "native_label", "marker").agg(F.sum("c").alias("k")).groupBy(
         "cohort", "native_label").agg(F.max("k").alias("n_cells"))
     real = chunks.where(F.col("value").isNotNull())
     m, lab = ["cohort", "marker"], ["cohort", "marker", "native_label"]
-    m_off = chunk_offsets(real, m, {"c": ("_mo", "_mn")})
-    l_off = chunk_offsets(real, lab, {"c": ("_lo", "n_group")})
+    m_off = checked(chunk_offsets(real, m, {"c": ("_mo", "_mn")}))
+    l_off = checked(chunk_offsets(real, lab, {"c": ("_lo", "n_group")}))
+    real = dealt(real, n, "_chunk", most=2 * CHUNK_ROWS)  # every window below stays inside a chunk
     inside = Window.partitionBy(*m, "_chunk")
     upto = F.sum("c").over(inside.orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     at = F.sum("c").over(Window.partitionBy(*m, "_chunk", "value"))

@@ -28,6 +28,16 @@ def test_rows_of_a_file_are_not_dealt_out_by_file(spark, tmp_path, no_broadcast)
     assert sorted(r["cell_id"] for r in df.collect()) == list(range(1000))
 
 
+def test_label_signatures_in_many_chunks(spark, monkeypatch):
+    long = spark.range(600).selectExpr("concat('C', id % 2) cohort", "concat('L', id % 3) native_label", "'m' marker", "cast(hash(id) % 97 as double) value")
+    want = {tuple(r)[:3]: r for r in profile.signatures(long, min_cells=1).collect()}
+    monkeypatch.setattr(profile, "CHUNK_ROWS", 10)
+    sig = profile.signatures(long, min_cells=1)
+    assert "RepartitionByExpression [_chunk" in plan_of(sig)
+    for r in sig.collect():
+        assert r["q"] == pytest.approx(want[tuple(r)[:3]]["q"]) and r["mean_rank"] == pytest.approx(want[tuple(r)[:3]]["mean_rank"])
+
+
 def test_dealt_tasks_are_bounded_by_rows(spark):
     df = spark.range(1000)
     assert session.dealt(df, 1000, "id", most=10).rdd.getNumPartitions() == 100
