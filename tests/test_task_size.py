@@ -28,6 +28,16 @@ def test_rows_of_a_file_are_not_dealt_out_by_file(spark, tmp_path, no_broadcast)
     assert sorted(r["cell_id"] for r in df.collect()) == list(range(1000))
 
 
+def test_platforms_join_counts_not_rows(spark):
+    preds = spark.createDataFrame([("m", "A", 0, 0), ("m", "A", 0, 1), ("m", "B", 1, 1)], "method string, cohort string, y_true long, y_pred long")
+    registry = spark.createDataFrame([("A", "x"), ("B", "x")], "cohort string, platform string")
+    got = metrics.per_platform(preds, registry, ["method"])
+    lines = plan_of(got).split("\n")
+    last = max(i for i, x in enumerate(lines) if "Join Inner, (cohort" in x)
+    assert any("Aggregate" in x for x in lines[last:])
+    assert got.first()["n_cells"] == 3
+
+
 def test_label_signatures_in_many_chunks(spark, monkeypatch):
     long = spark.range(600).selectExpr("concat('C', id % 2) cohort", "concat('L', id % 3) native_label", "'m' marker", "cast(hash(id) % 97 as double) value")
     want = {tuple(r)[:3]: r for r in profile.signatures(long, min_cells=1).collect()}
