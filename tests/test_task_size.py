@@ -48,6 +48,13 @@ def test_label_signatures_in_many_chunks(spark, monkeypatch):
         assert r["q"] == pytest.approx(want[tuple(r)[:3]]["q"]) and r["mean_rank"] == pytest.approx(want[tuple(r)[:3]]["mean_rank"])
 
 
+def test_value_tables_beyond_the_limit_are_not_broadcast(spark, monkeypatch):
+    df = spark.range(200).selectExpr("'g' g", "id", "cast(id as double) v")
+    table, at = df.selectExpr("g", "v", "v u"), df.selectExpr("g", "v", "1L n_at")
+    far = distribution.attach_by_value(df, table, ["g"], "v", ["id"], at, sent=100)
+    assert "BroadcastHashJoin" not in far._jdf.queryExecution().executedPlan().toString() and far.where("u = v").count() == 200
+
+
 def test_dealt_tasks_are_bounded_by_rows(spark):
     df = spark.range(1000)
     assert session.dealt(df, 1000, "id", most=10).rdd.getNumPartitions() == 100
