@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from cohortweave.functions.numeric import order_key
 from cohortweave.operators.distribution import row_order
 from cohortweave.operators.joins import RuleViolation, assert_empty
+from cohortweave.operators.sampling import lowest_cut
+from cohortweave.session import by_shuffle, checked, materialise
 
 # fixed values: shares of split units
 TEST_FRACTION, VAL_FRACTION = 0.20, 0.12
@@ -26,7 +28,14 @@ def nesting_violations(cells: DataFrame) -> DataFrame:
 def split_units(cells: DataFrame) -> DataFrame:
     """cohort, image_id, unit, unit_kind: the patient, or the image where the patient is missing
     for any row of the cohort or constant over it."""
-    imgs = cells.groupBy("cohort", "image_id", "patient_id").agg(F.count(F.lit(1)).alias("cells"))
+    return _units(image_sizes(cells))
+
+
+def image_sizes(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("cohort", "image_id", "patient_id").agg(F.count(F.lit(1)).alias("cells"))
+
+
+def _units(imgs: DataFrame) -> DataFrame:
     tail = F.substring_index("patient_id", "|", -1)
     # min/max instead of a distinct count: only "constant or not" matters
     kind = imgs.groupBy("cohort").agg(
@@ -44,8 +53,9 @@ def split_plan(cells: DataFrame, purpose: str = "split") -> DataFrame:
 
     Raises if an image carries two patients, or if a cohort has fewer than three units.
     """
-    assert_empty(nesting_violations(cells), "an image must have one patient")
-    imgs = split_units(cells)
+    sizes = materialise(image_sizes(cells))  # the cells are read once
+    assert_empty(nesting_violations(sizes), "an image must have one patient")
+    imgs = materialise(_units(sizes))
     units = imgs.select("cohort", "unit").distinct().withColumn("_k", order_key(purpose, "cohort", "unit"))
     n = units.groupBy("cohort").agg(F.count(F.lit(1)).alias("_n"))
     ranked = row_order(units, ["cohort"], "_k", "_pos").join(n, "cohort")
@@ -56,7 +66,7 @@ def split_plan(cells: DataFrame, purpose: str = "split") -> DataFrame:
     nt, nv = count_of(TEST_FRACTION), count_of(VAL_FRACTION)
     part = (F.when(F.col("_pos") < nt, "test").when(F.col("_pos") < nt + nv, "val").otherwise("train"))
     check_split_units(n.withColumnRenamed("_n", "units"))
-    return imgs.join(ranked.select("cohort", "unit", part.alias("part"), F.col("_n").alias("units")), ["cohort", "unit"])
+    return materialise(imgs.join(by_shuffle(ranked.select("cohort", "unit", part.alias("part"), F.col("_n").alias("units"))), ["cohort", "unit"]))
 
 
 def check_split_units(plan: DataFrame) -> None:
@@ -70,7 +80,7 @@ def attach_split(cells: DataFrame, plan: DataFrame) -> DataFrame:
     p = plan.select("cohort", "image_id", "part")
     assert_empty(cells.select("cohort", "image_id").distinct().join(p, ["cohort", "image_id"], "left_anti"),
                  "cells carry image ids the split plan does not know")
-    return cells.join(p, ["cohort", "image_id"])
+    return cells.join(by_shuffle(p), ["cohort", "image_id"])
 
 
 def split_summary(plan: DataFrame) -> DataFrame:
@@ -104,10 +114,16 @@ def probe_holdout(train_cells: DataFrame, row_id: str, hold: int, purpose: str =
 
 
 def draw(cells: DataFrame, row_id: str, caps: dict[str, int]) -> DataFrame:
-    """Capped draw per (cohort, part) in one pass; a part without a cap is kept whole."""
+    """Capped draw per (cohort, part); a part without a cap is kept whole. Rows above a group's cut are never sorted."""
+    cells = materialise(cells)
     capped = cells.where(F.col("part").isin(list(caps)))
-    d = row_order(capped.withColumn("_k", order_key("draw", "part", row_id)), ["cohort", "part"], "_k", "_pos")
+    d = capped.withColumn("_g", F.struct("cohort", "part")).withColumn("_k", order_key("draw", "part", row_id))
+    keyed = d.select("_g", "_k")
     cap = F.element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("part"))
+    sizes = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).withColumn("part", F.col("_g.part")).withColumn("_cap", cap.cast("long"))
+    cuts = checked(lowest_cut(keyed, sizes.where("_n > _cap AND _cap > 0").select("_g", "_n", "_cap")))
+    near = d.join(cuts, "_g", "left").where(F.col("_cut").isNull() | (F.col("_k") <= F.col("_cut"))).drop("_g", "_cut")
+    d = row_order(near, ["cohort", "part"], "_k", "_pos")  # exact where row ids repeat
     return d.where(F.col("_pos") < cap).drop("_k", "_pos").unionByName(cells.where(~F.col("part").isin(list(caps))))
 
 

@@ -17,7 +17,7 @@ from cohortweave.plans.tables import (
     IDS, MARKERS, SQL_CELLS, SQL_LONG, SQL_POINTS, SQL_PREDS, SQL_RANKED, SQL_SEGMENTS, SQL_VECTOR_COHORTS,
     SQL_VECTORS, SQL_VRANKED, cell_values, values_by_cell, cells, points, predictions, segment_registry, table, vector_registry, vectors,
 )
-from cohortweave.session import dealt
+from cohortweave.session import dealt, materialise
 from cohortweave.sources import loaders as L
 from cohortweave.sources import sinks as K
 from cohortweave.sources.specs import AreaRule, CohortSpec, MarkerRule, TableSpec
@@ -697,7 +697,7 @@ def probe_holdout(spark, d):
   FROM cells JOIN (SELECT cohort, image_id, part FROM plan) USING (cohort, image_id))
 SELECT cohort, part, count(*) AS n, min(cell_id) AS lo FROM x WHERE part <> 'train' OR p <= 4000 GROUP BY 1, 2""")
 def capped_draw(spark, d):
-    c = cells(spark, d).select("cohort", "image_id", "patient_id", "cell_id")
+    c = materialise(cells(spark, d).select("cohort", "image_id", "patient_id", "cell_id"))
     x = SP.draw(SP.attach_split(c, SP.split_plan(c)), "cell_id", {"train": 4000})
     return x.groupBy("cohort", "part").agg(F.count(F.lit(1)).alias("n"), F.min("cell_id").alias("lo"))
 

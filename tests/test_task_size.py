@@ -38,6 +38,17 @@ def test_platforms_join_counts_not_rows(spark):
     assert got.first()["n_cells"] == 3
 
 
+def test_split_plan_and_draw_read_the_cells_once(spark):
+    rows = [("C", f"i{i // 4}", f"C|p{i // 8}", str(i // 2)) for i in range(80)]  # every cell id twice
+    cells = spark.createDataFrame(rows, "cohort string, image_id string, patient_id string, cell_id string")
+    plan = splits.split_plan(cells)
+    assert "LogicalRDD" not in plan_of(plan)
+    drawn = splits.draw(splits.attach_split(cells, plan), "cell_id", {"train": 5})
+    assert "LogicalRDD" not in plan_of(drawn)
+    assert drawn.where("part = 'train'").count() == 5
+    assert drawn.where("part <> 'train'").count() == splits.attach_split(cells, plan).where("part <> 'train'").count()
+
+
 def test_label_signatures_in_many_chunks(spark, monkeypatch):
     long = spark.range(600).selectExpr("concat('C', id % 2) cohort", "concat('L', id % 3) native_label", "'m' marker", "cast(hash(id) % 97 as double) value")
     want = {tuple(r)[:3]: r for r in profile.signatures(long, min_cells=1).collect()}
