@@ -14,11 +14,12 @@ from pyspark.sql.window import Window
 
 from cohortweave.functions.numeric import order_key
 from cohortweave.operators.distribution import row_order, running_counts
-from cohortweave.session import by_shuffle, checked, materialise
+from cohortweave.session import by_shuffle, checked, materialise, materialise_counted, sided
 
 PREFIX = 4     # hex digits of the longest prefix: at most 65,536 bins a group
 BIN_ROWS = 16  # a group's prefix is as long as gives bins of at most about this many rows
 CHUNK = 10_000  # draws with replacement that one row unfolds to
+FIRSTS = 16    # lowest rows of a group, in multiples of n, in which n strata are looked for
 
 
 def lowest_cut(keyed: DataFrame, caps: DataFrame) -> DataFrame:
@@ -43,15 +44,47 @@ def tagged(df: DataFrame, keys: Sequence[str], purpose: str, row_id: str) -> Dat
     return df.withColumn("_g", F.struct(*keys)).withColumn("_k", order_key(purpose, row_id))
 
 
+def first_turn(d: DataFrame, n: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """The rows of groups still to be drawn, and the draws of the others, all of turn 0; None where there are none.
+
+    d: stored rows with _o (group), _g (stratum), _k (hex text). The rows of a group under one key hold the lowest row
+    of each stratum they meet; if they meet n strata, the n lowest of these are the whole draw. The key is set so that
+    about FIRSTS * n rows lie under it, and the strata are counted.
+    """
+    sizes, n_groups = materialise_counted(d.groupBy("_o").agg(F.count(F.lit(1)).alias("_n")))
+    share = F.lit(FIRSTS * n + 100.0) / F.col("_n")
+    under = F.when(share < 1, F.lower(F.lpad(F.hex(F.floor(share * 2.0**32).cast("long")), 8, "0"))).otherwise("g")
+    bounds, n_bounds = materialise_counted(sizes.where(F.col("_n") >= n).select("_o", under.alias("_under")))
+    if not n_bounds:
+        return d, None
+    low = materialise(d.join(sided(bounds, n_bounds), "_o").where(F.col("_k") < F.col("_under")).drop("_under"))
+    lowest = materialise(low.groupBy("_o", "_g").agg(F.min("_k").alias("_k")))
+    met, n_met = materialise_counted(lowest.groupBy("_o").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n))
+    if not n_met:
+        return d, None
+    cuts = lowest_cut(lowest.select(F.col("_o").alias("_g"), "_k"),
+                      met.select(F.col("_o").alias("_g"), "_n", F.lit(n).cast("long").alias("_cap")))
+    ends = checked(cuts.select(F.col("_g").alias("_o"), F.col("_cut").alias("_last")))
+    taken = checked(lowest.join(ends, "_o").where(F.col("_k") <= F.col("_last")).select("_g", "_k"))
+    first = low.join(taken, ["_g", "_k"]).dropDuplicates(["_g"]).withColumn("turn", F.lit(0).cast("long"))
+    return (None if n_met == n_groups else d.join(sided(met.select("_o"), n_met), "_o", "left_anti")), first
+
+
 def round_robin(df: DataFrame, group: Sequence[str], stratum: Sequence[str], row_id: str, n: int,
                 purpose: str = "sample") -> DataFrame:
     """n rows per group taken in turns over its strata, so rare strata are kept whole; adds the 0-based `turn`.
 
     Stratum sizes alone tell how many full turns fit into n and how many strata give one row more; that row is
-    the next lowest of its stratum, and the strata that give it are those with the lowest such keys.
+    the next lowest of its stratum, and the strata that give it are those with the lowest such keys. The rows are
+    stored once; groups of n strata or more end in their first turn, mostly among a few lowest rows.
     """
-    d = tagged(df, [*group, *stratum], purpose, row_id)
-    keyed = materialise(d.select("_g", "_k", F.struct(*group).alias("_o")))
+    if n < 1:
+        return df.limit(0).withColumn("turn", F.lit(0).cast("long"))
+    d = tagged(materialise(df), [*group, *stratum], purpose, row_id).withColumn("_o", F.struct(*group))
+    d, first = first_turn(d, n)
+    if d is None:
+        return first.select(*df.columns, "turn")
+    keyed = d.select("_g", "_k", "_o")
     sizes = materialise(keyed.groupBy("_o", "_g").agg(F.count(F.lit(1)).alias("_n")))
     by_size = sizes.groupBy("_o", F.col("_n").alias("_s")).agg(F.count(F.lit(1)).alias("_m"))
     up = Window.partitionBy("_o").orderBy("_s")  # distinct stratum sizes of a group
@@ -69,8 +102,9 @@ def round_robin(df: DataFrame, group: Sequence[str], stratum: Sequence[str], row
                       more.groupBy(F.col("_o").alias("_g")).agg(F.first("_n").alias("_n"), F.first("_rest").alias("_cap")))
     ends = checked(cuts.join(last.select(F.col("_g").alias("_o"), F.col("_cut").alias("_last")), "_o", "left")
                    .select("_g", "_cut", (F.col("_cut") <= F.col("_last")).alias("_one")))
-    kept = d.join(ends, "_g", "left").where(F.col("_cut").isNull() | (F.col("_k") < F.col("_cut")) | ((F.col("_k") == F.col("_cut")) & F.col("_one")))
-    return row_order(kept, ["_g"], "_k", "turn").select(*df.columns, "turn")
+    kept = d.drop("_o").join(ends, "_g", "left").where(F.col("_cut").isNull() | (F.col("_k") < F.col("_cut")) | ((F.col("_k") == F.col("_cut")) & F.col("_one")))
+    turns = row_order(kept, ["_g"], "_k", "turn").select(*df.columns, "turn")
+    return turns if first is None else turns.unionByName(first.select(*df.columns, "turn"))
 
 
 def uniform(df: DataFrame, group: Sequence[str], row_id: str, cap: int,

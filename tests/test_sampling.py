@@ -60,6 +60,24 @@ def test_round_robin_takes_turns(crowd, many_chunks, ranked, n):
     assert max(ranked, default=0) < 6_000
 
 
+@pytest.mark.parametrize("n", [50, 2_000])
+def test_round_robin_over_many_strata_looks_at_few_rows(spark, many_chunks, monkeypatch, n):
+    rows = [("wide", f"s{i % 6_000}", i) for i in range(24_000)] + [("thin", f"s{i % 3}", 30_000 + i) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, s string, i long").repartition(6)
+    seen, real = [], sampling.lowest_cut
+    monkeypatch.setattr(sampling, "lowest_cut", lambda keyed, caps: (seen.append(keyed.count()), real(keyed, caps))[1])
+    got = sorted((r["turn"], r["i"]) for r in sampling.round_robin(df, ["g"], ["s"], "i", n).collect())
+    want = []
+    for g in ("wide", "thin"):
+        strata = {}
+        for h, s, i in rows:
+            if h == g:
+                strata.setdefault(s, []).append((key("sample", i), i))
+        want += [(t, i) for t, _, i in sorted((t, k, i) for rs in strata.values() for t, (k, i) in enumerate(sorted(rs)))[:n]]
+    assert got == sorted(want)
+    assert max(seen) <= 6_000  # of 24,900 rows: the lowest of each stratum, or the thin group
+
+
 @pytest.mark.parametrize("chunk", [3, 10_000])
 def test_balanced_draws_unfold_in_chunks(crowd, many_chunks, monkeypatch, chunk):
     monkeypatch.setattr(sampling, "CHUNK", chunk)
