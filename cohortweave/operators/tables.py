@@ -96,7 +96,7 @@ def panel_vectors(long: DataFrame, vocab: DataFrame, ids: Sequence[str], value:
     """
     slots = vocab.agg(F.array_sort(F.collect_list("idx")).alias("_slots"))
     cell = (long.join(vocab.select("marker", "idx"), "marker").where(F.col(value).isNotNull())
-            .groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("idx", value))).alias("_m")))
+            .select(*ids, "idx", value).repartition(*ids).groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("idx", value))).alias("_m")))
     n = slots.select(F.size("_slots")).first()[0]
     idx = F.sequence(F.lit(0), F.lit(n - 1))
     absent = F.lit(fill).cast("double")

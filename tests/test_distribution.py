@@ -121,3 +121,14 @@ def test_unfolded_rows_stay_with_their_cell(spark):
     assert {tuple(r) for r in counts.select("marker", "n", "v").collect()} == {("x", 1, 1), ("y", 1, 0)} and counts.count() == 100
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_row_ecdf_ranks_rows_where_they_lie(spark, many_chunks, monkeypatch):
+    rows = [(f"g{i % 3}", "m", i, [None, float("nan"), 7.0, float(i % 50), i / 7][i % 5]) for i in range(900)]
+    df = spark.createDataFrame(rows, "cohort string, marker string, id long, value double").repartition(5)
+    keys = ["cohort", "marker"]
+    want = sorted(map(repr, D.ecdf(df, keys, "value", ["id"]).select("cohort", "id", "u").collect()))
+    monkeypatch.delattr(D, "attach_by_value")  # nothing is joined back by value
+    got = D.row_ecdf(df, keys, "value")
+    assert got.columns == [*df.columns, "u"]
+    assert sorted(map(repr, got.select("cohort", "id", "u").collect())) == want

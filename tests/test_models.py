@@ -4,7 +4,7 @@ import math
 from statistics import fmean, pstdev
 
 import __spark_entry__ as entry
-from cohortweave.operators import models
+from cohortweave.operators import models, tables
 
 
 def test_standardise_is_fitted_on_training_rows(spark):
@@ -40,3 +40,17 @@ def test_feature_comparison_reads_standardised_values(spark, monkeypatch):
     monkeypatch.setattr(models, "standardise", lambda *a: seen.append(a[1]) or real(*a))
     got = entry.queries()["feature_comparison"](spark, "/root/testdata/sf0.001").collect()
     assert seen == ["raw"] and {r["cohort"] for r in got} == {f"C{i}" for i in range(5)}
+
+
+def test_fixed_panels_are_cut_from_one_pack(spark, monkeypatch):
+    seen, packs, real = {}, [], tables.panel_vectors
+    monkeypatch.setattr(tables, "panel_vectors", lambda *a, **k: (packs.append(1), real(*a, **k))[1])
+
+    def fit(train, test, features, label, n_class, width):
+        seen[width] = [sorted((r["cls"], *r["u"]) for r in t.collect()) for t in (train, test)]
+        return test.withColumn("y_pred", test["cls"])
+    monkeypatch.setattr(models, "panel_mlp", fit)
+    got = entry.queries()["fixed_panel_mlp"](spark, "/root/testdata/sf0.001").collect()
+    assert len(packs) == 1 and sorted(seen) == [48, 58, 64] and {r["arm"] for r in got} == {"core", "shared", "zero_fill"}
+    assert all(len(train) == 400 and len(test) == 100 for train, test in seen.values())
+    assert all(set(r[1:11]) == {0.0} and 0.0 not in r[11:] for r in seen[64][1])  # C1 does not measure m00 to m09
