@@ -73,6 +73,23 @@ def test_large_groups_are_joined_in_blocks(spark, monkeypatch):
     assert got == brute(rows, 4, 85)
 
 
+def test_sets_of_a_long_chain_do_not_meet_every_block(spark, monkeypatch):
+    """A chance chain of signatures grows with the corpus; what a set is sent to must not."""
+    monkeypatch.setattr(ngram_join, "GROUP_GRAMS", 400)
+    seen, real = [], ngram_join.tree_links
+    monkeypatch.setattr(ngram_join, "tree_links", lambda sets, *a: (seen.append(sets.select("row", "part", "blocks").collect()), real(sets, *a))[1])
+    rng, words, rows = random.Random(6), [f"w{i}" for i in range(60)], []
+    for i in range(240):
+        words[i % 60] = f"n{i}"  # the last 60 documents are all that a set can be like
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join([*rng.sample(words, 8)])) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in ngram_join.linked_documents(df, 4, 85).collect()), key=str)
+    assert got == brute(rows, 4, 85)
+    sent = sum(max(r["blocks"] - 1, 1) for r in seen[0])
+    assert sent < 20 * len(rows)  # in blocks of 400 n-grams the chain is 35 blocks in both size classes
+
+
 def test_no_link_lacks_a_shared_signature():
     rng = random.Random(3)
     for _ in range(150):
