@@ -1,6 +1,9 @@
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from cohortweave.operators import sampling as SM
 from cohortweave.operators import spatial as S
 
@@ -70,3 +73,24 @@ def test_derangement_moves_every_row(spark, many_chunks):
     moved = {r["image"]: r["moved"] for r in SM.moved_fraction(s, ["image"], "id").collect()}
     assert moved["big"] == moved["line"] == 1.0 and moved["one"] == 0.0
     assert s.select("donor").distinct().count() == df.count()
+
+
+@pytest.mark.parametrize("whole,pairs", [(8192, 1 << 20), (100, 900), (2, 1)])
+def test_neighbourhoods_carry_the_values_of_the_edges(spark, many_chunks, monkeypatch, whole, pairs):
+    """Whole images in a task and images over cells give the same neighbours, in order, ties by id."""
+    monkeypatch.setattr(S, "WHOLE_IMAGE", whole)
+    monkeypatch.setattr(S, "PAIRS", pairs)
+    p = points()
+    df = spark.createDataFrame(p.assign(v=p["id"].astype(float))).withColumn("w", F.when(F.col("id") % 3 > 0, F.col("v")))
+    got = {(r["image"], r["src"]): r for r in S.neighbourhoods(df, ["image"], "id", "x", "y", ["v", "w"], 5).collect()}
+    want = {k: [float(i) for i in g["dst"]] for k, g in brute(p, 5).groupby(["image", "src"])}
+    assert {k: r["near_v"] for k, r in got.items()} == want and all(r["v"] == r["src"] for r in got.values())
+    assert all(r["near_w"] == [v if v % 3 else None for v in r["near_v"]] for r in got.values())
+
+
+@pytest.mark.parametrize("name", ["pooled_profile", "heterogeneity", "boundary_score", "anisotropy"])
+def test_edges_are_not_shuffled_for_values(spark, name):
+    """k rows a point must not travel again for what the search had in hand."""
+    df = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Join" not in plan and plan.count("Exchange") == 1 and df.count() > 0
